@@ -55,7 +55,7 @@ def vec_01(spark, sf):
 def vec_02(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "text")
     items = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    frequency, n = lx.document_frequency(docs), docs.count()
+    frequency, n = lx.frequency_table(docs), docs.count()
     a = lx.weights(items, frequency, n, "query_id").withColumnRenamed("query_id", "id")
     b = lx.weights(docs, frequency, n).withColumnRenamed("doc_id", "id")
     pairs = fx.relevance(spark, sf).select(F.col("query_id").alias("a_id"), F.col("doc_id").alias("b_id"))
@@ -77,7 +77,7 @@ def vec_04(spark, sf):
 @query("vec_05", "SELECT doc_id, term, round(weight, 6) + 0.0 AS weight FROM v_weight", VEC)
 def vec_05(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "text")
-    return lx.weights(docs, lx.document_frequency(docs), docs.count()).select("doc_id", "term", r6("weight"))
+    return lx.weights(docs, lx.frequency_table(docs), docs.count()).select("doc_id", "term", r6("weight"))
 
 
 @query("vec_06", """SELECT d.doc_id, lang, label, embedding[1]::DOUBLE AS first, e.vec_id IS NOT NULL AS found FROM documents d

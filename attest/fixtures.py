@@ -104,8 +104,10 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     A needle is a run of non-dot characters and its dot, so a text holds it exactly where one
     of the text's own runs ends with it: an equi-join on the last characters, then a test."""
-    runs = docs.select("doc_id", F.explode(F.array_distinct(
-        F.regexp_extract_all("text", F.lit(r"[^.]+[.]"), F.lit(0)))).alias("run"))
+    # Splitting at the dots is linear; matching runs would rescan a text that has none.
+    pieces = F.transform(F.filter(F.expr("slice(split(text, '[.]'), 1, size(split(text, '[.]')) - 1)"), lambda x: x != ""),
+                         lambda x: F.concat(x, F.lit(".")))
+    runs = docs.filter(F.contains("text", F.lit("."))).select("doc_id", F.explode(F.array_distinct(pieces)).alias("run"))
     found = None
     for width, keep in ((8, F.length("needle") >= 8), (2, F.length("needle") < 8)):
         hit = (

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from ..operators.filters import SECTION_LABELS
 
@@ -130,7 +131,7 @@ def clean_note(c: Column) -> Column:
     return strip(F.regexp_replace(t, " {2,}", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """HTML entities; the one step of evidence cleaning without a native function."""
     for batch in texts:

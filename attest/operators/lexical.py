@@ -7,12 +7,13 @@ where the documents are, against the query vectors, and k rows per query leave e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import let, tokens
 from ..session import materialised
 
 HOT_TERMS = 100_000
+BROADCAST_TERMS = 300_000
 
 
 def term_counts(text: Column) -> Column:
@@ -35,6 +36,11 @@ def counted(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.withColumn("total", F.aggregate("terms", F.lit(0), lambda acc, t: acc + t["n"]))
 
 
+def frequency_table(docs: DataFrame) -> DataFrame:
+    """Document frequency, written once to the shared folder."""
+    return materialised(document_frequency(docs), "frequency")
+
+
 def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(
         F.count("*").alias("df"))
@@ -45,13 +51,16 @@ def idf(df: Column, n_docs: Column) -> Column:
     return F.log((1 + n_docs) / (1 + F.coalesce(df, F.lit(0)))) + 1
 
 
-def with_frequency(postings: DataFrame, frequency: DataFrame, key: str) -> DataFrame:
+def with_frequency(postings: DataFrame, frequency: DataFrame, key: str,
+                   broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """Add the columns of ``frequency`` (one row per term) to (key, term, ...) rows.
 
-    The most frequent terms number at most HOT_TERMS, because only those with more than
+    A vocabulary of counted size is broadcast whole. Beyond it, the most frequent terms number at most HOT_TERMS, because only those with more than
     1/HOT_TERMS of all postings are taken; they are broadcast. Rows of those terms then carry a
     spread key, so the shuffle that joins the other terms stays even."""
-    total = frequency.agg(F.sum("df")).first()[0] or 0
+    n_terms, total = frequency.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+    if n_terms <= broadcast_terms:
+        return postings.join(F.broadcast(frequency), "term", "left")
     cut = max(1000, total // HOT_TERMS)
     others = [c for c in frequency.columns if c != "term"]
     hot = frequency.filter(F.col("df") > cut).select("term", *[F.col(c).alias(f"hot_{c}") for c in others])
@@ -70,8 +79,9 @@ def weights(docs: DataFrame, frequency: DataFrame, n_docs: int, key: str = "doc_
     rows = counted(docs, key).select(key, "total", F.explode("terms").alias("t")).select(
         key, F.col("t.term").alias("term"), (F.col("t.n") / F.col("total")).alias("tf"))
     raw = with_frequency(rows, frequency, key).withColumn("w", F.col("tf") * idf(F.col("df"), F.lit(n_docs)))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # A key is one text, so its terms are no more than a row held before.
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def packed_vectors(texts: DataFrame, frequency: DataFrame, n_docs: int, key: str, keep: Column,

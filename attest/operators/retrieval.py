@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import sparse_cosine
-from ..session import materialised
 from . import lexical
 from .blocks import dense_block, nearest
 from .topk import top_k
@@ -83,7 +82,7 @@ def fused_search(docs: DataFrame, parts: DataFrame, k: int) -> DataFrame:
 
 def align(docs: DataFrame, answers: DataFrame, candidates: DataFrame) -> DataFrame:
     """Rank each answer's candidate documents by TF-IDF cosine with the answer text."""
-    frequency = materialised(lexical.document_frequency(docs), "frequency")
+    frequency = lexical.frequency_table(docs)
     n_docs = docs.count()
     # Only candidate documents are weighted.
     wanted = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixtures as fx
-from ..operators import cohorts as co, ranking as rk
+from ..functions import text as tx
+from ..operators import cohorts as co, grounding as gr, ranking as rk
 
 
 def condition_report(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
@@ -19,3 +20,17 @@ def condition_report(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
         F.count("*").alias("n_cases"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
         F.avg("f1").alias("f1"), F.avg("value").alias("g_max"))
     return means.join(co.taxonomy(judged.join(cases, "case_id"), k, by=("cond",)), "cond")
+
+
+def mcq_grounding(premises: DataFrame, reasoning: DataFrame, score: Column) -> DataFrame:
+    """Grounding of MCQ answers: each reasoning sentence against each premise of its case.
+
+    ``premises`` holds case_id, rnk, premise_idx, premise. A case without reasoning keeps null."""
+    sentences = reasoning.select("case_id", "rnk", F.posexplode(tx.sentences_any(F.col("reasoning"))).alias("sentence_idx", "sentence"))
+    scored = sentences.join(premises, ["case_id", "rnk"]).withColumn("score", score)
+    per_sentence = scored.groupBy("case_id", "rnk", "sentence_idx").agg(
+        gr.strongest(F.col("score"), F.col("premise_idx")).alias("score"))
+    per_case = per_sentence.groupBy("case_id", "rnk").agg(
+        gr.strongest(F.col("score"), F.col("sentence_idx")).alias("g_max"), F.avg("score").alias("g_avg"),
+        F.count("*").alias("num_sentences"))
+    return reasoning.select("case_id", "rnk").join(per_case, ["case_id", "rnk"], "left")
