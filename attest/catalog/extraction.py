@@ -27,7 +27,7 @@ def outputs(spark, sf):
         .when(kind == 5, F.replace(F.replace(F.replace(raw, F.lit('"diagnoses"'), F.lit('"Possible_Diagnosés"')),
                                              F.lit('"name"'), F.lit('"Title"')), F.lit('"reasoning"'), F.lit('"Rationale"')))
         .when(kind == 6, F.replace(raw, F.lit(" in review"), F.lit(' in "the" review')))
-        .when(kind == 7, F.replace(raw, F.lit('review"}'), F.lit("review}"))).otherwise(raw))
+        .when(kind == 7, F.replace(raw, F.lit('review"}]'), F.lit("review}]"))).otherwise(raw))
     return lists.select("case_id", F.lit(0).alias("sample_idx"), spoilt.alias("raw_output"))
 
 

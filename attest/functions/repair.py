@@ -111,7 +111,7 @@ def _escape_inner(text: str) -> str:
 
 def escape_inner_quotes(rows: DataFrame, column: str) -> DataFrame:
     """Escape inner quotes in a text column. It needs a left-to-right pass in Python, so give it
-    the failed rows only; the other columns pass through as Arrow arrays."""
+    a null for rows that need none; the other columns pass through as Arrow arrays."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(column)

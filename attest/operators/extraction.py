@@ -1,4 +1,4 @@
-"""From raw outputs to prediction rows. Clean rows never meet a repair step."""
+"""From raw outputs to prediction rows. Only rows that do not parse are repaired."""
 
 from __future__ import annotations
 
@@ -11,21 +11,18 @@ def parse_attempts(attempts: DataFrame, fallback: bool = True) -> DataFrame:
     """Adds ``items`` (five label/reasoning pairs, padded), ``parse_success`` (three complete
     ones), ``parse_error`` and ``stage`` (clean, repaired, pattern, failed)."""
     first = attempts.withColumn("_text", rp.list_object(F.col("raw_output"))).withColumn(
-        "items", rp.listed_items(F.col("_text")))
-    good = F.coalesce(F.size("items"), F.lit(-1)) > 0
-    clean = first.filter(good).withColumn("stage", F.lit("clean"))
-    # Only these rows cross to Python for the inner-quote step.
-    broken = rp.repaired(first.filter(~good).drop("items"), "_text").withColumn(
-        "items", rp.listed_items(F.col("_text")))
-    stage = F.when(F.col("items").isNotNull(), "repaired")
-    if fallback:
-        found = rp.fallback_items(F.col("raw_output"))
-        broken = broken.withColumn("_valid", F.col("items").isNotNull()).withColumn(
-            "items", F.when(F.col("_valid"), F.col("items")).otherwise(found))
-        stage = F.when(F.col("_valid"), "repaired").when(F.size("items") > 0, "pattern")
-    broken = broken.withColumn("stage", F.coalesce(stage, F.lit("failed"))).withColumn(
-        "items", F.coalesce("items", F.array().cast(f"array<{rp.ITEM}>"))).drop("_valid")
-    rows = clean.unionByName(broken).drop("_text").withColumn("n_complete", rp.complete(F.col("items")))
+        "_clean", rp.listed_items(F.col("_text")))
+    good = F.coalesce(F.size("_clean"), F.lit(-1)) > 0
+    # One pass: clean rows carry a null where the repair steps look for a text.
+    fixed = rp.repaired(first.withColumn("_good", good).withColumn(
+        "_text", F.when(~F.col("_good"), F.col("_text"))), "_text").withColumn("_fixed", rp.listed_items(F.col("_text")))
+    none = F.array().cast(f"array<{rp.ITEM}>")
+    found = rp.fallback_items(F.col("raw_output")) if fallback else none
+    rows = fixed.withColumn("items", F.when(F.col("_good"), F.col("_clean")).when(
+        F.col("_fixed").isNotNull(), F.col("_fixed")).otherwise(found)).withColumn(
+        "stage", F.when(F.col("_good"), "clean").when(F.col("_fixed").isNotNull(), "repaired")
+        .when(F.size("items") > 0, "pattern").otherwise("failed"))
+    rows = rows.drop("_text", "_clean", "_good", "_fixed").withColumn("n_complete", rp.complete(F.col("items")))
     success = F.col("n_complete") >= 3
     error = F.when(success, "").when(F.col("stage").isin("failed", "pattern"), "JSON parse error").otherwise(
         F.concat(F.lit("Only "), F.col("n_complete"), F.lit("/5 complete diagnoses parsed")))
@@ -42,11 +39,10 @@ def prediction_rows(parsed: DataFrame, keys: list[str], items: str = "items") ->
 def parse_critiques(outputs: DataFrame) -> DataFrame:
     """Adds ``critiques`` (null when unreadable) and ``parse_success``; repair only where needed."""
     first = outputs.withColumn("_text", rp.critique_text(F.col("raw_output"))).withColumn(
-        "critiques", rp.critique_items(F.col("_text")))
-    clean = first.filter(F.col("critiques").isNotNull())
-    broken = rp.repaired(first.filter(F.col("critiques").isNull()).drop("critiques"), "_text").withColumn(
-        "critiques", rp.critique_items(F.col("_text")))
-    return clean.unionByName(broken).drop("_text").withColumn("parse_success", F.col("critiques").isNotNull())
+        "_clean", rp.critique_items(F.col("_text"))).withColumn(
+        "_text", F.when(F.col("_clean").isNull(), F.col("_text")))
+    fixed = rp.repaired(first, "_text").withColumn("critiques", F.coalesce("_clean", rp.critique_items(F.col("_text"))))
+    return fixed.drop("_text", "_clean").withColumn("parse_success", F.col("critiques").isNotNull())
 
 
 def rescue(parsed: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:

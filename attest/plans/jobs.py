@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixtures as fx
 from ..functions import text as tx
-from ..operators import cohorts as co, grounding as gr, ranking as rk
+from ..operators import cohorts as co, grounding as gr, ranking as rk, stats as st
 
 
 def condition_report(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
@@ -34,3 +34,20 @@ def mcq_grounding(premises: DataFrame, reasoning: DataFrame, score: Column) -> D
         gr.strongest(F.col("score"), F.col("sentence_idx")).alias("g_max"), F.avg("score").alias("g_avg"),
         F.count("*").alias("num_sentences"))
     return reasoning.select("case_id", "rnk").join(per_case, ["case_id", "rnk"], "left")
+
+
+def model_rows(judged: DataFrame, row_id: Column, k: int = 5, threshold: float = 0.5, replicates: int = 1000) -> DataFrame:
+    """One row per model and condition: accuracy, g_max and g_avg with intervals, and the taxonomy."""
+    by = ("model", "cond")
+    rows = judged.withColumn("accuracy", F.col("matched").cast("double"))
+    out = co.taxonomy(rows, k, "g_max", threshold, by)
+    for value in ("accuracy", "g_max", "g_avg"):
+        ci = st.bootstrap_ci(rows, value, row_id, by, replicates).select(
+            *by, F.col("mean").alias(value), F.col("lower").alias(f"{value}_lower"), F.col("upper").alias(f"{value}_upper"))
+        out = out.join(ci, list(by))
+    return out
+
+
+def metric_intervals(metric_rows: DataFrame, replicates: int = 1000) -> DataFrame:
+    """Metric x k: mean and bootstrap interval over cases."""
+    return st.bootstrap_ci(metric_rows, "value", F.xxhash64("case_id"), ("metric", "k"), replicates)
