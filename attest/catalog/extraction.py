@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import repair as rp
 from ..operators import extraction as ex
+from ..session import materialised
 from .metrics import ANSWER_VIEWS, answers
 from .registry import query
 from .shared import VIEWS, r6
@@ -28,7 +29,8 @@ def outputs(spark, sf):
                                              F.lit('"name"'), F.lit('"Title"')), F.lit('"reasoning"'), F.lit('"Rationale"')))
         .when(kind == 6, F.replace(raw, F.lit(" in review"), F.lit(' in "the" review')))
         .when(kind == 7, F.replace(raw, F.lit('review"}]'), F.lit("review}]"))).otherwise(raw))
-    return lists.select("case_id", F.lit(0).alias("sample_idx"), spoilt.alias("raw_output"))
+    # Model outputs arrive as a stored table.
+    return materialised(lists.select("case_id", F.lit(0).alias("sample_idx"), spoilt.alias("raw_output")), "outputs")
 
 
 OUTS = {**VIEWS, "v_items": """SELECT case_id, rnk, label, CASE case_id % 8 WHEN 6 THEN 'seen at ' || rnk || ' in "the" review'
@@ -121,8 +123,8 @@ def critique_outputs(spark, sf):
     lists = fx.predictions(spark, sf).groupBy("case_id").agg(
         F.array_sort(F.collect_list(F.struct("rnk", row.alias("j")))).alias("rows"))
     end = F.when(F.col("case_id") % 2 == 0, "]} thanks").otherwise(",]}")
-    return lists.select("case_id", F.concat(F.lit('Sure: {"critiques": ['), F.array_join(
-        F.transform("rows", lambda r: r["j"]), ", "), end).alias("raw_output"))
+    return materialised(lists.select("case_id", F.concat(F.lit('Sure: {"critiques": ['), F.array_join(
+        F.transform("rows", lambda r: r["j"]), ", "), end).alias("raw_output")), "critique-outputs")
 
 
 def critiques(spark, sf):

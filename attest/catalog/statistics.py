@@ -100,13 +100,15 @@ def sta_08(spark, sf):
 
 @query("sta_09", f"""SELECT a, b, round(t, 6) + 0.0 AS t, p < 0.05 / 3 AS significant FROM (SELECT *, {T_TAIL} AS p FROM (SELECT a, b, (n1 + n2 - 2)::DOUBLE AS df,
     d / sqrt(s2 * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)) AS t FROM v_two_q))""", {**STA,
-    "v_mom_q": "SELECT cond AS model, count(*) AS n, avg(matched::INT) AS m, var_samp(matched::INT) AS v FROM v_judged_run GROUP BY 1",
+    "v_band": "SELECT *, CASE WHEN g_max > 0.5::DOUBLE THEN 'high' WHEN g_max < -0.5::DOUBLE THEN 'low' ELSE 'mid' END AS band FROM v_run",
+    "v_mom_q": "SELECT band AS model, count(*) AS n, avg(g_avg) AS m, var_samp(g_avg) AS v FROM v_band GROUP BY 1",
     "v_two_q": STA["v_two"].replace("v_mom", "v_mom_q")})
 def sta_09(spark, sf):
-    rows = sh.judged_with_run(spark, sf).withColumn("hit", F.col("matched").cast("double"))
-    overall = st.anova(rows, "hit", "cond")
-    out = st.post_hoc(rows, "hit", "cond", overall)
-    return out.select(F.col("a_cond").alias("a"), F.col("b_cond").alias("b"), r6("t"), "significant")
+    """Mean grounding between bands of the strongest sentence."""
+    g = F.col("g_max")
+    rows = scored(spark, sf).withColumn("band", F.when(g > 0.5, "high").when(g < -0.5, "low").otherwise("mid"))
+    out = st.post_hoc(rows, "g_avg", "band", st.anova(rows, "g_avg", "band"))
+    return out.select(F.col("a_band").alias("a"), F.col("b_band").alias("b"), r6("t"), "significant")
 
 
 @query("sta_10")

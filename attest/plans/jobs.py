@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixtures as fx
 from ..functions import text as tx
-from ..operators import cohorts as co, grounding as gr, ranking as rk, stats as st
+from ..operators import cohorts as co, grounding as gr, ranking as rk, stats as st, voting as vo
 
 
 def condition_report(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
@@ -51,3 +51,9 @@ def model_rows(judged: DataFrame, row_id: Column, k: int = 5, threshold: float =
 def metric_intervals(metric_rows: DataFrame, replicates: int = 1000) -> DataFrame:
     """Metric x k: mean and bootstrap interval over cases."""
     return st.bootstrap_ci(metric_rows, "value", F.xxhash64("case_id"), ("metric", "k"), replicates)
+
+
+def self_consistency(parsed: DataFrame, vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Winner list per case from parsed samples: pool, cluster, score, top five."""
+    votes = vo.pool_votes(parsed)
+    return vo.winners(vo.cluster_statistics(votes, vo.lead_clusters(votes, vectors, threshold)))
