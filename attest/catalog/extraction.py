@@ -129,7 +129,7 @@ def critique_outputs(spark, sf):
 
 def critiques(spark, sf):
     parsed = ex.parse_critiques(critique_outputs(spark, sf))
-    return parsed.select("case_id", F.posexplode("critiques").alias("critique_idx", "c")).select(
+    return parsed.select("case_id", F.posexplode_outer("critiques").alias("critique_idx", "c")).filter("c is not null").select(
         "case_id", "critique_idx", "c.label", "c.confidence", "c.needs_evidence")
 
 

@@ -9,7 +9,7 @@ from ..fixtures import SQL
 
 _QUERIES: dict = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("texts", "vectors", "retrieval", "metrics", "grounding", "cohorts", "extraction", "pairs", "judging", "statistics", "voting", "files",
+_MODULES = ("texts", "vectors", "retrieval", "metrics", "grounding", "cohorts", "extraction", "pairs", "judging", "statistics", "voting", "files", "runs",
             )
 
 

@@ -31,8 +31,11 @@ def parse_attempts(attempts: DataFrame, fallback: bool = True) -> DataFrame:
 
 
 def prediction_rows(parsed: DataFrame, keys: list[str], items: str = "items") -> DataFrame:
-    """One row per prediction with a label; rank is the list position from 1."""
-    return parsed.select(*keys, F.posexplode(items).alias("pos", "p")).filter(F.trim("p.label") != "").select(
+    """One row per prediction with a label; rank is the list position from 1.
+
+    The outer form of the explode keeps the planner from adding a filter on the list, which
+    would parse every output a second time."""
+    return parsed.select(*keys, F.posexplode_outer(items).alias("pos", "p")).filter(F.trim("p.label") != "").select(
         *keys, (F.col("pos") + 1).alias("rnk"), "p.label", "p.reasoning")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -26,32 +28,33 @@ def lead_clusters(votes: DataFrame, vectors: DataFrame, threshold: float = 0.85)
     """(case_id, label, leader): labels by frequency, then by name, join the first cluster whose
     leader's cosine reaches the threshold, or open one.
 
-    The order matters, so a case's distinct labels (few: five per sample) are walked in one
-    group; votes themselves are counted before and never gathered. Labels without a vector
-    stand alone."""
+    The order matters, so the counted labels of a case are read in that order within one
+    partition; only the leaders of the current case are held. Labels without a vector stand alone."""
     counts = label_counts(votes).join(vectors.select("label", "vector"), "label", "left")
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n", "label"], ascending=[False, True])
-        leaders: list[str] = []
-        units: list[np.ndarray | None] = []
-        chosen = []
-        for label, vector in zip(group["label"], group["vector"]):
-            unit = None
-            if vector is not None:
-                v = np.asarray(vector, dtype=np.float64)
-                size = np.linalg.norm(v)
-                unit = v / size if size else v
-            at = next((i for i, u in enumerate(units) if u is not None and unit is not None
-                       and float(u @ unit) >= threshold), None)
-            if at is None:
-                leaders.append(label)
-                units.append(unit)
-                at = len(leaders) - 1
-            chosen.append(leaders[at])
-        return pd.DataFrame({"case_id": group["case_id"], "label": group["label"], "leader": chosen})
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        case, leaders, units = None, [], []
+        for batch in batches:
+            chosen = []
+            for current, label, vector in zip(batch["case_id"], batch["label"], batch["vector"]):
+                if current != case:
+                    case, leaders, units = current, [], []
+                unit = None
+                if vector is not None:
+                    v = np.asarray(vector, dtype=np.float64)
+                    size = np.sqrt(v @ v)
+                    unit = v / size if size else v
+                at = None if unit is None else next(
+                    (i for i, u in enumerate(units) if u is not None and u @ unit >= threshold), None)
+                if at is None:
+                    leaders.append(label)
+                    units.append(unit)
+                    at = len(leaders) - 1
+                chosen.append(leaders[at])
+            yield pd.DataFrame({"case_id": batch["case_id"], "label": batch["label"], "leader": chosen})
     kind = votes.schema["case_id"].dataType.simpleString()
-    return counts.groupBy("case_id").applyInPandas(walk, f"case_id {kind}, label string, leader string")
+    ordered = counts.repartition("case_id").sortWithinPartitions("case_id", F.desc("n"), "label")
+    return ordered.mapInPandas(walk, f"case_id {kind}, label string, leader string")
 
 
 def cluster_statistics(votes: DataFrame, clusters: DataFrame) -> DataFrame:

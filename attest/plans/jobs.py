@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixtures as fx
-from ..functions import text as tx
-from ..operators import cohorts as co, grounding as gr, ranking as rk, stats as st, voting as vo
+from ..functions import repair as rp, text as tx
+from ..operators import casemetrics as cm, cohorts as co, extraction as ex, grounding as gr, lexical as lx, prompts as pm
+from ..operators import ranking as rk, retrieval as rt, stats as st, voting as vo
 
 
 def condition_report(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
@@ -57,3 +58,76 @@ def self_consistency(parsed: DataFrame, vectors: DataFrame, threshold: float = 0
     """Winner list per case from parsed samples: pool, cluster, score, top five."""
     votes = vo.pool_votes(parsed)
     return vo.winners(vo.cluster_statistics(votes, vo.lead_clusters(votes, vectors, threshold)))
+
+
+def ranked_list_run(outputs: DataFrame, gold: DataFrame, cases: DataFrame, max_k: int = 5) -> DataFrame:
+    """Text outputs with a list per label kind -> mean precision and recall at k per kind.
+
+    ``gold`` holds case_id, kind, label. A label matches when it equals a gold label of its kind."""
+    kinds = {"diagnosis": "Diagnoses", "procedure": "Procedures"}
+    text = tx.with_opener(F.col("raw_output"))
+    items = F.concat(*[_tagged(tx.ranked_items(text, head, max_k), kind) for kind, head in kinds.items()])
+    keys = ("case_id", "kind")
+    found = outputs.select("case_id", F.inline(items))
+    truth = gold.select("case_id", "kind", "label", F.lit(True).alias("matched")).distinct()
+    judged = found.join(truth, ["case_id", "kind", "label"], "left").fillna(False, ["matched"])
+    every = cases.select("case_id", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
+    tally = rk.tally_at_k(judged, rk.gold_counts(every, gold, keys), max_k, keys=keys)
+    return rk.precision_recall(tally, "hits").groupBy("kind", "k").agg(
+        F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.count("*").alias("n_cases"))
+
+
+def _tagged(labels: Column, kind: str) -> Column:
+    return F.transform(labels, lambda x, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("rnk"), x.alias("label")))
+
+
+def _prompts(cases: DataFrame, evidence: DataFrame, k: int) -> DataFrame:
+    lists = pm.evidence_lists(evidence, k)
+    texts = F.coalesce("texts", F.array().cast("array<string>"))
+    return cases.join(lists, "case_id", "left").withColumn("prompt", pm.ranked_prompt(F.col("context"), pm.numbered_block(texts)))
+
+
+def fused_prompts(cases: DataFrame, parts: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Prompts with the evidence found for the parts of each case. Texts join last."""
+    hits = rt.fused_search(docs, parts, k)
+    return _prompts(cases, hits.join(docs.select("doc_id", "text"), "doc_id").select("case_id", "rnk", "text"), k)
+
+
+def prompt_table(notes: DataFrame, evidence: DataFrame, conditions: tuple[str, ...] = ("baseline", "rag", "tuned"), k: int = 10) -> DataFrame:
+    """Prompts of every case under every condition: cleaned context, and evidence unless baseline."""
+    cleaned = notes.select("case_id", tx.clean_note(F.col("context")).alias("context"))
+    with_evidence = _prompts(cleaned, evidence, k)
+    both = with_evidence.withColumn("bare", pm.ranked_prompt(F.col("context")))
+    rows = both.withColumn("cond", F.explode(F.array(*[F.lit(c) for c in conditions])))
+    return rows.select("case_id", "cond", F.when(F.col("cond") == "baseline", F.col("bare")).otherwise(F.col("prompt")).alias("prompt"))
+
+
+def alignment_run(docs: DataFrame, questions: DataFrame, answers: DataFrame, verdicts: DataFrame, k: int = 5) -> DataFrame:
+    """Retrieve for the question, align the answer with what was found, count it if correct."""
+    hits = lx.search(docs, questions, k)
+    best = rt.align(docs, answers, hits.select("query_id", "doc_id")).filter("rnk = 1").withColumnRenamed("score", "alignment")
+    return best.join(verdicts, "query_id").withColumn("reward", gr.gated_alignment(F.col("alignment"), F.col("correct")))
+
+
+def mcq_run(outputs: DataFrame, second: DataFrame, gold: DataFrame) -> DataFrame:
+    """Parse MCQ outputs, rescue failed ones from a second extraction, and count the answers."""
+    first = outputs.select("case_id", rp.mcq_answer(tx.strip_thinking(F.col("raw_output")))["answer"].alias("answer"))
+    other = second.select("case_id", rp.mcq_answer(F.col("raw_output"))["answer"].alias("rescued"))
+    merged = first.join(other, "case_id", "left").withColumn("answer", F.coalesce("answer", "rescued"))
+    return cm.answer_distribution(ex.match_records(merged.select("case_id", "answer"), gold))
+
+
+def metrics_run(predictions: DataFrame, gold: DataFrame, nli: DataFrame, cases: DataFrame, max_k: int = 5) -> DataFrame:
+    """Accuracy and grounding of all predictions, merged, per case at k, averaged."""
+    judged = rk.label_verdicts(predictions, gold)
+    grounded = gr.attach(predictions, gr.sentence_level(nli))
+    rewards = gr.reward_rows(grounded, judged)
+    tally = rk.tally_at_k(judged, rk.gold_counts(cases, gold), max_k)
+    return cm.mean_metrics(cm.metric_rows(tally, rewards, cases, max_k))
+
+
+def report_run(judged: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:
+    """Taxonomy and score distribution per model and condition."""
+    by = ("model", "cond")
+    spread = cm.distribution(judged, "g_max", threshold, by)
+    return co.taxonomy(judged, k, "g_max", threshold, by).join(spread, list(by))
