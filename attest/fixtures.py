@@ -11,8 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 LIST_LENGTH = 5
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core a share of a text scan that has fewer splits than there are cores. A scan of
+    many files is left alone, so nothing is shuffled where the data is large."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def portable_hash(text: Column) -> Column:

@@ -28,7 +28,7 @@ def term_counts(text: Column) -> Column:
                           lambda i: (i == 1) | (F.get(a, i - 1) != F.get(a, i - 2)))
         return F.when(F.size(a) > 0, let(starts, lambda s: runs(a, s))).otherwise(
             F.array().cast("array<struct<term:string,n:int>>"))
-    return let(F.array_sort(tokens(text)), from_sorted)
+    return let(F.sort_array(tokens(text)), from_sorted)
 
 
 def counted(docs: DataFrame, key: str = "doc_id") -> DataFrame:

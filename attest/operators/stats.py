@@ -124,7 +124,7 @@ def normality(rows: DataFrame, value: str, group: str, alpha: float = 0.05) -> D
 def _bounds(values: DataFrame, value: str, buckets: int) -> list[float]:
     """At most ``buckets`` cut points of the values."""
     probs = [i / buckets for i in range(1, buckets)]
-    return sorted(set(values.approxQuantile(value, probs, 0.01)))
+    return sorted(set(values.approxQuantile(value, probs, 0.01))) if probs else []
 
 
 def average_ranks(rows: DataFrame, value: str, by: str | None = None, buckets: int = 64) -> DataFrame:
