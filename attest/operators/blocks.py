@@ -125,10 +125,10 @@ def nearest(spark, docs: DataFrame, queries: DataFrame, k: int,
     else:
         n_blocks = math.ceil(n / QUERY_BLOCK)
         n_shards = max(1, math.ceil(docs.count() / shard))
-        left = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards))).withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("bigint"))
-        right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn(
-            "shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).cast("bigint"))
+        left = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards).cast("bigint"))).withColumn(
+            "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
+        right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks).cast("bigint"))).withColumn(
+            "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_shards - 1).cast("bigint"))))
 
         def meet(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
             if not len(d) or not len(q):
