@@ -13,7 +13,7 @@ from .metrics import ANSWER_VIEWS, answers
 from .registry import query
 from .retrieval import RET, corpus, lexical_hits
 from .shared import VIEWS, r6
-from .texts import ANCHORS, SECTION_VIEWS, TEXT
+from .texts import ANCHORS, SECTION_VIEWS
 
 SENT = r"""list_filter(list_transform(string_split(regexp_replace(trim({c}, ' ' || chr(10)), '([.!?])[\s\p{{Z}}]+([A-Z])', '\1' || chr(1) || '\2', 'g'),
     chr(1)), lambda s: trim(s, ' ' || chr(10))), lambda s: s <> '')"""

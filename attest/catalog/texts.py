@@ -8,7 +8,6 @@ from .. import fixtures as fx
 from ..functions import text as tx
 from ..operators import filters as fl, texts as ot
 from .registry import query
-from .shared import r6
 
 WORDS = r"list_filter(regexp_split_to_array(text, '[\s\x0b\x85\p{Z}]+'), lambda w: w <> '')"
 TEXT = {

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import vectors as vx
-from ..operators import lexical as lx, texts as ot
+from ..operators import lexical as lx
 from .registry import query
 from .shared import r6
 

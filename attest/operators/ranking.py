@@ -50,9 +50,33 @@ def tally_at_k(judged: DataFrame, gold_counts: DataFrame, max_k: int = 5,
     lists every case to report, 0 included.
     """
     keys = list(keys)
-    if matches is None:
-        matches = judged.filter("matched").select(*keys, "rnk", F.lower("label").alias("gold_label"))
     span = range(1, max_k + 1)
+    if matches is None:
+        wide = _tally_by_label(judged, gold_counts, keys, span)
+    else:
+        wide = _tally_by_match(judged, gold_counts, keys, span, matches)
+    return _per_k(wide, [*keys, "n_gold"], max_k, {
+        "n_pred": lambda k: F.col(f"n{k}"), "hits": lambda k: F.col(f"h{k}"), "covered": lambda k: F.col(f"c{k}")})
+
+
+def _tally_by_label(judged: DataFrame, gold_counts: DataFrame, keys: list[str], span: range) -> DataFrame:
+    """One pass over the predictions: counts and first match per (case, label), then per case."""
+    rnk, hit = F.col("rnk"), F.col("matched")
+    per_label = judged.groupBy(*keys, F.lower("label").alias("gold_label")).agg(
+        F.min(F.when(hit, rnk)).alias("first_rank"),
+        *[F.count(F.when(rnk <= k, 1)).alias(f"n{k}") for k in span],
+        *[F.count(F.when((rnk <= k) & hit, 1)).alias(f"h{k}") for k in span])
+    zero = F.lit(0).cast("bigint")
+    counts = [f"{c}{k}" for c in "nhc" for k in span]
+    rows = per_label.select(
+        *keys, zero.alias("n_gold"), *[f"n{k}" for k in span], *[f"h{k}" for k in span],
+        *[F.coalesce((F.col("first_rank") <= k).cast("bigint"), zero).alias(f"c{k}") for k in span])
+    gold = gold_counts.select(*keys, F.col("n_gold").cast("bigint"), *[zero.alias(c) for c in counts])
+    return rows.unionByName(gold).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n_gold", *counts)])
+
+
+def _tally_by_match(judged: DataFrame, gold_counts: DataFrame, keys: list[str], span: range,
+                    matches: DataFrame) -> DataFrame:
     blank = F.lit(0).cast("bigint")
     first = matches.groupBy(*keys, "gold_label").agg(F.min("rnk").alias("first_rank"))
     parts = [
@@ -64,13 +88,11 @@ def tally_at_k(judged: DataFrame, gold_counts: DataFrame, max_k: int = 5,
                            F.lit(None).cast("int").alias("first_rank"), F.col("n_gold").cast("bigint")),
     ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    wide = rows.groupBy(*keys).agg(
+    return rows.groupBy(*keys).agg(
         F.sum("n_gold").alias("n_gold"),
         *[F.count(F.when(F.col("rnk") <= k, 1)).alias(f"n{k}") for k in span],
         *[F.count(F.when((F.col("rnk") <= k) & (F.col("hit") == 1), 1)).alias(f"h{k}") for k in span],
         *[F.count(F.when(F.col("first_rank") <= k, 1)).alias(f"c{k}") for k in span])
-    return _per_k(wide, [*keys, "n_gold"], max_k, {
-        "n_pred": lambda k: F.col(f"n{k}"), "hits": lambda k: F.col(f"h{k}"), "covered": lambda k: F.col(f"c{k}")})
 
 
 def gold_counts(cases: DataFrame, gold: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:

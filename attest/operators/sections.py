@@ -10,26 +10,34 @@ from .topk import top_k
 EPSILON = 1e-8
 
 
-def _pairs(sentences: DataFrame, sections: DataFrame, case: str | None) -> DataFrame:
-    s = sections.withColumnRenamed("vector", "section_vector")
-    # Without a case column the sections are one shared list, checked to be short.
+def _similarity(a, b):
+    return F.round(dot(a, b) / (norm(a) * norm(b) + F.lit(EPSILON)), 10)
+
+
+def _ranked(sentences: DataFrame, sections: DataFrame, k: int, limit: int) -> DataFrame:
+    """Sections as one list of checked length beside each sentence; the k best are picked in the row."""
+    if sections.limit(limit + 1).count() > limit:
+        raise ValueError(f"a shared section list must have at most {limit} entries; give a case column")
+    listed = sections.agg(F.collect_list(F.struct("section_idx", "vector")).alias("sections"))
+    scored = F.transform("sections", lambda s: F.struct(
+        (-_similarity(F.col("vector"), s["vector"])).alias("distance"), s["section_idx"].alias("section_idx")))
+    best = F.slice(F.sort_array(scored), 1, k)
+    # One row on the broadcast side.
+    rows = sentences.join(F.broadcast(listed), F.lit(True)).select("sentence_idx", F.posexplode(best).alias("pos", "s"))
+    return rows.select("sentence_idx", "s.section_idx", (F.col("pos") + 1).alias("rnk"), (-F.col("s.distance")).alias("sim"))
+
+
+def nearest_sections(sentences: DataFrame, sections: DataFrame, k: int, case: str | None = None,
+                     limit: int = 10_000) -> DataFrame:
+    """The k sections most similar to each sentence, ties in section order. With a case column
+    every sentence sees the sections of its case, else all share one short list."""
     if case is None:
-        if s.limit(10_001).count() > 10_000:
-            raise ValueError("a shared section list must have at most 10000 entries; give a case column")
-        joined = sentences.join(F.broadcast(s), F.lit(True))
-    else:
-        joined = sentences.join(s, case)
-    size = norm(F.col("vector")) * norm(F.col("section_vector")) + F.lit(EPSILON)
-    return joined.withColumn("sim", F.round(dot(F.col("vector"), F.col("section_vector")) / size, 10))
-
-
-def nearest_sections(sentences: DataFrame, sections: DataFrame, k: int, case: str | None = None) -> DataFrame:
-    """The k sections most similar to each sentence, ties in section order."""
-    keys = [case] if case else []
-    return top_k(_pairs(sentences, sections, case), k, [*keys, "sentence_idx"], [F.desc("sim"), F.asc("section_idx")])
+        return _ranked(sentences, sections, k, limit)
+    joined = sentences.join(sections.withColumnRenamed("vector", "section_vector"), case).withColumn(
+        "sim", _similarity(F.col("vector"), F.col("section_vector")))
+    return top_k(joined, k, [case, "sentence_idx"], [F.desc("sim"), F.asc("section_idx")])
 
 
 def best_section(sentences: DataFrame, sections: DataFrame, case: str | None = None) -> DataFrame:
     keys = [case] if case else []
-    return _pairs(sentences, sections, case).groupBy(*keys, "sentence_idx").agg(
-        F.max_by("section_idx", F.struct("sim", -F.col("section_idx"))).alias("section_idx"))
+    return nearest_sections(sentences, sections, 1, case).select(*keys, "sentence_idx", "section_idx")

@@ -41,6 +41,17 @@ def test_three_recalls_differ_on_repeated_labels(spark):
     assert at3["covered"][2] == (0.0, 0.0) and at3["covered"][3] == (0.0, 0.0)
 
 
+def test_label_and_match_tallies_agree(spark):
+    preds = frame(spark, [(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (2, 1, "x")], "case_id int, rnk int, label string")
+    gold = frame(spark, [(1, "a"), (1, "b"), (2, "y")], "case_id int, label string")
+    judged = rk.label_verdicts(preds, gold)
+    counts = rk.gold_counts(preds.select("case_id").distinct(), gold)
+    matches = judged.filter("matched").select("case_id", "rnk", F.col("label").alias("gold_label"))
+    def key(df):
+        return sorted(tuple(r) for r in df.select("case_id", "k", "n_gold", "n_pred", "hits", "covered").collect())
+    assert key(rk.tally_at_k(judged, counts, 3)) == key(rk.tally_at_k(judged, counts, 3, matches))
+
+
 def test_recall_never_falls_with_k(spark):
     preds = frame(spark, [(c, r, f"l{(c * r) % 4}") for c in range(20) for r in range(1, 6)], "case_id int, rnk int, label string")
     gold = frame(spark, [(c, f"l{c % 4}") for c in range(20)] + [(c, "l1") for c in range(0, 20, 3)], "case_id int, label string").distinct()
