@@ -35,14 +35,23 @@ def review_queue(judgements: DataFrame, threshold: float = 0.6) -> DataFrame:
     return judgements.filter(F.col("confidence") < threshold)
 
 
-def run_available(stream: DataFrame, path: str, mode: str) -> None:
+def run_available(stream: DataFrame, path: str, mode: str, state_partitions: int = 8) -> None:
     """Process what has arrived. Each batch has its own folder, so a batch that is run again after
-    a failure replaces its own rows."""
+    a failure replaces its own rows.
+
+    The monitors hold few keys (windows x types, or bins) and are summed before the shuffle, so a
+    handful of state partitions serves any input; the number is fixed when a stream first starts."""
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(
-        availableNow=True).foreachBatch(save).start()
-    query.awaitTermination()
+    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    conf.set(name, str(state_partitions))
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(
+            availableNow=True).foreachBatch(save).start()
+        query.awaitTermination()
+    finally:
+        conf.set(name, before)
 
 
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
