@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import materialised
-from . import chat, mixing, quality
+from . import bpe, chat, mixing, neardup, neighbours, quality, suffixes, tokens, urls, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -93,3 +93,49 @@ def op9_chat_format(spark, sf):
         digest(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))).alias("turns_sha256"),
         F.aggregate("learnt", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("loss_chars"),
         digest(F.col("learnt")).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark, sf):
+    return tokens.token_counts(table(spark, sf, "documents"))
+
+
+@query("op10_bpe")
+def op10_bpe(spark, sf):
+    encoded = table(spark, sf, "documents").select("doc_id", bpe.ids(F.col("text")).alias("ids"))
+    return encoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2(bpe.decoded(F.col("ids")), 256).alias("decoded_sha256"))
+
+
+@query("op2_one_bit_codes")
+def op2_one_bit_codes(spark, sf):
+    indexed = materialised(neighbours.index(table(spark, sf, "embeddings")), "codes")
+    return neighbours.search(indexed, indexed.filter("vec_id % 50 = 0"), 5)
+
+
+WARC_SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first, count(*) AS n FROM p WHERE octet_length(payload) >= 100 GROUP BY d HAVING count(*) > 1)
+SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, p.d AS payload_digest,
+    CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to FROM p LEFT JOIN f ON p.d = f.d"""
+
+
+@query("op5_warc", WARC_SQL)
+def op5_warc(spark, sf):
+    return warc.round_trip(table(spark, sf, "pages"))
+
+
+@query("op3_url_trees")
+def op3_url_trees(spark, sf):
+    return urls.judged(table(spark, sf, "pages").select("page_id", "url"))
+
+
+@query("op4_neardup")
+def op4_neardup(spark, sf):
+    return neardup.deduped(table(spark, sf, "documents"))
+
+
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark, sf):
+    return suffixes.removed(table(spark, sf, "documents").select("doc_id", "text"))
