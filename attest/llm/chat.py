@@ -61,19 +61,22 @@ def paths(messages: DataFrame) -> DataFrame:
                 F.when(F.col("up").isNull(), F.col("node_id")).alias("root_id"),
                 F.lit(1).cast("bigint").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("path_score")))
     reach = materialised(start, "paths")
-    waiting, before = reach.filter("up is not null").count(), None
-    # Every round doubles the distance that ``up`` spans; on a cycle nothing reaches a root any more.
-    while waiting and waiting != before:
-        further = reach.select(
+    waiting, done = reach.filter("up is not null"), reach.filter("up is null")
+    n, before = waiting.count(), None
+    # Every round doubles the distance that ``up`` spans, and only messages that have not come to a root are joined;
+    # on a cycle nothing comes to one any more.
+    while n and n != before:
+        further = done.unionByName(waiting).select(
             F.col("tree_id").alias("_t"), F.col("node_id").alias("_n"), F.col("up").alias("_up"),
             F.col("root_id").alias("_root"), F.col("depth").alias("_depth"), F.col("path_score").alias("_score"))
         reach = materialised(
-            reach.join(further, at("up"), "left").select(
+            waiting.join(further, at("up"), "left").select(
                 "tree_id", "node_id", F.col("_up").alias("up"), "leaf", F.coalesce("root_id", "_root").alias("root_id"),
                 (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
                 (F.col("path_score") + F.coalesce("_score", F.lit(0.0))).alias("path_score")), "paths")
-        before, waiting = waiting, reach.filter("up is not null").count()
-    return reach.filter("root_id is not null").drop("up")
+        done, waiting = done.unionByName(reach.filter("up is null")), reach.filter("up is not null")
+        before, n = n, waiting.count()
+    return done.filter("root_id is not null").drop("up")
 
 
 def chosen_paths(messages: DataFrame, per_root: int = 1) -> DataFrame:
