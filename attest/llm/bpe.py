@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -136,3 +136,11 @@ def ids_digest(ids: Column) -> Column:
         for batch in batches:
             yield pa.array([hashlib.sha256(" ".join(map(str, x.as_py() or [])).encode()).hexdigest() for x in batch], pa.string())
     return digest(ids)
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row of ``docs``."""
+    encoded = docs.select("doc_id", ids(F.col("text")).alias("ids"))
+    return encoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2(decoded(F.col("ids")), 256).alias("decoded_sha256"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from ..session import materialised
@@ -102,10 +103,7 @@ def op8_token_counts(spark, sf):
 
 @query("op10_bpe")
 def op10_bpe(spark, sf):
-    encoded = table(spark, sf, "documents").select("doc_id", bpe.ids(F.col("text")).alias("ids"))
-    return encoded.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(bpe.decoded(F.col("ids")), 256).alias("decoded_sha256"))
+    return bpe.digests(table(spark, sf, "documents"))
 
 
 @query("op2_one_bit_codes")
@@ -139,3 +137,8 @@ def op4_neardup(spark, sf):
 @query("op7_suffix_dedup")
 def op7_suffix_dedup(spark, sf):
     return suffixes.removed(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)

@@ -31,3 +31,10 @@ def unit_hash(*parts: Column) -> Column:
     """A double in [0, 1) that depends on the parts alone: 52 bits of an MD5 over them."""
     digest = F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """A written table of few rows that each stand for much work (a file, a block of one), dealt out to as many
+    tasks as there are rows. A number of partitions is named so that adaptive execution, which sees only
+    the bytes of the rows, doesn't join them into one task."""
+    return rows.repartition(max(1, rows.count()))

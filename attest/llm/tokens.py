@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..session import materialised, scratch_path
 from .archives import Reader, Writer
 from .bpe import PATTERN, coder
+from .common import dealt
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 END_ID = 50256
@@ -62,7 +63,7 @@ def separators(files: DataFrame, folder: str, end_id: int = END_ID, block: int =
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["file"]], pa.string()), pa.array([row["start"]], pa.int64()), pa.array([places], pa.list_(pa.int64()))],
                     names=["file", "start", "places"])
-    return blocks.repartition("file", "start").mapInArrow(scan, "file string, start bigint, places array<bigint>")
+    return dealt(blocks).mapInArrow(scan, "file string, start bigint, places array<bigint>")
 
 
 def counts(found: DataFrame) -> DataFrame:

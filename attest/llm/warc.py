@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialised, scratch_path
 from .archives import Reader, Writer
+from .common import dealt
 
 MAGIC = b"WARC/1.1\r\n"
 LEAST_SHARED = 100
@@ -102,7 +103,7 @@ def candidates(files: DataFrame, folder: str, block: int = BLOCK_BYTES) -> DataF
                 ats, nexts = zip(*found) if found else ((), ())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(found), pa.string()), pa.array(ats, pa.int64()), pa.array(nexts, pa.int64())], names=["file", "at", "next"])
-    return blocks.repartition("file", "start").mapInArrow(scan, "file string, at bigint, next bigint")
+    return dealt(blocks).mapInArrow(scan, "file string, at bigint, next bigint")
 
 
 def reachable(found: DataFrame) -> DataFrame:
