@@ -37,7 +37,8 @@ OUTS = {**VIEWS, "v_items": """SELECT case_id, rnk, label, CASE case_id % 8 WHEN
     ELSE 'seen at ' || rnk || ' in review' END AS reasoning FROM v_predictions"""}
 
 
-@query("jsn_01", """SELECT case_id, rnk, label, reasoning, count(*) OVER (PARTITION BY case_id) >= 3 AS parse_success FROM v_items""", OUTS)
+@query("jsn_01", """SELECT case_id, rnk, label, reasoning, n >= 3 AS parse_success FROM (
+    SELECT *, count(*) OVER (PARTITION BY case_id) AS n FROM v_items) WHERE rnk <= 5""", OUTS)
 def jsn_01(spark, sf):
     parsed = ex.parse_attempts(outputs(spark, sf))
     return ex.prediction_rows(parsed, ["case_id", "parse_success"]).select("case_id", "rnk", "label", "reasoning", "parse_success")
@@ -60,9 +61,9 @@ def jsn_03(spark, sf):
     return rp.escape_inner_quotes(spoilt.select("case_id", F.col("raw_output").alias("fixed")), "fixed")
 
 
-@query("jsn_04", """SELECT case_id, rnk, label, 'seen at ' || rnk || ' in review' AS reasoning FROM v_predictions WHERE case_id % 2 = 0
-    UNION ALL SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY rnk), label, 'seen' FROM (
-        SELECT case_id, label, min(rnk) AS rnk FROM v_predictions WHERE case_id % 2 = 1 GROUP BY 1, 2)""", OUTS)
+@query("jsn_04", """SELECT case_id, rnk, label, 'seen at ' || rnk || ' in review' AS reasoning FROM v_predictions WHERE case_id % 2 = 0 AND rnk <= 5
+    UNION ALL SELECT * FROM (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY rnk), label, 'seen' FROM (
+        SELECT case_id, label, min(rnk) AS rnk FROM v_predictions WHERE case_id % 2 = 1 GROUP BY 1, 2)) t(case_id, rnk, label, reasoning) WHERE rnk <= 5""", OUTS)
 def jsn_04(spark, sf):
     """Pattern fallback over cut-off objects (even cases) and numbered lists (odd cases)."""
     row = F.when(F.col("case_id") % 2 == 0, F.concat(
@@ -97,8 +98,8 @@ def jsn_06(spark, sf):
         "attempt_id", items.isNotNull().alias("parsed"), n.alias("n"), (n == 5).alias("valid"))
 
 
-@query("jsn_07", """SELECT case_id, rnk, label, reasoning FROM v_items WHERE case_id % 8 <> 6
-    UNION ALL SELECT case_id, rnk, label, 'seen at ' || rnk || ' in review' FROM v_items WHERE case_id % 8 = 6""", OUTS)
+@query("jsn_07", """SELECT case_id, rnk, label, reasoning FROM v_items WHERE case_id % 8 <> 6 AND rnk <= 5
+    UNION ALL SELECT case_id, rnk, label, 'seen at ' || rnk || ' in review' FROM v_items WHERE case_id % 8 = 6 AND rnk <= 5""", OUTS)
 def jsn_07(spark, sf):
     """Bare lists, some without their opening bracket, with text after the closing one."""
     row = F.concat(F.lit('{"diagnosis": "'), "label", F.lit('", "explanation": "seen at '), F.col("rnk"), F.lit(' in review"}'))

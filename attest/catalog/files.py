@@ -20,12 +20,12 @@ def corpus(spark, sf):
                     F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("metadata"))
 
 
-@query("src_01", "SELECT p_partkey::VARCHAR AS p_partkey, p_name, CASE WHEN p_type = 'SMALL' THEN '' ELSE p_type END AS p_type FROM part")
+@query("src_01", "SELECT p_partkey::VARCHAR AS p_partkey, p_name || chr(10) || 'x \"y\", z' AS p_name, CASE WHEN p_type = 'SMALL' THEN '' ELSE p_type END AS p_type FROM part")
 def src_01(spark, sf):
     path = scratch_path(spark, "csv")
     rows = fx.table(spark, sf, "part").select(
-        "p_partkey", F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("p_name"), F.when(F.col("p_type") != "SMALL", F.col("p_type")).alias("p_type"))
-    rows.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        "p_partkey", F.concat(F.lit(" \t "), "p_name", F.lit("\nx \"y\", z\t\n")).alias("p_name"), F.when(F.col("p_type") != "SMALL", F.col("p_type")).alias("p_type"))
+    rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return rd.read_csv(spark, path, ("p_partkey", "p_name", "p_type"))
 
 
@@ -41,24 +41,24 @@ def src_02(spark, sf):
     return rd.load_cases(n, ls).select("case_id", "subject_id", "n_diagnoses", "n_procedures")
 
 
-@query("src_03", """SELECT c_custkey::VARCHAR AS idx, c_name AS question, c_mktsegment AS a, c_nationkey::VARCHAR AS b, '' AS d, 'A' AS answer FROM customer""")
+@query("src_03", """SELECT c_custkey::VARCHAR AS idx, c_name || chr(10) || c_name AS question, c_mktsegment AS a, c_nationkey::VARCHAR AS b, '' AS d, 'A' AS answer FROM customer""")
 def src_03(spark, sf):
     folder = scratch_path(spark, "qa")
     c = fx.table(spark, sf, "customer")
     blank = F.lit(None).cast("string")
-    values = {"idx": F.col("c_custkey"), "question": F.col("c_name"), "choice_a": F.col("c_mktsegment"), "choice_b": F.col("c_nationkey"), "answer": F.lit("A")}
+    values = {"idx": F.col("c_custkey"), "question": F.concat("c_name", F.lit("\n"), "c_name"), "choice_a": F.col("c_mktsegment"), "choice_b": F.col("c_nationkey"), "answer": F.lit("A")}
     c.select(*[values.get(n, blank).alias(n) for n in rd.MCQ_COLUMNS]).write.csv(f"{folder}/test.csv", header=True)
     return rd.read_mcq(spark, folder, "test").select("idx", "question", F.col("choices")["A"].alias("a"), F.col("choices")["B"].alias("b"),
                                                      F.col("choices")["D"].alias("d"), "answer")
 
 
-@query("src_04", "SELECT doc_id::VARCHAR AS idx, source, doc_id::VARCHAR AS faiss_id, lang AS text FROM documents")
+@query("src_04", r"SELECT doc_id::VARCHAR AS idx, source, doc_id::VARCHAR AS faiss_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS digest FROM documents WHERE regexp_matches(text, '\S')")
 def src_04(spark, sf):
     folder = scratch_path(spark, "passages")
     d = fx.table(spark, sf, "documents")
-    d.select(F.col("doc_id").alias("idx"), "source", F.col("doc_id").alias("faiss_id"), F.col("lang").alias("text")).write.csv(
-        f"{folder}/train.tsv", header=True, sep="\t")
-    return rd.read_passages(spark, folder, "train")
+    d.select(F.col("doc_id").alias("idx"), "source", F.col("doc_id").alias("faiss_id"), "text").write.csv(
+        f"{folder}/train.tsv", header=True, sep="\t", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return rd.read_passages(spark, folder, "train").select("idx", "source", "faiss_id", F.md5("text").alias("digest"))
 
 
 @query("src_05", "SELECT doc_id::VARCHAR AS doc_id, md5(text) AS digest, lang, source FROM documents")
@@ -152,12 +152,12 @@ def snk_02(spark, sf):
     return back.select("case_id", F.size("predictions").cast("bigint").alias("n_predictions"), F.array_join(F.transform("predictions", lambda p: p["label"]), "|").alias("labels"))
 
 
-@query("snk_03", "SELECT cond, count(*) AS n FROM v_cases GROUP BY 1")
+@query("snk_03", "SELECT item_id AS case_id, md5(text) AS digest FROM benchmark")
 def snk_03(spark, sf):
-    """One folder per key; here the condition, since one per case is for small runs."""
+    """One folder per case: the benchmark items, a run of the size this form is for."""
     path = scratch_path(spark, "percase")
-    wr.write_per_case(fx.cases(spark, sf), path, "cond")
-    return spark.read.json(path).groupBy("cond").agg(F.count("*").alias("n"))
+    wr.write_per_case(fx.table(spark, sf, "benchmark").withColumnRenamed("item_id", "case_id"), path)
+    return spark.read.schema("text string, case_id bigint").json(path).select("case_id", F.md5("text").alias("digest"))
 
 
 @query("snk_04", "SELECT 'aggregate' AS part, metric, k, round(avg(value), 6) + 0.0 AS value FROM v_metric_rows GROUP BY 2, 3 UNION ALL SELECT 'cases', metric, k, count(*)::DOUBLE FROM v_metric_rows GROUP BY 2, 3", VIEWS)

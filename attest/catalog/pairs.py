@@ -93,6 +93,20 @@ def join_06(spark, sf):
     return pr.with_gold_passage(evidence, gold).select("case_id", "rnk", F.md5("text").alias("digest"))
 
 
+@query("join_06_choices", """WITH e AS (SELECT doc_id % 50 AS case_id, doc_id AS rnk, trim(lang) AS text FROM documents WHERE trim(lang) <> '' AND doc_id % 3 > 0),
+    g AS (SELECT item_id AS case_id, 'en' AS text FROM benchmark),
+    both_ AS (SELECT case_id, rnk, text FROM e UNION ALL SELECT case_id, 0, text FROM g WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.case_id = g.case_id AND e.text = g.text))
+    SELECT 'retrieved' AS choice, case_id, text, count(*) AS n FROM e GROUP BY 2, 3 UNION ALL SELECT 'gold', case_id, text, count(*) FROM g GROUP BY 2, 3
+    UNION ALL SELECT 'retrieved + gold', case_id, text, count(*) FROM both_ GROUP BY 2, 3""")
+def join_06_choices(spark, sf):
+    """Every choice of evidence; blank evidence (every third document) goes."""
+    d = fx.table(spark, sf, "documents")
+    evidence = d.select((F.col("doc_id") % 50).alias("case_id"), F.col("doc_id").alias("rnk"), F.when(F.col("doc_id") % 3 > 0, F.col("lang")).otherwise(" \t").alias("text"))
+    gold = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.lit("en ").alias("text"))
+    parts = [pr.chosen_evidence(evidence, gold, c).select(F.lit(c).alias("choice"), "case_id", "text") for c in pr.EVIDENCE]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).groupBy("choice", "case_id", "text").agg(F.count("*").alias("n"))
+
+
 @query("join_08", """SELECT case_id, round(CASE WHEN n_pred > 0 AND n_gold > 0 THEN hits::DOUBLE / n_pred ELSE 0.0::DOUBLE END, 6) + 0.0 AS precision,
     round(CASE WHEN n_pred > 0 AND n_gold > 0 THEN hits::DOUBLE / n_gold ELSE 0.0::DOUBLE END, 6) + 0.0 AS recall FROM v_tally WHERE k = 3""", VIEWS)
 def join_08(spark, sf):
@@ -165,15 +179,13 @@ def join_15(spark, sf):
     return pr.aligned_metrics(runs, ["baseline", "rag"]).select("case_id", r6("baseline"), r6("rag"))
 
 
-@query("txt_19", """SELECT n.case_id, md5(concat('List the 5 most likely diagnoses as JSON with name and reasoning.', chr(10), chr(10), 'Patient:', chr(10), context,
+@query("txt_19", r"""SELECT n.case_id, md5(concat('List the 5 most likely diagnoses as JSON with name and reasoning.', chr(10), chr(10), 'Patient:', chr(10), context,
     chr(10), chr(10), 'Retrieved evidence:', chr(10), coalesce(block, 'No documents provided.'), chr(10), chr(10), 'IMPORTANT: answer with JSON only.')) AS digest
-    FROM v_notes n LEFT JOIN (SELECT doc_id, string_agg('Evidence ' || i || ':' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY i) AS block FROM (
-        SELECT r.doc_id, text, row_number() OVER (PARTITION BY r.doc_id ORDER BY query_id) AS i FROM v_relevance r JOIN benchmark ON item_id = query_id) WHERE i <= 10
+    FROM v_notes n LEFT JOIN (SELECT doc_id, string_agg('Evidence ' || i || ':' || chr(10) || trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), chr(10) || chr(10) ORDER BY i) AS block FROM (
+        SELECT r.doc_id, text, row_number() OVER (PARTITION BY r.doc_id ORDER BY query_id) AS i FROM v_relevance r JOIN benchmark ON item_id = query_id)
         GROUP BY 1) e ON e.doc_id = n.case_id""")
 def txt_19(spark, sf):
-    from ..operators.topk import top_k
-    ranked = top_k(note_evidence(spark, sf).withColumnRenamed("rnk", "query_id"), 10, ["case_id"], [F.asc("query_id")])
-    lists = pm.evidence_lists(ranked)
+    lists = pm.evidence_lists(note_evidence(spark, sf))
     rows = fx.notes(spark, sf).join(lists, "case_id", "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
     return rows.select("case_id", F.md5(pm.ranked_prompt(F.col("context"), pm.numbered_block(F.col("texts")))).alias("digest"))
 
@@ -185,6 +197,13 @@ def txt_20(spark, sf):
     return pm.judge_tasks(fx.predictions(spark, sf), fx.gold(spark, sf)).select("case_id", "rnk", "prompt")
 
 
+@query("txt_20_pairs", """SELECT p.case_id, rnk, g.label AS gold_label, concat('Candidate: "', p.label, '"', chr(10), 'Accepted:', chr(10), '- ', g.label, chr(10),
+    'Does the candidate mean the same as any accepted label? TRUE or FALSE.', chr(10), 'Verdict:') AS prompt FROM v_predictions p JOIN v_gold g USING (case_id)""")
+def txt_20_pairs(spark, sf):
+    """The pair form: one prompt per prediction and gold label; the pairs are what is asked for."""
+    return pm.pair_tasks(fx.predictions(spark, sf), fx.gold(spark, sf)).select("case_id", "rnk", "gold_label", "prompt")
+
+
 @query("udf_05", f"SELECT case_id, rnk, sentence_idx, round({OVERLAP}, 6) + 0.0 AS score FROM v_talk_pairs", PAIR)
 def udf_05(spark, sf):
     return talk_pairs(spark, sf).select("case_id", "rnk", "sentence_idx", r6(sc.lexical_overlap(F.col("premise"), F.col("sentence")), "score"))

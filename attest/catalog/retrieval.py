@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import text as tx
 from ..operators import lexical as lx, ranking as rk, retrieval as rt, topk
+from ..operators.pairs import mentioned_labels
 from .registry import query
 from .shared import r6
 from .vectors import VEC, embeddings, label_centroids
@@ -177,12 +178,18 @@ def set_05(spark, sf):
     return fx.relevance(spark, sf).join(lexical_hits(spark, sf), ["query_id", "doc_id"], "left_anti")
 
 
-@query("join_07", "SELECT query_id, doc_id FROM v_relevance")
+@query("join_07", """SELECT DISTINCT item_id AS case_id, label FROM (
+        SELECT item_id, upper(regexp_extract(text, '^[A-Za-z]+ ([A-Za-z]+ [A-Za-z]+)', 1)) AS label FROM benchmark
+        UNION SELECT item_id, regexp_extract(text, '([A-Za-z]+ [A-Za-z]+)[.]', 1) FROM benchmark UNION SELECT item_id, 'no such label' FROM benchmark) g
+    JOIN v_relevance r ON r.query_id = item_id JOIN documents d ON d.doc_id = r.doc_id
+    WHERE label <> '' AND contains(lower(d.text), lower(label))""")
 def join_07(spark, sf):
-    """Documents whose text holds a gold text of the case, each counted once."""
-    needles = fx.table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.regexp_extract("text", r"^[^.]+[.]", 0).alias("needle")).filter("needle <> ''")
-    return fx.contained(corpus(spark, sf), needles)
+    """Labels from inside and from the end of an item's sentences, in mixed case, in the documents relevant to it."""
+    items = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), "text")
+    labels = F.array(F.upper(F.regexp_extract("text", "^[A-Za-z]+ ([A-Za-z]+ [A-Za-z]+)", 1)), F.regexp_extract("text", "([A-Za-z]+ [A-Za-z]+)[.]", 1),
+                     F.lit("no such label"))
+    evidence = fx.relevance(spark, sf).join(fx.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").withColumnRenamed("query_id", "case_id")
+    return mentioned_labels(evidence, items.select("case_id", F.explode(labels).alias("label")))
 
 
 SECTION_PAIRS = {**VEC, "v_sp": """SELECT e.label AS case_id, e.vec_id AS sentence_idx, c.label AS section_idx,
@@ -208,11 +215,19 @@ def top_03(spark, sf):
     return best_section(sentences, sections)
 
 
-@query("snk_06", """SELECT v.vec_id AS doc_id, 64 AS dimension, (SELECT count(*) FROM embeddings) AS n_vectors, label FROM embeddings v""")
+@query("snk_06", """SELECT label AS cell_id, count(*) AS n_vectors, 64 AS dimension, (SELECT count(*) FROM embeddings) AS n_all,
+    round(max(list_sum(list_transform(list_zip(embedding, q), lambda z: z[1]::DOUBLE * z[2]))), 6) + 0.0 AS best FROM embeddings
+    CROSS JOIN (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1) GROUP BY 1""")
 def snk_06(spark, sf):
+    """An index saved by cell and searched from its files: the best inner product with the first vector in every cell."""
+    from ..functions.vectors import dot
     from ..session import scratch_path
     from ..sources.writers import load_index, save_index
     path = scratch_path(spark, "index")
-    save_index(embeddings(spark, sf), path)
+    save_index(embeddings(spark, sf).withColumnRenamed("label", "cell_id"), path)
     vectors, meta = load_index(spark, path)
-    return vectors.join(F.broadcast(meta), F.lit(True)).select("doc_id", "dimension", "n_vectors", "label")
+    asked = vectors.select(F.min_by("vector", "doc_id").alias("q"))
+    # One row on either broadcast side.
+    rows = vectors.join(F.broadcast(meta), F.lit(True)).join(F.broadcast(asked), F.lit(True))
+    return rows.groupBy(F.col("cell_id").cast("int").alias("cell_id")).agg(
+        F.count("*").alias("n_vectors"), F.max("dimension").alias("dimension"), F.max("n_vectors").alias("n_all"), r6(F.max(dot(F.col("vector"), F.col("q"))), "best"))

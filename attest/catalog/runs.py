@@ -41,9 +41,9 @@ def job_01(spark, sf):
         "kind", "k", r6("precision"), r6("recall"), "n_cases")
 
 
-@query("job_02", """SELECT item_id AS case_id, md5(concat('List the 5 most likely diagnoses as JSON with name and reasoning.', chr(10), chr(10), 'Patient:', chr(10), b.text,
+@query("job_02", r"""SELECT item_id AS case_id, md5(concat('List the 5 most likely diagnoses as JSON with name and reasoning.', chr(10), chr(10), 'Patient:', chr(10), b.text,
     chr(10), chr(10), 'Retrieved evidence:', chr(10), block, chr(10), chr(10), 'IMPORTANT: answer with JSON only.')) AS digest FROM benchmark b JOIN (
-    SELECT case_id, string_agg('Evidence ' || rnk || ':' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY rnk) AS block FROM (
+    SELECT case_id, string_agg('Evidence ' || rnk || ':' || chr(10) || trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), chr(10) || chr(10) ORDER BY rnk) AS block FROM (
         SELECT case_id, d.text, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, f.doc_id) AS rnk FROM (
             SELECT case_id, doc_id, max(score) AS score FROM v_phits GROUP BY 1, 2) f JOIN documents d ON d.doc_id = f.doc_id) WHERE rnk <= 5 GROUP BY 1)
     ON case_id = item_id""", FUSED)
@@ -53,16 +53,14 @@ def job_02(spark, sf):
     return jobs.fused_prompts(cases, parts, corpus(spark, sf), 5).select("case_id", F.md5("prompt").alias("digest"))
 
 
-@query("job_03", """SELECT n.case_id, cond, md5(concat('List the 5 most likely diagnoses as JSON with name and reasoning.', chr(10), chr(10), 'Patient:', chr(10), c,
+@query("job_03", r"""SELECT n.case_id, cond, md5(concat('List the 5 most likely diagnoses as JSON with name and reasoning.', chr(10), chr(10), 'Patient:', chr(10), c,
     CASE WHEN cond = 'baseline' THEN '' ELSE concat(chr(10), chr(10), 'Retrieved evidence:', chr(10), coalesce(block, 'No documents provided.')) END,
     chr(10), chr(10), 'IMPORTANT: answer with JSON only.')) AS digest FROM v_clean n CROSS JOIN (VALUES ('baseline'), ('rag'), ('tuned')) t(cond)
-    LEFT JOIN (SELECT doc_id, string_agg('Evidence ' || i || ':' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY i) AS block FROM (
-        SELECT r.doc_id, text, row_number() OVER (PARTITION BY r.doc_id ORDER BY query_id) AS i FROM v_relevance r JOIN benchmark ON item_id = query_id) WHERE i <= 10
+    LEFT JOIN (SELECT doc_id, string_agg('Evidence ' || i || ':' || chr(10) || trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), chr(10) || chr(10) ORDER BY i) AS block FROM (
+        SELECT r.doc_id, text, row_number() OVER (PARTITION BY r.doc_id ORDER BY query_id) AS i FROM v_relevance r JOIN benchmark ON item_id = query_id)
         GROUP BY 1) e ON e.doc_id = n.case_id""", NOTE)
 def job_03(spark, sf):
-    from ..operators.topk import top_k
-    evidence = top_k(note_evidence(spark, sf).withColumnRenamed("rnk", "query_id"), 10, ["case_id"], [F.asc("query_id")])
-    return jobs.prompt_table(fx.notes(spark, sf), evidence).select("case_id", "cond", F.md5("prompt").alias("digest"))
+    return jobs.prompt_table(fx.notes(spark, sf), note_evidence(spark, sf)).select("case_id", "cond", F.md5("prompt").alias("digest"))
 
 
 @query("job_04", """SELECT query_id, doc_id, round(score, 6) + 0.0 AS alignment, CASE WHEN query_id % 2 = 0 THEN round(score, 6) + 0.0 ELSE 0.0::DOUBLE END AS reward
@@ -105,8 +103,8 @@ def job_06(spark, sf):
 
 @query("job_07", """SELECT model, cond, total, round(eb::DOUBLE / total, 6) + 0.0 AS eb_pct, round(h::DOUBLE / total, 6) + 0.0 AS h_pct,
     round(CASE WHEN c > 0 THEN eb::DOUBLE / c ELSE 0 END, 6) + 0.0 AS faithfulness, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std FROM (
-    SELECT model, cond, count(*) AS total, count(CASE WHEN matched AND g_max > 0.5::DOUBLE THEN 1 END) AS eb, count(CASE WHEN NOT matched AND g_max < -0.5::DOUBLE THEN 1 END) AS h,
-        count(CASE WHEN matched THEN 1 END) AS c, avg(g_max) AS mean, stddev_pop(g_max) AS std FROM v_judged_run GROUP BY 1, 2)""", VIEWS)
+    SELECT model, cond, count(*) FILTER (rnk <= 5) AS total, count(CASE WHEN rnk <= 5 AND matched AND g_max > 0.5::DOUBLE THEN 1 END) AS eb,
+        count(CASE WHEN rnk <= 5 AND NOT matched AND g_max < -0.5::DOUBLE THEN 1 END) AS h, count(CASE WHEN rnk <= 5 AND matched THEN 1 END) AS c, avg(g_max) AS mean, stddev_pop(g_max) AS std FROM v_judged_run GROUP BY 1, 2)""", VIEWS)
 def job_07(spark, sf):
     out = jobs.report_run(sh.judged_with_run(spark, sf))
     return out.select("model", "cond", "total", *[r6(c) for c in ("eb_pct", "h_pct", "faithfulness", "mean", "std")])

@@ -87,8 +87,8 @@ NOTE = {"v_clean": r"""SELECT case_id, trim(regexp_replace(regexp_replace(regexp
         regexp_replace(c, '(?im)^.*\b(note_id|subject_id|hadm_id)\s*:.*\n?', '', 'g'),
         '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), ' ' || chr(10)) AS c FROM (
     SELECT doc_id AS case_id, regexp_replace(regexp_replace(concat('note_id: ', doc_id, chr(10), 'Chief complaint: ', substr(t, 1, 60), chr(10),
-        'History of present illness: ', substr(t, 61, 120), chr(10), 'ECG: ', lang, chr(10),
-        'ECG machine report: ', source, '; ', lang, '.'), '\b_+\b', ' ', 'g'), '_+\s*-\s*', '', 'g') AS c
+        'History of present illness: ', substr(t, 61), chr(10), 'ECG: ', lang, chr(10),
+        'ECG machine report: ', source, '; ', lang, '.', chr(10), 'ECG machine report: ', lang, '.'), '\b_+\b', ' ', 'g'), '_+\s*-\s*', '', 'g') AS c
     FROM (SELECT *, replace(text, chr(10), ' ') AS t FROM documents))"""}
 
 
@@ -97,13 +97,15 @@ def txt_07(spark, sf):
     return fx.notes(spark, sf).select("case_id", tx.clean_note(F.col("context")).alias("cleaned"))
 
 
-@query("txt_08", """SELECT doc_id AS case_id, concat('ECG machine report: ', source, '; ', lang, '.') AS report FROM documents""")
+@query("txt_08", """SELECT doc_id AS case_id, concat('ECG machine report: ', source, '; ', lang, '.', chr(10), 'ECG machine report: ', lang, '.') AS report FROM documents""")
 def txt_08(spark, sf):
     cleaned = tx.dedupe_report(F.col("context"))
-    return fx.notes(spark, sf).select("case_id", F.element_at(F.split(cleaned, "\n"), -1).alias("report"))
+    return fx.notes(spark, sf).select("case_id", F.array_join(F.slice(F.split(cleaned, "\n"), -2, 2), "\n").alias("report"))
 
 
-@query("txt_09")
+# The pages hold four named entities.
+@query("txt_09", r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
+    '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '&#x?[0-9a-fA-F]+;', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS text FROM pages""")
 def txt_09(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", tx.clean_evidence(F.col("html")).alias("text"))
 
@@ -132,11 +134,12 @@ def txt_12(spark, sf):
 
 
 ANCHORS = ("Chief complaint", "History of present illness")
-SECTION_VIEWS = {"v_note_sections": r"""SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY i) - 1 AS section_idx, label, content
+# A repeated label keeps its first place and takes its later content.
+SECTION_VIEWS = {"v_note_sections": r"""SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY min(i)) - 1 AS section_idx, label, arg_max(content, i) AS content
     FROM (SELECT case_id, i, regexp_extract(line, '^([^:]+): *(.*)$', 1) AS label,
         trim(regexp_extract(line, '^([^:]+):(.*)$', 2)) AS content FROM (
         SELECT case_id, unnest(string_split(context, chr(10))) AS line, generate_subscripts(string_split(context, chr(10)), 1) AS i
-        FROM v_notes)) WHERE label <> 'note_id' AND content <> ''"""}
+        FROM v_notes)) WHERE label <> 'note_id' AND content <> '' GROUP BY case_id, label"""}
 
 
 @query("txt_13", "SELECT case_id, section_idx, label, content FROM v_note_sections", SECTION_VIEWS)
@@ -209,7 +212,7 @@ def txt_22(spark, sf):
     return fx.judgements(spark, sf).select("judgement_id", right.alias("verdict"), sure.alias("confidence"))
 
 
-@query("txt_23", """SELECT case_id, rnk - 1 AS position, label AS item FROM v_predictions""")
+@query("txt_23", """SELECT case_id, rnk - 1 AS position, label AS item FROM v_predictions WHERE rnk <= 5""")
 def txt_23(spark, sf):
     """Ranked lists written as text (numbered and bulleted lines) and read back."""
     line = F.when(F.col("rnk") % 3 == 0, F.concat(F.lit("- "), "label")).otherwise(

@@ -7,23 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-# A ranked answer list has five places.
-LIST_LENGTH = 5
-
-
-TEXT_TABLES = ("documents", "pages")
+# Shorter sentences of an item are found in any text.
+SENTENCE_LENGTH = 20
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Give every core a share of a text scan that has fewer splits than there are cores. A scan of
-    many files is left alone, so nothing is shuffled where the data is large."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def portable_hash(text: Column) -> Column:
@@ -48,7 +37,6 @@ def predictions(spark, sf):
         table(spark, sf, "lineitem")
         .filter("l_returnflag <> 'N'")
         .withColumn("rnk", F.row_number().over(order))
-        .filter(F.col("rnk") <= LIST_LENGTH)
         .select(
             F.col("l_orderkey").alias("case_id"), "rnk", "l_partkey",
             (F.round(base, 6) + 0.0).alias("g_max"),
@@ -92,7 +80,6 @@ def votes(spark, sf):
     ranked = (
         table(spark, sf, "lineitem").withColumn("sample_idx", sample)
         .withColumn("position", F.row_number().over(order) - 1)
-        .filter(F.col("position") < LIST_LENGTH)
         .select(F.col("l_orderkey").alias("case_id"), "sample_idx", "position", "l_partkey")
     )
     part = table(spark, sf, "part").select(
@@ -102,32 +89,20 @@ def votes(spark, sf):
 
 
 def relevance(spark, sf):
-    """Documents that contain the first sentence of a benchmark item."""
-    items = table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.regexp_extract("text", r"^[^.]+[.]", 0).alias("needle")).filter("needle <> ''")
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return contained(docs, items)
+    """Documents that contain a sentence of a benchmark item, whichever of its sentences it is.
 
-
-def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(query_id, doc_id) where ``docs.text`` contains ``items.needle``.
-
-    A needle is a run of non-dot characters and its dot, so a text holds it exactly where one
-    of the text's own runs ends with it: an equi-join on the last characters, then a test."""
+    A sentence is a run of non-dot characters and its dot, so a text holds it exactly where one of the text's
+    own runs ends with it: an equi-join on the last characters, then a test."""
+    items = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.explode(F.regexp_extract_all("text", F.lit("[^.]+[.]"), F.lit(0))).alias("needle"))
     # Splitting at the dots is linear; matching runs would rescan a text that has none.
-    pieces = F.transform(F.filter(F.expr("slice(split(text, '[.]'), 1, size(split(text, '[.]')) - 1)"), lambda x: x != ""),
+    pieces = F.transform(F.filter(F.expr("slice(split(text, '[.]'), 1, size(split(text, '[.]')) - 1)"), lambda x: F.length(x) >= SENTENCE_LENGTH - 1),
                          lambda x: F.concat(x, F.lit(".")))
-    runs = docs.filter(F.contains("text", F.lit("."))).select("doc_id", F.explode(F.array_distinct(pieces)).alias("run"))
-    found = None
-    for width, keep in ((8, F.length("needle") >= 8), (2, F.length("needle") < 8)):
-        hit = (
-            runs.withColumn("tail", F.right("run", F.lit(width)))
-            .join(items.filter(keep).withColumn("tail", F.right("needle", F.lit(width))), "tail")
-            .filter(F.endswith("run", "needle")).select("query_id", "doc_id")
-        )
-        found = hit if found is None else found.unionByName(hit)
-    return found.distinct()
+    runs = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(pieces)).alias("run"))
+    tail = lambda c: F.right(c, F.lit(SENTENCE_LENGTH))
+    needles = items.filter(F.length("needle") >= SENTENCE_LENGTH).withColumn("tail", tail(F.col("needle")))
+    return runs.withColumn("tail", tail(F.col("run"))).join(needles, "tail").filter(
+        F.endswith("run", "needle")).select("query_id", "doc_id").distinct()
 
 
 def attempts(spark, sf):
@@ -170,10 +145,10 @@ def notes(spark, sf):
         F.concat(
             F.lit("note_id: "), F.col("doc_id").cast("string"), nl,
             F.lit("Chief complaint: "), F.substring(t, 1, 60), nl,
-            F.lit("History of present illness: "), F.substring(t, 61, 120), nl,
+            F.lit("History of present illness: "), F.substr(t, F.lit(61)), nl,
             F.lit("ECG: "), F.col("lang"), nl,
-            F.lit("ECG machine report: "), F.col("source"), F.lit("; "), F.col("source"), F.lit("; "),
-            F.col("lang")).alias("context"))
+            F.lit("ECG machine report: "), F.col("source"), F.lit("; "), F.col("source"), F.lit("; "), F.col("lang"), nl,
+            F.lit("ECG machine report: "), F.col("lang"), F.lit("; "), F.col("lang")).alias("context"))
 
 
 SQL = {
@@ -185,7 +160,7 @@ SQL = {
             round((l_quantity - 25.5) / 24.5 * (1 - l_discount), 6) + 0.0 AS g_avg,
             row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
                 l_extendedprice, l_quantity) AS rnk
-        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N') WHERE rnk <= 5""",
+        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N')""",
     "v_gold": """SELECT DISTINCT l_orderkey AS case_id, p_brand AS label
         FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F'""",
     "v_nli_base": """SELECT case_id, rnk, s AS sentence_idx, p AS premise_idx,
@@ -198,10 +173,10 @@ SQL = {
         SELECT l_orderkey AS case_id, l_suppkey % 5 AS sample_idx, p_brand AS label, p_name AS reasoning,
             row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 5 ORDER BY l_linenumber, l_partkey, l_suppkey,
                 l_extendedprice, l_quantity) - 1 AS position
-        FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE position < 5""",
-    "v_relevance": """SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d
-        ON contains(d.text, regexp_extract(b.text, '^[^.]+[.]'))
-        WHERE regexp_extract(b.text, '^[^.]+[.]') <> ''""",
+        FROM lineitem JOIN part ON l_partkey = p_partkey)""",
+    "v_relevance": """SELECT DISTINCT item_id AS query_id, doc_id FROM
+        (SELECT item_id, unnest(regexp_extract_all(text, '[^.]+[.]')) AS needle FROM benchmark) b
+        JOIN documents d ON length(needle) >= 20 AND contains(d.text, needle)""",
     "v_attempts": """SELECT event_id AS attempt_id, ts, user_id AS subject_id,
         CASE event_id % 8 WHEN 0 THEN '' WHEN 1 THEN substr(props, 1, length(props) - 1)
             WHEN 2 THEN concat('Here is the output: ', props) WHEN 3 THEN concat(props, ']')
@@ -214,7 +189,8 @@ SQL = {
         FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND u.turn = a.turn - 1
         WHERE a.role = 'assistant' AND u.role = 'user'""",
     "v_notes": """SELECT doc_id AS case_id, concat('note_id: ', cast(doc_id AS varchar), chr(10),
-        'Chief complaint: ', substr(t, 1, 60), chr(10), 'History of present illness: ', substr(t, 61, 120), chr(10),
-        'ECG: ', lang, chr(10), 'ECG machine report: ', source, '; ', source, '; ', lang) AS context
+        'Chief complaint: ', substr(t, 1, 60), chr(10), 'History of present illness: ', substr(t, 61), chr(10),
+        'ECG: ', lang, chr(10), 'ECG machine report: ', source, '; ', source, '; ', lang, chr(10),
+        'ECG machine report: ', lang, '; ', lang) AS context
         FROM (SELECT *, replace(text, chr(10), ' ') AS t FROM documents)""",
 }

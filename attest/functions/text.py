@@ -103,14 +103,13 @@ def sections(c: Column) -> Column:
 
 
 def dedupe_report(c: Column, label: str = "ECG machine report:") -> Column:
-    """Distinct phrases, in order, of the first line that holds the report label."""
-    line = F.regexp_extract(c, label + r"[^\n]*", 0)
-    phrases = F.array_distinct(F.filter(F.transform(
-        F.split(F.substring(line, len(label) + 1, 1 << 30), ";"), strip), lambda p: p != ""))
-    cleaned = F.concat(F.lit(label + " "), F.array_join(phrases, "; "), F.lit("."))
-    at = F.instr(c, line)
-    spliced = F.concat(F.substr(c, F.lit(1), at - 1), cleaned, F.substr(c, at + F.length(line)))
-    return F.when(line != "", spliced).otherwise(c)
+    """Distinct phrases, in order, of every line's report: what follows the label up to the end of its line."""
+    def cleaned(line):
+        at = F.instr(line, label)
+        phrases = F.array_distinct(F.filter(F.transform(
+            F.split(F.substr(line, at + len(label)), ";"), strip), lambda p: p != ""))
+        return F.when(at > 0, F.concat(F.substr(line, F.lit(1), at - 1), F.lit(label + " "), F.array_join(phrases, "; "), F.lit("."))).otherwise(line)
+    return F.array_join(F.transform(F.split(c, "\n"), cleaned), "\n")
 
 
 def clean_note(c: Column) -> Column:

@@ -21,6 +21,7 @@ BROADCAST_QUERIES = 4096
 BROADCAST_CELLS = 4_000_000
 QUERY_BLOCK = 4096
 SHARD = 20_000
+CELLS = 4_000_000
 DIGITS = 10
 
 
@@ -62,39 +63,63 @@ def _mask(scores: np.ndarray, docs: pd.DataFrame, queries: pd.DataFrame) -> np.n
     return np.where((overlap > 0) | open_query[None, :], scores, -np.inf)
 
 
-def dense_block(docs: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Inner products of vectors scaled to unit length."""
-    def unit(column):
-        m = np.stack([np.asarray(v, dtype=np.float64) for v in column])
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(n == 0, 1.0, n)
-    scores = np.round(unit(docs["vector"]) @ unit(queries["vector"]).T, DIGITS) + 0.0
-    return _frame(_mask(scores, docs, queries), docs["doc_id"].to_numpy(), queries["query_id"].to_numpy(), k)
+def _sliced(docs: pd.DataFrame, queries: pd.DataFrame, k: int, score: Callable[[pd.DataFrame], np.ndarray]) -> pd.DataFrame:
+    """Scores slices of the documents, so that a matrix of documents x queries has at most CELLS cells, and keeps k per query."""
+    step, best = max(1, CELLS // max(1, len(queries))), None
+    for start in range(0, len(docs), step):
+        part = docs.iloc[start:start + step]
+        scores = _mask(np.round(score(part), DIGITS) + 0.0, part, queries)
+        found = _frame(scores, part["doc_id"].to_numpy(), queries["query_id"].to_numpy(), k)
+        best = found if best is None else _trim(pd.concat([best, found]), k)
+    return _frame(np.zeros((0, 0)), np.zeros(0), np.zeros(0), k) if best is None else best
+
+
+def dense_block(docs: pd.DataFrame, queries: pd.DataFrame, k: int, epsilon: float = 0.0) -> pd.DataFrame:
+    """Inner products over the product of the lengths plus ``epsilon``; 0 for null, empty and zero vectors."""
+    width = max([len(v) for v in [*docs["vector"], *queries["vector"]] if v is not None], default=0)
+
+    def matrix(column):
+        return np.stack([np.zeros(width) if v is None or not len(v) else np.asarray(v, dtype=np.float64) for v in column])
+
+    def unit(m):
+        n = np.linalg.norm(m, axis=1)
+        return n, m / np.where(n == 0, 1.0, n)[:, None]
+    q_norm, q = unit(matrix(queries["vector"]))
+
+    def score(part):
+        d_norm, d = unit(matrix(part["vector"]))
+        scores = d @ q.T
+        if epsilon:
+            product = d_norm[:, None] * q_norm[None, :]
+            scores *= product / (product + epsilon)
+        return scores
+    return _sliced(docs, queries, k, score)
 
 
 def sparse_block(docs: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Inner products of sparse vectors over the terms of the query block."""
-    names = pd.Index(sorted({t for ts in queries["terms"] for t in ts}))
-    asked = np.zeros((len(names), len(queries)))
-    for j, (ts, ws) in enumerate(zip(queries["terms"], queries["weights"])):
-        if len(ts):
-            asked[names.get_indexer(list(ts)), j] = ws
-    scores = np.zeros((len(docs), len(queries)))
-    step = max(1, 4_000_000 // max(1, len(names)))
-    terms, weights = list(docs["terms"]), list(docs["weights"])
-    for start in range(0, len(docs), step):
-        part = range(start, min(len(docs), start + step))
-        block = np.zeros((len(part), len(names)))
-        sizes = [len(terms[i]) for i in part]
-        if len(names) and sum(sizes):
-            row = np.repeat(np.arange(len(part)), sizes)
-            at = names.get_indexer(np.concatenate([terms[i] for i in part if len(terms[i])]))
-            w = np.concatenate([weights[i] for i in part if len(weights[i])])
-            known = at >= 0
-            block[row[known], at[known]] = w[known]
-            scores[start:start + len(part)] = block @ asked
-    return _frame(_mask(np.round(scores, DIGITS) + 0.0, docs, queries), docs["doc_id"].to_numpy(),
-                  queries["query_id"].to_numpy(), k)
+    """Inner products of sparse vectors: each term of a document meets the queries that ask for it."""
+    def flat(column):
+        filled = [v for v in column if v is not None and len(v)]
+        return np.concatenate(filled) if filled else np.zeros(0)
+
+    def sizes(column):
+        return [0 if v is None else len(v) for v in column]
+    names = pd.Index(sorted({t for ts in queries["terms"] if ts is not None for t in ts}))
+    term = names.get_indexer(flat(queries["terms"]))
+    order = np.argsort(term, kind="stable")
+    asking = np.repeat(np.arange(len(queries)), sizes(queries["terms"]))[order]
+    weight = flat(queries["weights"])[order]
+    starts = np.searchsorted(term[order], np.arange(len(names) + 1))
+
+    def score(part):
+        at = names.get_indexer(flat(part["terms"]))
+        known = at >= 0
+        row, at, w = np.repeat(np.arange(len(part)), sizes(part["terms"]))[known], at[known], flat(part["weights"])[known]
+        fan = starts[at + 1] - starts[at]
+        met = np.repeat(starts[at], fan) + np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
+        cell = np.repeat(row, fan) * len(queries) + asking[met]
+        return np.bincount(cell, np.repeat(w, fan) * weight[met], len(part) * len(queries)).reshape(len(part), len(queries))
+    return _sliced(docs, queries, k, score)
 
 
 def nearest(spark, docs: DataFrame, queries: DataFrame, k: int,
@@ -123,7 +148,8 @@ def nearest(spark, docs: DataFrame, queries: DataFrame, k: int,
                 yield _trim(best, k)
         hits = docs.mapInPandas(local, schema)
     else:
-        n_blocks = math.ceil(n / QUERY_BLOCK)
+        # A block of queries is bounded by its number and by the terms or components it holds.
+        n_blocks = max(1, math.ceil(n / QUERY_BLOCK), math.ceil(cells / BROADCAST_CELLS))
         n_shards = max(1, math.ceil(docs.count() / shard))
         left = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards).cast("bigint"))).withColumn(
             "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))

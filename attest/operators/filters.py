@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# The three-character code prefixes of the cardiac cohort, as ranges.
-CARDIAC_PREFIXES = tuple(
-    [f"I{n}" for n in range(20, 26)] + [f"I{n}" for n in range(30, 51)]
-    + [str(n) for n in range(410, 415)] + [str(n) for n in range(420, 429)])
-
-# The labelled sections of a case text, in order.
-SECTION_LABELS = (
-    "Chief complaint", "History of present illness", "Physical exam", "Invasions", "X-ray", "CT",
-    "Ultrasound", "CATH", "ECG", "MRI", "ECG machine report")
-SECTION_COLUMNS = (
-    "chief_complaint", "HPI", "physical_exam", "invasions", "X-ray", "CT", "Ultrasound", "CATH", "ECG", "MRI", "reports")
+# The three-character code prefixes of the cardiac cohort.
+CARDIAC_PREFIXES = (
+    "I20", "I21", "I22", "I23", "I24", "I25", "I30", "I31", "I32", "I33", "I34", "I35", "I36", "I37", "I38", "I39", "I40", "I41",
+    "I42", "I43", "I44", "I45", "I46", "I47", "I48", "I49", "I50", "410", "411", "412", "413", "414", "420", "421", "422", "423",
+    "424", "425", "426", "427", "428")
+
+# The labelled sections of a case text, in order, and the column each is read from.
+SECTIONS = (
+    ("Chief complaint", "chief_complaint"), ("History of present illness", "HPI"), ("Physical exam", "physical_exam"), ("Invasions", "invasions"),
+    ("X-ray", "X-ray"), ("CT", "CT"), ("Ultrasound", "Ultrasound"), ("CATH", "CATH"), ("ECG", "ECG"), ("MRI", "MRI"), ("ECG machine report", "reports"))
+SECTION_LABELS = tuple(label for label, _ in SECTIONS)
+SECTION_COLUMNS = tuple(column for _, column in SECTIONS)
 ID_COLUMNS = ("note_id", "subject_id", "hadm_id")
 
 

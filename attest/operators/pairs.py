@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
+from ..functions.text import strip
 from ..functions.vectors import dot, norm
 
 JUDGED = ["case_id", "rnk"]
@@ -58,15 +59,25 @@ def premise_sentence_pairs(premises: DataFrame, reasoning: DataFrame, split=tx.s
     return sentences.join(premises, "case_id")
 
 
+EVIDENCE = ("none", "gold", "retrieved", "retrieved + gold")
+
+
 def with_gold_passage(evidence: DataFrame, gold: DataFrame) -> DataFrame:
-    """Put the gold passage before the evidence of a case unless its text is already there."""
-    first = gold.filter(F.trim("text") != "").select("case_id", F.trim("text").alias("text"))
-    have = evidence.select("case_id", F.trim("text").alias("text"))
-    missing = first.join(have, ["case_id", "text"], "left_anti")
-    shift = missing.select("case_id", F.lit(1).alias("shift"))
-    moved = evidence.join(shift, "case_id", "left").withColumn("rnk", F.col("rnk") + F.coalesce("shift", F.lit(0))).select(
-        "case_id", "rnk", F.trim("text").alias("text"))
-    return moved.unionByName(missing.select("case_id", F.lit(1).alias("rnk"), "text"))
+    """Put the gold passage before the evidence of a case unless its text is already there. Blank evidence goes, and
+    ranks close up."""
+    first = gold.select("case_id", strip(F.col("text")).alias("text")).filter("text <> ''")
+    have = evidence.select("case_id", "rnk", strip(F.col("text")).alias("text")).filter("text <> ''")
+    missing = first.join(have, ["case_id", "text"], "left_anti").select("case_id", F.lit(0).alias("rnk"), "text")
+    order = W.partitionBy("case_id").orderBy("rnk")
+    return have.unionByName(missing).withColumn("rnk", F.row_number().over(order)).select("case_id", "rnk", "text")
+
+
+def chosen_evidence(evidence: DataFrame, gold: DataFrame, choice: str) -> DataFrame:
+    """The evidence of a run: none, the gold passage alone, what was retrieved, or both."""
+    if choice not in EVIDENCE:
+        raise ValueError(f"choice must be one of {EVIDENCE}")
+    retrieved = evidence if "retrieved" in choice else evidence.filter(F.lit(False))
+    return with_gold_passage(retrieved, gold if "gold" in choice else gold.filter(F.lit(False)))
 
 
 def exact_match_at_k(predictions: DataFrame, gold: DataFrame, cases: DataFrame, k: int) -> DataFrame:
@@ -123,3 +134,12 @@ def aligned_metrics(runs: DataFrame, columns: list[str]) -> DataFrame:
     wide = runs.filter(F.col("run").isin(columns)).groupBy("case_id").agg(
         *[F.max(F.when(F.col("run") == c, F.col("value"))).alias(c) for c in columns])
     return wide.dropna(subset=columns)
+
+
+def mentioned_labels(evidence: DataFrame, gold: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """Gold labels that occur, in whatever case, in a piece of their own case's evidence: (keys, label), each once.
+
+    Labels are distinct per case before they meet the evidence, and a label leaves a task once per case."""
+    labels = gold.select(*keys, "label").filter(F.col("label") != "").distinct()
+    found = evidence.select(*keys, F.lower("text").alias("_low")).join(labels, list(keys)).filter(F.contains("_low", F.lower("label")))
+    return found.select(*keys, "label").distinct()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import clean_evidence
+
 NO_EVIDENCE = "No documents provided."
 
 
@@ -14,11 +16,12 @@ def numbered_block(texts: Column, head: str = "Evidence {i}:\n", empty: str = NO
     return F.when(F.size(texts) > 0, F.array_join(items, "\n\n")).otherwise(F.lit(empty))
 
 
-def evidence_lists(evidence: DataFrame, k: int = 10) -> DataFrame:
-    """The first k evidence texts of each case in rank order. Rows beyond k never reach the list."""
-    kept = evidence.filter(F.col("rnk") <= k)
-    lists = kept.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rnk", "text"))).alias("e"))
-    return lists.select("case_id", F.transform("e", lambda x: F.trim(x["text"])).alias("texts"))
+def evidence_lists(evidence: DataFrame, k: int | None = None) -> DataFrame:
+    """The evidence texts of each case, cleaned and in rank order: all that was retrieved, or the first k. Rows beyond
+    k never reach the list."""
+    kept = evidence if k is None else evidence.filter(F.col("rnk") <= k)
+    lists = kept.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rnk", clean_evidence(F.col("text")).alias("text")))).alias("e"))
+    return lists.select("case_id", F.transform("e", lambda x: x["text"]).alias("texts"))
 
 
 def ranked_prompt(context: Column, block: Column | None = None, n: int = 5) -> Column:

@@ -1,13 +1,13 @@
 """Metrics at k over ranked predictions.
 
-All of them are sums a partial aggregate can take before the shuffle: no per-case window and no
+The sums at k are such as a partial aggregate can take before the shuffle: no per-case window and no
 per-case list, so a case that holds a large share of the rows costs no more than its share.
 Column names: ``case_id, rnk`` (from 1), ``label``; results are long, ``case_id, k, value``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 RECALLS = ("covered", "capped", "hits")
 
@@ -125,11 +125,20 @@ def precision_recall(tally: DataFrame, recall: str = "covered") -> DataFrame:
     ).withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
-def coverage_curve(judged: DataFrame, max_rank: int = 5) -> DataFrame:
-    """One row per prediction: hits and distinct gold labels covered up to its rank."""
-    tally = tally_at_k(judged, judged.select("case_id").distinct().withColumn("n_gold", F.lit(0)), max_rank)
-    return judged.select("case_id", F.col("rnk").alias("k"), "label", "matched").join(
-        tally.select("case_id", "k", "hits", "covered"), ["case_id", "k"]).withColumnRenamed("k", "rnk")
+def coverage_curve(judged: DataFrame, width: int = 64) -> DataFrame:
+    """One row per prediction: hits and distinct gold labels covered up to its rank.
+
+    Running counts in two levels: ranks fall into bands of ``width``, a window runs inside a band, and the bands'
+    totals run per case, so the list of one case is shared among tasks. A label counts where it first matches."""
+    first = judged.filter("matched").groupBy("case_id", "label").agg(F.min("rnk").alias("first_rnk"))
+    rows = judged.join(first, ["case_id", "label"], "left").withColumn("band", F.expr(f"(rnk - 1) div {width}")).withColumns({
+        "hit": F.col("matched").cast("long"), "new": (F.col("matched") & (F.col("rnk") == F.col("first_rnk"))).cast("long")})
+    inside = W.partitionBy("case_id", "band").orderBy("rnk")
+    before = W.partitionBy("case_id").orderBy("band").rowsBetween(W.unboundedPreceding, -1)
+    bands = rows.groupBy("case_id", "band").agg(F.sum("hit").alias("h"), F.sum("new").alias("c")).select(
+        "case_id", "band", F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c"))
+    return rows.withColumns({"hits": F.sum("hit").over(inside), "covered": F.sum("new").over(inside)}).join(bands, ["case_id", "band"]).select(
+        "case_id", "rnk", "label", "matched", (F.col("hits") + F.col("h")).alias("hits"), (F.col("covered") + F.col("c")).alias("covered"))
 
 
 def label_counts(predictions: DataFrame, gold: DataFrame, cases: DataFrame,

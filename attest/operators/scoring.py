@@ -21,6 +21,12 @@ def _batched(df: DataFrame, load: Callable[[], Callable], columns: list[str], sc
     return df.select(*columns).mapInPandas(run, schema)
 
 
+def _digest(df: DataFrame, *columns: str) -> Column:
+    """128 bits over the columns; rows with a null among them get keys that spread and meet nothing."""
+    whole = F.md5(F.concat(*[part for c in columns for part in (F.octet_length(c).cast("string"), F.lit(":"), F.col(c))]))
+    return F.coalesce(whole, F.concat(F.lit("null:"), F.xxhash64(*df.columns).cast("string")))
+
+
 def embed(texts: DataFrame, load: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
     """(text, vector) for the distinct texts; ``load`` returns a function from texts to vectors."""
     return _batched(texts.select("text").distinct(), load, ["text"], "text string, vector array<double>",
@@ -28,17 +34,19 @@ def embed(texts: DataFrame, load: Callable[[], Callable[[list[str]], list]]) ->
 
 
 def score_pairs(pairs: DataFrame, load: Callable[[], Callable[[list[tuple[str, str]]], list]]) -> DataFrame:
-    """Adds entailment, neutral, contradiction. Each distinct (premise, sentence) is scored once."""
+    """Adds entailment, neutral, contradiction. Each distinct (premise, sentence) is scored once; rows without
+    either keep null scores. Rows meet their scores by a digest, so texts are shuffled once and are no keys."""
     def apply(f, batch):
         scores = f(list(zip(batch["premise"], batch["sentence"])))
         out = batch.copy()
         for i, c in enumerate(("entailment", "neutral", "contradiction")):
             out[c] = [float(s[i]) for s in scores]
         return out
-    distinct = pairs.select("premise", "sentence").distinct()
-    scored = _batched(distinct, load, ["premise", "sentence"],
-                      "premise string, sentence string, entailment double, neutral double, contradiction double", apply)
-    return pairs.join(scored, ["premise", "sentence"])
+    keyed = pairs.withColumn("_key", _digest(pairs, "premise", "sentence"))
+    distinct = keyed.filter("premise is not null and sentence is not null").select("_key", "premise", "sentence").dropDuplicates(["_key"])
+    scored = _batched(distinct, load, ["_key", "premise", "sentence"],
+                      "_key string, premise string, sentence string, entailment double, neutral double, contradiction double", apply)
+    return keyed.join(scored.drop("premise", "sentence"), "_key", "left").drop("_key")
 
 
 def judge(tasks: DataFrame, load: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
@@ -49,10 +57,11 @@ def judge(tasks: DataFrame, load: Callable[[], Callable[[list[str]], list]]) ->
             said = [bool(x) for x in f(list(batch["prompt"]))]
         except Exception:
             said = [False] * len(batch)
-        return pd.DataFrame({"prompt": batch["prompt"], "is_correct": said})
-    asked = tasks.filter(F.col("prompt").isNotNull()).select("prompt").distinct()
-    verdicts = _batched(asked, load, ["prompt"], "prompt string, is_correct boolean", apply)
-    return tasks.join(verdicts, "prompt", "left").fillna(False, ["is_correct"])
+        return pd.DataFrame({"_key": batch["_key"], "is_correct": said})
+    keyed = tasks.withColumn("_key", _digest(tasks, "prompt"))
+    asked = keyed.filter(F.col("prompt").isNotNull()).select("_key", "prompt").dropDuplicates(["_key"])
+    verdicts = _batched(asked, load, ["_key", "prompt"], "_key string, is_correct boolean", apply)
+    return keyed.join(verdicts, "_key", "left").drop("_key").fillna(False, ["is_correct"])
 
 
 def lexical_overlap(premise: Column, sentence: Column) -> Column:

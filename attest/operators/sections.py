@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import dot, norm
+from .blocks import dense_block, nearest
 from .topk import top_k
 
 EPSILON = 1e-8
@@ -15,9 +18,12 @@ def _similarity(a, b):
 
 
 def _ranked(sentences: DataFrame, sections: DataFrame, k: int, limit: int) -> DataFrame:
-    """Sections as one list of checked length beside each sentence; the k best are picked in the row."""
+    """Up to ``limit`` sections stand as one list beside each sentence and the k best are picked in the row; more are
+    searched in blocks, with the same result."""
     if sections.limit(limit + 1).count() > limit:
-        raise ValueError(f"a shared section list must have at most {limit} entries; give a case column")
+        found = nearest(sentences.sparkSession, sections.withColumnRenamed("section_idx", "doc_id"),
+                        sentences.withColumnRenamed("sentence_idx", "query_id"), k, partial(dense_block, epsilon=EPSILON))
+        return found.select(F.col("query_id").alias("sentence_idx"), F.col("doc_id").alias("section_idx"), "rnk", F.col("score").alias("sim"))
     listed = sections.agg(F.collect_list(F.struct("section_idx", "vector")).alias("sections"))
     scored = F.transform("sections", lambda s: F.struct(
         (-_similarity(F.col("vector"), s["vector"])).alias("distance"), s["section_idx"].alias("section_idx")))
@@ -28,9 +34,9 @@ def _ranked(sentences: DataFrame, sections: DataFrame, k: int, limit: int) -> Da
 
 
 def nearest_sections(sentences: DataFrame, sections: DataFrame, k: int, case: str | None = None,
-                     limit: int = 10_000) -> DataFrame:
+                     limit: int = 1_000) -> DataFrame:
     """The k sections most similar to each sentence, ties in section order. With a case column
-    every sentence sees the sections of its case, else all share one short list."""
+    every sentence sees the sections of its case, else all share one set."""
     if case is None:
         return _ranked(sentences, sections, k, limit)
     joined = sentences.join(sections.withColumnRenamed("vector", "section_vector"), case).withColumn(

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import distributions as ds
+from ..session import materialised
 
 
 def describe(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -124,16 +125,18 @@ def normality(rows: DataFrame, value: str, group: str, alpha: float = 0.05) -> D
 def _bounds(values: DataFrame, value: str, buckets: int) -> list[float]:
     """At most ``buckets`` cut points of the values."""
     probs = [i / buckets for i in range(1, buckets)]
-    return sorted(set(values.approxQuantile(value, probs, 0.01))) if probs else []
+    return sorted(set(values.approxQuantile(value, probs, 0.1 / buckets))) if probs else []
 
 
-def average_ranks(rows: DataFrame, value: str, by: str | None = None, buckets: int = 64) -> DataFrame:
+def average_ranks(rows: DataFrame, value: str, by: str | None = None, bucket_rows: int = 100_000) -> DataFrame:
     """(value, n, rank): the average rank of each distinct value over all rows.
 
     Counts per distinct value are ranged into buckets; a running count inside a bucket plus the
-    total of the buckets below gives the rank. No window spans all rows."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    cuts = _bounds(counts, "value", buckets)
+    total of the buckets below gives the rank. No window spans all rows. The counts are written once; their
+    number gives the number of buckets, so that a bucket holds some ``bucket_rows`` values at any size."""
+    counts = materialised(
+        rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n")), "counts")
+    cuts = _bounds(counts, "value", 1 + counts.count() // bucket_rows)
     edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
     placed = counts.withColumn("bucket", F.size(F.filter(edges, lambda e: e < F.col("value"))))
     totals = placed.groupBy("bucket").agg(F.sum("n").alias("total"))

@@ -81,7 +81,7 @@ def _tagged(labels: Column, kind: str) -> Column:
     return F.transform(labels, lambda x, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("rnk"), x.alias("label")))
 
 
-def _prompts(cases: DataFrame, evidence: DataFrame, k: int) -> DataFrame:
+def _prompts(cases: DataFrame, evidence: DataFrame, k: int | None) -> DataFrame:
     lists = pm.evidence_lists(evidence, k)
     texts = F.coalesce("texts", F.array().cast("array<string>"))
     return cases.join(lists, "case_id", "left").withColumn("prompt", pm.ranked_prompt(F.col("context"), pm.numbered_block(texts)))
@@ -93,7 +93,7 @@ def fused_prompts(cases: DataFrame, parts: DataFrame, docs: DataFrame, k: int) -
     return _prompts(cases, hits.join(docs.select("doc_id", "text"), "doc_id").select("case_id", "rnk", "text"), k)
 
 
-def prompt_table(notes: DataFrame, evidence: DataFrame, conditions: tuple[str, ...] = ("baseline", "rag", "tuned"), k: int = 10) -> DataFrame:
+def prompt_table(notes: DataFrame, evidence: DataFrame, conditions: tuple[str, ...] = ("baseline", "rag", "tuned"), k: int | None = None) -> DataFrame:
     """Prompts of every case under every condition: cleaned context, and evidence unless baseline."""
     cleaned = notes.select("case_id", tx.clean_note(F.col("context")).alias("context"))
     with_evidence = _prompts(cleaned, evidence, k)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.text import strip
+
 CORPUS = T.StructType([
     T.StructField("doc_id", T.StringType()), T.StructField("text", T.StringType()),
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
@@ -18,12 +22,13 @@ def strings(columns) -> T.StructType:
 
 def _clean(df: DataFrame) -> DataFrame:
     """Every value stripped, null as an empty string, unnamed columns dropped."""
-    kept = [c for c in df.columns if c and not c.startswith("_c")]
-    return df.select(*[F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in kept])
+    kept = [c for c in df.columns if c and not re.fullmatch(r"_c\d+", c)]
+    return df.select(*[F.coalesce(strip(F.col(f"`{c}`")), F.lit("")).alias(c) for c in kept])
 
 
-def read_csv(spark: SparkSession, path, columns, sep: str = ",", multi_line: bool = False) -> DataFrame:
-    """``multi_line`` reads quoted line breaks, at the price of one task per file."""
+def read_csv(spark: SparkSession, path, columns, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """Quoted line breaks belong to their value, which makes a file one task; a folder of files is still many.
+    ``multi_line=False`` splits large files whose values are known to hold no line breaks."""
     return _clean(spark.read.schema(strings(columns)).options(
         header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, enforceSchema=False).csv(path))
 
@@ -41,8 +46,9 @@ def read_passages(spark: SparkSession, folder: str, split: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines; blank lines are skipped, missing metadata is empty; an empty corpus is an error."""
-    rows = spark.read.schema(CORPUS).json(path).filter(F.col("doc_id").isNotNull() | F.col("text").isNotNull())
+    """JSON lines; blank lines are skipped, missing metadata is empty; a line that isn't JSON and an empty corpus
+    are errors."""
+    rows = spark.read.schema(CORPUS).option("mode", "FAILFAST").json(path).filter(F.col("doc_id").isNotNull() | F.col("text").isNotNull())
     if rows.limit(1).count() == 0:
         raise ValueError(f"no documents under {path}")
     return rows.withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
@@ -60,7 +66,7 @@ def dataset_corpus(rows: DataFrame, name: str, split: str, position: str, text:
                    max_records: int | None = None) -> DataFrame:
     """Dataset rows as a corpus: blank texts skipped, id from the position column, which counts
     skipped rows too, and a cap on the position."""
-    kept = rows.filter(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
+    kept = rows.filter(strip(F.coalesce(F.col(text), F.lit(""))) != "")
     if max_records is not None:
         kept = kept.filter(F.col(position) < max_records)
     return kept.select(F.concat_ws("::", F.lit(name), F.lit(split), F.col(position).cast("string")).alias("doc_id"), F.col(text).alias("text"))
@@ -97,7 +103,7 @@ def flatten_results(results: DataFrame) -> dict[str, DataFrame]:
     return {
         "cases": results.select("case_id", "context"),
         "evidence": spread("evidence", "doc_id", "text", "score"),
-        "predictions": spread("predictions", "label", "reasoning").filter(F.trim("label") != ""),
+        "predictions": spread("predictions", "label", "reasoning").filter(strip(F.col("label")) != ""),
         "gold": results.select("case_id", F.explode("gold").alias("label")),
     }
 

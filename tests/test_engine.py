@@ -114,8 +114,8 @@ def test_tail_probabilities():
 def test_average_ranks_with_ties(spark):
     values = [3.0, 1.0, 3.0, 2.0, 3.0, 1.0]
     rows = spark.createDataFrame([(v,) for v in values], "v double")
-    for buckets in (1, 3, 64):
-        got = {r.value: r.rank for r in st.average_ranks(rows, "v", buckets=buckets).collect()}
+    for bucket_rows in (1, 2, 100):
+        got = {r.value: r.rank for r in st.average_ranks(rows, "v", bucket_rows=bucket_rows).collect()}
         assert got == {1.0: 1.5, 2.0: 3.0, 3.0: 5.0}
 
 
