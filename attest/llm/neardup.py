@@ -4,8 +4,8 @@ A document's set is its distinct five-word shingles, as 64-bit hashes; its sketc
 of equal sets are one class from the start. Inverted lists of the retained values give candidates, the union of
 two sketches estimates their similarity, and pairs that may reach the threshold are confirmed on full sets.
 
-A pair at the threshold shares at least SHARED of the values in the union's sketch (short of it by chance in one
-of some hundred thousand such pairs; sets of up to 27 are exact). So, with a document's values ordered by the
+A pair at the threshold shares at least SHARED of the values in the union's sketch (by the binomial law one such pair in
+280,000 shares fewer; sets of up to 27 are exact). So, with a document's values ordered by the
 length of their lists, two such documents meet in the lists of their len - SHARED + 1 rarest values: passages that
 many documents share fall outside, and most documents have no candidate at all.
 
@@ -23,8 +23,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import materialised
-from .common import let, lower_ascii, words
+from ..session import SCRATCH, release_since
+from .common import let, lower_ascii, materialised, words
 from .components import components
 
 WORDS = 5
@@ -103,13 +103,15 @@ def estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """(class_id, sh): the full sets of the wanted classes, from a second scan of the texts.
+    """(class_id, sh): the full sets of the wanted classes, from a second scan of the texts, written.
 
-    Of the rows that bear a class's id those count whose set is the class's."""
-    keys = sets.join(wanted.distinct(), "class_id", "leftsemi").select("class_id", "hi", "lo", F.col("n").cast("int").alias("n"))
+    Of the rows that bear a class's id those count whose set is the class's. That is looked up in the written table:
+    as a condition beside the join, Spark would build every document's set before it."""
+    keys = sets.join(wanted.distinct(), "class_id", "leftsemi").select("class_id", "hi", "lo")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("class_id"), F.col(text).alias("_t")).join(keys, "class_id")
-    built = rows.select("class_id", "hi", "lo", F.sort_array(shingles(F.col("_t"))).alias("sh"))
-    return built.filter((F.xxhash64("sh") == F.col("hi")) & (F.xxhash64(F.lit(7), F.col("sh")) == F.col("lo"))).select("class_id", "sh")
+    whole = lambda s: F.struct(s.alias("sh"), F.xxhash64(s).alias("hi"), F.xxhash64(F.lit(7), s).alias("lo"))
+    built = materialised(rows.select("class_id", "hi", "lo", let(F.sort_array(shingles(F.col("_t"))), whole).alias("s")), "full-sets")
+    return built.filter("s.hi = hi and s.lo = lo").select("class_id", "s.sh")
 
 
 def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -140,13 +142,13 @@ def across_pairs(full: DataFrame, comps: DataFrame) -> DataFrame:
         rest * (100 + PERCENT) >= PERCENT * F.expr("na + nb")).select(F.col("class_ida").alias("a"), F.col("class_idb").alias("b")).distinct()
 
 
-def links(docs: DataFrame, sets: DataFrame, text: str = "text") -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, text: str = "text", short: int = SHORT) -> DataFrame:
     """(a, b): confirmed links between classes, enough of them to join whatever is linked."""
     postings = rare_postings(sets)
-    near = materialised(estimated(short_pairs(postings).unionByName(star_pairs(postings)).distinct(), sets), "pairs")
-    dense = materialised(postings.filter(F.col("size") > SHORT).select("class_id").distinct(), "dense-ids")
+    near = materialised(estimated(short_pairs(postings, short).unionByName(star_pairs(postings, short)).distinct(), sets), "pairs")
+    dense = materialised(postings.filter(F.col("size") > short).select("class_id").distinct(), "dense-ids")
     ends = near.select(F.explode(F.array("a", "b")).alias("class_id"))
-    full = materialised(full_sets(docs, sets, ends.unionByName(dense), text), "full-sets")
+    full = full_sets(docs, sets, ends.unionByName(dense), text)
     first = materialised(confirmed(near, full), "confirmed")
     if dense.isEmpty():
         return first
@@ -154,8 +156,9 @@ def links(docs: DataFrame, sets: DataFrame, text: str = "text") -> DataFrame:
     return first.unionByName(confirmed(across_pairs(full.join(dense, "class_id", "leftsemi"), comps), full))
 
 
-def deduped(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
+def deduped(docs: DataFrame, text: str = "text", short: int = SHORT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of ``docs``. ``short`` decides how lists are compared, not what is found."""
+    mark = len(SCRATCH)
     sketches = materialised(sketched(docs, text), "sketches")
     sets = materialised(classes(sketches), "classes")
     keyed = sketches.drop("sketch").join(sets.select("hi", "lo", F.col("n").alias("n_shingles"), "class_id"), ["hi", "lo", "n_shingles"], "left")
@@ -163,7 +166,8 @@ def deduped(docs: DataFrame, text: str = "text") -> DataFrame:
     # Rows that share an id are one node: their classes are linked.
     shared = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low < high")
     same = rows.join(shared, "doc_id").select(F.col("class_id").alias("a"), F.col("low").alias("b"))
-    comps = materialised(components(links(docs, sets, text).unionByName(same)), "components")
+    comps = materialised(components(links(docs, sets, text, short).unionByName(same)), "components")
+    release_since(mark, ("members", "components"))
     found = rows.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
     component = F.coalesce("component", "class_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
