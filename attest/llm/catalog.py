@@ -5,9 +5,8 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from ..session import materialised
 from . import bpe, chat, mixing, neardup, neighbours, quality, suffixes, tokens, urls, warc
-from .common import table
+from .common import materialised, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

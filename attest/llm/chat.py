@@ -19,8 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import materialised
-from .common import let
+from .common import let, materialised
 
 ROLE, TEXT, END = "<|role|>", "<|text|>", "<|end|>"
 LEARNT = "assistant"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import session
+
 # A word is a run of code points other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,3 +40,20 @@ def dealt(rows: DataFrame) -> DataFrame:
     tasks as there are rows. A number of partitions is named so that adaptive execution, which sees only
     the bytes of the rows, doesn't join them into one task."""
     return rows.repartition(max(1, rows.count()))
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back. Nobody reads the shuffle files behind it again, so Spark is
+    told to remove them when it is written, as far as it knows the setting; the setting is put back."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    if before is None:
+        return session.materialised(df, name)
+    conf.set(CLEANUP, "true")
+    try:
+        return session.materialised(df, name)
+    finally:
+        conf.set(CLEANUP, before)

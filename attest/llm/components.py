@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialised
+from .common import materialised
+
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -13,8 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialised
-from .common import let, words
+from .common import let, materialised, words
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50

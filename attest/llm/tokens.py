@@ -18,10 +18,10 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import materialised, scratch_path
+from ..session import scratch_path
 from .archives import Reader, Writer
 from .bpe import PATTERN, coder
-from .common import dealt
+from .common import dealt, materialised
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 END_ID = 50256

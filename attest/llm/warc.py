@@ -21,9 +21,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialised, scratch_path
+from ..session import scratch_path
 from .archives import Reader, Writer
-from .common import dealt
+from .common import dealt, materialised
 
 MAGIC = b"WARC/1.1\r\n"
 LEAST_SHARED = 100
