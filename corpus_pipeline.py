@@ -1,11 +1,14 @@
-"""The corpus pipeline: five stages, each of which writes its documents as Parquet for the next one."""
+"""The corpus pipeline: five stages; the documents each returns are written as Parquet for the next one.
+
+A stage is called when the documents of the one before have been written, and then removes what that one kept in the
+shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attest.llm import bpe, mixing, neardup, quality, suffixes
-from attest.session import materialised
+from attest.session import SCRATCH, materialised, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,22 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe.digests(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("suffix dedup", suffix_dedup), ("mixing", mixing_sources), ("bpe", bpe_encoding)]
+_kept: dict[int, list[str]] = {}
+
+
+def _stage(number: int, work):
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for earlier in [n for n in _kept if n < number]:
+            release(_kept.pop(earlier))
+        mark = len(SCRATCH)
+        out = work(spark, docs, sf_dir)
+        _kept[number] = SCRATCH[mark:]
+        return out
+    return stage
+
+
+STAGES = [(name, _stage(number, work)) for number, (name, work) in enumerate((
+    ("quality rules", quality_rules), ("near dedup", near_dedup), ("suffix dedup", suffix_dedup), ("mixing", mixing_sources), ("bpe", bpe_encoding)))]
 
 # Prefix doubling and merges have no SQL; the stages are tested one by one and the run against a brute-force version.
 ORACLE_SQL = None
