@@ -58,12 +58,12 @@ def jsn_02(spark, sf):
     '\\"the\\" review"}', ', ' ORDER BY rnk) || ']}' AS fixed FROM v_items WHERE case_id % 8 = 6 GROUP BY 1""", OUTS)
 def jsn_03(spark, sf):
     spoilt = outputs(spark, sf).filter(~rp.is_json(F.col("raw_output")) & (F.col("case_id") % 8 == 6))
-    return rp.escape_inner_quotes(spoilt.select("case_id", F.col("raw_output").alias("fixed")), "fixed")
+    return spoilt.select("case_id", rp.escape_inner_quotes(F.col("raw_output")).alias("fixed"))
 
 
 @query("jsn_04", """SELECT case_id, rnk, label, 'seen at ' || rnk || ' in review' AS reasoning FROM v_predictions WHERE case_id % 2 = 0 AND rnk <= 5
     UNION ALL SELECT * FROM (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY rnk), label, 'seen' FROM (
-        SELECT case_id, label, min(rnk) AS rnk FROM v_predictions WHERE case_id % 2 = 1 GROUP BY 1, 2)) t(case_id, rnk, label, reasoning) WHERE rnk <= 5""", OUTS)
+        SELECT case_id, label, min(rnk) AS rnk FROM v_predictions WHERE case_id % 2 = 1 AND rnk <= 5 GROUP BY 1, 2)) t(case_id, rnk, label, reasoning)""", OUTS)
 def jsn_04(spark, sf):
     """Pattern fallback over cut-off objects (even cases) and numbered lists (odd cases)."""
     row = F.when(F.col("case_id") % 2 == 0, F.concat(
@@ -160,8 +160,8 @@ def failures(spark, sf):
     return fx.attempts(spark, sf).filter(~F.col("success")).withColumn("error_type", rp.error_class(F.col("raw_output"), message))
 
 
-@query("jsn_10", """SELECT attempt_id, error_type, CASE attempt_id % 8 WHEN 0 THEN 'appears_truncated|extra_text_before'
-    WHEN 1 THEN 'appears_truncated|unmatched_braces' WHEN 2 THEN 'extra_text_before' ELSE 'unmatched_brackets' END AS patterns FROM v_errors""", ERRORS)
+@query("jsn_10", """SELECT attempt_id, error_type, CASE attempt_id % 8 WHEN 0 THEN '' WHEN 1 THEN 'appears_truncated|unmatched_braces'
+    WHEN 2 THEN 'appears_truncated|extra_text_before' ELSE 'appears_truncated|unmatched_brackets' END AS patterns FROM v_errors""", ERRORS)
 def jsn_10(spark, sf):
     return failures(spark, sf).select("attempt_id", "error_type", F.array_join(rp.error_patterns(F.col("raw_output")), "|").alias("patterns"))
 

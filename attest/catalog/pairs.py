@@ -266,7 +266,7 @@ GRD5 = {**PAIR, "v_tp": f"""SELECT case_id, rnk, i - 1 AS sentence_idx, s[i] AS
 
 
 @query("grd_05", """SELECT case_id, rnk, round(arg_max(score, {'a': abs(score), 'b': -sentence_idx}), 6) + 0.0 AS g_max, round(avg(score), 6) + 0.0 AS g_avg,
-    count(*) AS num_sentences FROM v_ts GROUP BY 1, 2""", GRD5)
+    count(*) AS num_sentences, string_agg(score::DECIMAL(12,6)::VARCHAR, '|' ORDER BY sentence_idx) AS sentence_scores FROM v_ts GROUP BY 1, 2""", GRD5)
 def grd_05(spark, sf):
     """MCQ grounding over the talk table: question as premise, any-case sentence split, overlap less a half as score."""
     from ..plans.jobs import mcq_grounding
@@ -274,7 +274,8 @@ def grd_05(spark, sf):
     premises = talk.select("case_id", "rnk", F.lit(0).alias("premise_idx"), F.col("context").alias("premise"))
     score = F.round(sc.lexical_overlap(F.col("premise"), F.col("sentence")) - 0.5, 9) + 0.0
     out = mcq_grounding(premises, talk, score)
-    return out.select("case_id", "rnk", r6("g_max"), r6("g_avg"), "num_sentences")
+    listed = F.array_join(F.transform("sentence_scores", lambda s: s.cast("decimal(12,6)").cast("string")), "|")
+    return out.select("case_id", "rnk", r6("g_max"), r6("g_avg"), "num_sentences", listed.alias("sentence_scores"))
 
 
 @query("grd_08", """SELECT r.query_id, r.doc_id, matched, CASE WHEN matched THEN round(score, 6) + 0.0 ELSE 0.0::DOUBLE END AS reward FROM (

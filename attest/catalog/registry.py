@@ -9,8 +9,7 @@ from ..fixtures import SQL
 
 _QUERIES: dict = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("texts", "vectors", "retrieval", "metrics", "grounding", "cohorts", "extraction", "pairs", "judging", "statistics", "voting", "files", "runs",
-            )
+_MODULES = ("texts", "vectors", "retrieval", "metrics", "grounding", "cohorts", "extraction", "pairs", "judging", "statistics", "voting", "files", "runs", "training")
 
 
 def with_views(body: str, extra: dict[str, str] | None = None) -> str:

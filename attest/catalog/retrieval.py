@@ -129,6 +129,18 @@ def ret_07(spark, sf):
     return rt.fused_search(corpus(spark, sf), parts, 5).select("case_id", "rnk", "doc_id", r6("score"))
 
 
+@query("ret_07_sections", """SELECT case_id, rnk, doc_id, round(score, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY case_id
+    ORDER BY score DESC, doc_id) AS rnk FROM (SELECT case_id, doc_id, max(score) AS score FROM v_phits GROUP BY 1, 2)) WHERE rnk <= 5""",
+    {**FUSED, "v_parts": """SELECT item_id AS case_id, 0 AS part_idx, CASE WHEN item_id % 2 = 0 THEN regexp_extract(text, '^[^.]+[.]') ELSE text END AS text FROM benchmark
+        UNION ALL SELECT item_id, 1, 'sinus ' || translate(text, chr(10), ' ') FROM benchmark WHERE item_id % 2 = 0"""})
+def ret_07_sections(spark, sf):
+    """Even items as texts of two labelled sections, odd ones without any, which are asked as a whole."""
+    items = fx.table(spark, sf, "benchmark")
+    labelled = F.concat(F.lit("Chief complaint: "), F.regexp_extract("text", "^[^.]+[.]", 0), F.lit("\nECG: sinus "), F.translate("text", "\n", " "))
+    cases = items.select(F.col("item_id").alias("case_id"), F.when(F.col("item_id") % 2 == 0, labelled).otherwise(F.col("text")).alias("context"))
+    return rt.fused_search(corpus(spark, sf), rt.section_queries(cases), 5).select("case_id", "rnk", "doc_id", r6("score"))
+
+
 @query("ret_08", """SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rnk, round(score, 6) + 0.0 AS score
     FROM v_relevance JOIN v_scored USING (query_id, doc_id)""", RET)
 def ret_08(spark, sf):

@@ -102,12 +102,13 @@ def job_06(spark, sf):
 
 
 @query("job_07", """SELECT model, cond, total, round(eb::DOUBLE / total, 6) + 0.0 AS eb_pct, round(h::DOUBLE / total, 6) + 0.0 AS h_pct,
-    round(CASE WHEN c > 0 THEN eb::DOUBLE / c ELSE 0 END, 6) + 0.0 AS faithfulness, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std FROM (
+    round(CASE WHEN c > 0 THEN eb::DOUBLE / c ELSE 0 END, 6) + 0.0 AS faithfulness, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, true AS bracketed FROM (
     SELECT model, cond, count(*) FILTER (rnk <= 5) AS total, count(CASE WHEN rnk <= 5 AND matched AND g_max > 0.5::DOUBLE THEN 1 END) AS eb,
         count(CASE WHEN rnk <= 5 AND NOT matched AND g_max < -0.5::DOUBLE THEN 1 END) AS h, count(CASE WHEN rnk <= 5 AND matched THEN 1 END) AS c, avg(g_max) AS mean, stddev_pop(g_max) AS std FROM v_judged_run GROUP BY 1, 2)""", VIEWS)
 def job_07(spark, sf):
-    out = jobs.report_run(sh.judged_with_run(spark, sf))
-    return out.select("model", "cond", "total", *[r6(c) for c in ("eb_pct", "h_pct", "faithfulness", "mean", "std")])
+    out = jobs.report_run(sh.judged_with_run(spark, sf), F.xxhash64("case_id", "rnk"))
+    return out.select("model", "cond", "total", *[r6(c) for c in ("eb_pct", "h_pct", "faithfulness", "mean", "std")],
+                      F.expr("lower <= mean and mean <= upper and lower < upper").alias("bracketed"))
 
 
 @query("str_01", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, CASE WHEN success THEN 'success' ELSE CASE attempt_id % 8 WHEN 0 THEN 'empty_output'

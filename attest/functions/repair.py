@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .text import let, strip, strip_thinking
 
@@ -109,22 +108,17 @@ def _escape_inner(text: str) -> str:
     return re.sub(r'\\.|"', mark, text, flags=re.DOTALL)
 
 
-def escape_inner_quotes(rows: DataFrame, column: str) -> DataFrame:
-    """Escape inner quotes in a text column. It needs a left-to-right pass in Python, so give it
-    a null for rows that need none; the other columns pass through as Arrow arrays."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(column)
-            field = batch.schema.field(at)
-            texts = [None if t is None else _escape_inner(t) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, field, pa.array(texts, type=field.type))
-    return rows.mapInArrow(run, rows.schema)
+@F.arrow_udf(T.StringType())
+def escape_inner_quotes(texts: pa.Array) -> pa.Array:
+    """Escape inner quotes. It needs a left-to-right pass in Python, so give it a null for rows that need none; only
+    this column travels."""
+    return pa.array([None if t is None else _escape_inner(t) for t in texts.to_pylist()], pa.string())
 
 
 def repaired(rows: DataFrame, column: str) -> DataFrame:
     """All repair steps on a text column, in order."""
     head = rows.withColumn(column, repair_head(F.col(column)))
-    return escape_inner_quotes(head, column).withColumn(column, repair_tail(F.col(column)))
+    return head.withColumn(column, escape_inner_quotes(F.col(column))).withColumn(column, repair_tail(F.col(column)))
 
 
 def _first(item: Column, names: tuple[str, ...]) -> Column:
@@ -272,15 +266,23 @@ def error_class(raw: Column, message: Column) -> Column:
             .when(message.isNotNull() & (message != ""), "json_syntax").otherwise("unknown"))
 
 
-def error_patterns(raw: Column) -> Column:
-    """Marks seen in a failed output, as a list."""
+def error_patterns(raw: Column, message: Column | None = None) -> Column:
+    """Marks seen in a failed output and in its error message, as a list. Looking ends with the mark that decides the
+    error's class; any output that isn't blank counts as possibly cut off."""
     def count(mark):
         return F.length(raw) - F.length(F.replace(raw, F.lit(mark), F.lit("")))
-    text = strip(raw)
-    return F.array_compact(F.array(
-        F.when(text.rlike(r"\.\.$") | ~text.rlike(r"[}\]]$"), "appears_truncated"),
-        F.when(count("{") != count("}"), "unmatched_braces"),
-        F.when(count("[") != count("]"), "unmatched_brackets"),
-        F.when(~text.rlike(r"^[{\[]"), "extra_text_before"),
-        F.when(F.contains(raw, F.lit("\\u")) | F.contains(raw, F.lit("\\x")), "escape_sequences"),
-        F.when(raw.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), "control_characters")))
+    text, m = strip(F.coalesce(raw, F.lit(""))), F.lower(F.lit(None).cast("string") if message is None else message)
+    braces, brackets = count("{") != count("}"), count("[") != count("]")
+    before = ~text.rlike(r"^[{\[]")
+    preamble = before & (F.greatest(F.instr(text, F.lit("{")), F.instr(text, F.lit("["))) > 1)
+    control = raw.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+    decode = m.rlike("json") & m.rlike("decode")
+    said = (F.when(decode & m.rlike("expecting"), "json_syntax_expecting").when(decode & m.rlike("extra data"), "json_extra_data")
+            .when(m.rlike("key|field"), "missing_field").when(m.rlike("type"), "type_error"))
+    marks = F.array_compact(F.array(
+        F.lit("appears_truncated"), F.when(braces, "unmatched_braces"), F.when(~braces & brackets, "unmatched_brackets"),
+        F.when(~(braces | brackets) & before, "extra_text_before"),
+        F.when(~(braces | brackets | preamble) & (F.contains(raw, F.lit("\\u")) | F.contains(raw, F.lit("\\x"))), "escape_sequences"),
+        F.when(~(braces | brackets | preamble) & control, "control_characters"),
+        F.when(~(braces | brackets | preamble | control), said)))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(marks)

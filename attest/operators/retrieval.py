@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import labelled_sections
 from ..functions.vectors import sparse_cosine
 from . import lexical
 from .blocks import dense_block, nearest
@@ -48,7 +49,8 @@ def cell_search(cells: DataFrame, centres: np.ndarray, queries: DataFrame, k: in
 
     @F.pandas_udf("array<int>")
     def probe(vectors: pd.Series) -> pd.Series:
-        q = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+        empty = np.zeros(unit.shape[1])
+        q = np.stack([empty if v is None or len(v) != len(empty) else np.asarray(v, dtype=np.float64) for v in vectors])
         return pd.Series(list(np.argsort(-(q @ unit.T), axis=1, kind="stable")[:, :n_probe].astype(np.int32)))
     sizes = cells.groupBy("cell_id").agg(F.ceil(F.count("*") / shard).cast("int").alias("n_shards"))
     # One row per cell, of which there are as many as centres.
@@ -80,6 +82,13 @@ def fused_search(docs: DataFrame, parts: DataFrame, k: int) -> DataFrame:
     return fuse(hits.join(asked.select("query_id", "case_id"), "query_id"), k)
 
 
+def section_queries(cases: DataFrame) -> DataFrame:
+    """(case_id, part_idx, text): each labelled section of a case's text is a query; the whole text if it has none."""
+    found = F.transform(labelled_sections(F.col("context")), lambda s: s["content"])
+    parts = F.when(F.size(found) > 0, found).otherwise(F.array("context"))
+    return cases.select("case_id", F.posexplode(parts).alias("part_idx", "text"))
+
+
 def align(docs: DataFrame, answers: DataFrame, candidates: DataFrame) -> DataFrame:
     """Rank each answer's candidate documents by TF-IDF cosine with the answer text."""
     frequency = lexical.frequency_table(docs)

@@ -24,7 +24,7 @@ def condition_report(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
 
 
 def mcq_grounding(premises: DataFrame, reasoning: DataFrame, score: Column) -> DataFrame:
-    """Grounding of MCQ answers: each reasoning sentence against each premise of its case.
+    """Grounding of MCQ answers: each reasoning sentence against each premise of its case, with the sentences' scores.
 
     ``premises`` holds case_id, rnk, premise_idx, premise. A case without reasoning keeps null."""
     sentences = reasoning.select("case_id", "rnk", F.posexplode(tx.sentences_any(F.col("reasoning"))).alias("sentence_idx", "sentence"))
@@ -33,7 +33,8 @@ def mcq_grounding(premises: DataFrame, reasoning: DataFrame, score: Column) -> D
         gr.strongest(F.col("score"), F.col("premise_idx")).alias("score"))
     per_case = per_sentence.groupBy("case_id", "rnk").agg(
         gr.strongest(F.col("score"), F.col("sentence_idx")).alias("g_max"), F.avg("score").alias("g_avg"),
-        F.count("*").alias("num_sentences"))
+        F.count("*").alias("num_sentences"),
+        F.transform(F.sort_array(F.collect_list(F.struct("sentence_idx", "score"))), lambda s: s["score"]).alias("sentence_scores"))
     return reasoning.select("case_id", "rnk").join(per_case, ["case_id", "rnk"], "left")
 
 
@@ -126,8 +127,9 @@ def metrics_run(predictions: DataFrame, gold: DataFrame, nli: DataFrame, cases:
     return cm.mean_metrics(cm.metric_rows(tally, rewards, cases, max_k))
 
 
-def report_run(judged: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:
-    """Taxonomy and score distribution per model and condition."""
+def report_run(judged: DataFrame, row_id: Column, k: int = 5, threshold: float = 0.5, replicates: int = 1000) -> DataFrame:
+    """Taxonomy, score distribution and the interval of the mean score per model and condition."""
     by = ("model", "cond")
     spread = cm.distribution(judged, "g_max", threshold, by)
-    return co.taxonomy(judged, k, "g_max", threshold, by).join(spread, list(by))
+    interval = st.bootstrap_ci(judged, "g_max", row_id, by, replicates).select(*by, "lower", "upper")
+    return co.taxonomy(judged, k, "g_max", threshold, by).join(spread, list(by)).join(interval, list(by))

@@ -34,15 +34,35 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+# Scratch paths of this process that have not been released, oldest first.
+SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    SCRATCH.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
+
+
+def release(paths: list[str]) -> None:
+    """Delete scratch folders that no frame to come will read; other paths are left alone."""
+    from pyarrow import fs
+    for path in [p for p in paths if p in SCRATCH]:
+        system, place = fs.FileSystem.from_uri(path)
+        if system.get_file_info(place).type == fs.FileType.Directory:
+            system.delete_dir(place)
+        SCRATCH.remove(path)
+
+
+def release_since(mark: int, keep: tuple[str, ...] = ()) -> None:
+    """Release what was written since ``len(SCRATCH)`` was ``mark``, but for tables of the names given."""
+    release([p for p in SCRATCH[mark:] if p.rpartition("/")[2].rpartition("-")[0] not in keep])
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:

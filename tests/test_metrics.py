@@ -148,3 +148,16 @@ def test_out_of_range_confidence_stays_in_the_denominator(spark):
 def test_agreement_of_identical_raters(spark):
     rows = frame(spark, [(True, True)] * 3, "a boolean, b boolean")
     assert jd.agreement(rows, "a", "b").first().kappa == 1.0
+
+
+def test_coverage_curve_keeps_every_rank(spark):
+    rows = [(1, r, f"l{r % 4}", r % 4 < 2) for r in range(1, 14)]
+    judged = spark.createDataFrame(rows, "case_id int, rnk int, label string, matched boolean")
+    for width in (2, 5, 64):
+        got = [(r.rnk, r.hits, r.covered) for r in rk.coverage_curve(judged, width).orderBy("rnk").collect()]
+        hits, seen, want = 0, set(), []
+        for _, rank, label, matched in rows:
+            hits += matched
+            seen |= {label} if matched else set()
+            want.append((rank, hits, len(seen)))
+        assert got == want

@@ -153,3 +153,17 @@ def test_modules_import_without_a_session():
     import sys
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 190 and e.oracle_sql()"], check=True,
                    cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_error_patterns_end_with_the_deciding_mark(spark):
+    rows = [("", None, []), ("{", "key", ["appears_truncated", "unmatched_braces"]), ("{[}", "key", ["appears_truncated", "unmatched_brackets"]),
+            ("so: {} \\u00e9", "key", ["appears_truncated", "extra_text_before"]), ("{} \\u00e9", "JSON decode: Expecting x", ["appears_truncated", "escape_sequences", "json_syntax_expecting"]),
+            ("{}\x01", "type", ["appears_truncated", "control_characters"]), ("{}", "json decode extra data", ["appears_truncated", "json_extra_data"]),
+            ("{}", "no such field", ["appears_truncated", "missing_field"]), ("{}", "bad type", ["appears_truncated", "type_error"]), ("text", "bad type", ["appears_truncated", "extra_text_before", "type_error"])]
+    got = spark.createDataFrame([r[:2] for r in rows], "t string, m string").select(rp.error_patterns(F.col("t"), F.col("m"))).collect()
+    assert [r[0] for r in got] == [r[2] for r in rows]
+
+
+def test_report_lines_are_cleaned_one_by_one(spark):
+    note = "x\nECG machine report: a; a; b\ny ECG machine report: b; b\nECG machine report: "
+    assert spark.range(1).select(tx.dedupe_report(F.lit(note))).first()[0] == "x\nECG machine report: a; b.\ny ECG machine report: b.\nECG machine report: ."
