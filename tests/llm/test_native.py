@@ -45,7 +45,8 @@ def test_mix_of_odd_rows(spark):
     assert mixed.columns == docs.columns
     assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
     copies = {(r.doc_id, r.text): r["count"] for r in mixed.groupBy("doc_id", "text").count().collect()}
-    assert copies[(None, "x y")] == 3 and (3, "") not in copies
+    # Of 8 words source s gets 6.67 of its 6, the null source 1.33 of its 2, and t, which has none, nothing.
+    assert copies[(1, "a b c")] in (2, 4) and copies.get((None, "x y"), 0) <= 1 and (3, "") not in copies
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
@@ -71,7 +72,7 @@ def test_quality_counts(spark):
     docs = spark.createDataFrame([(i, t, "h", True) for i, t in enumerate(texts)], "doc_id long, text string, source string, kept boolean")
     got = {r.doc_id: r for r in quality.measured(docs).collect()}
     assert [got[i].n_repeat_words for i in range(len(texts))] == [brute_repeat_words(t or "") for t in texts]
-    assert got[6].n_dup_lines == 1 and got[7].n_symbols == 6 and got[8].word_chars == 9 and got[1].base_failed
+    assert got[6].n_dup_lines == 1 and got[7].n_symbols == 7 and got[8].word_chars == 9 and got[1].base_failed
     assert quality.kept(docs).columns == docs.columns
     assert quality.rules(quality.measured(docs.limit(0))).collect() == []
 
@@ -124,7 +125,7 @@ def test_rules_of_urls(spark):
     table = ["http://x.example.net/en/1", "http://example.net/en", "https://NET/", "http://net", "http://a.ORG/fr/x?y#z", "ftp://example.com/de/", "x://notnet/", None, "no scheme", "http://b.com/p?a=1&b=2", "http://c.net:80/q", "a://b://net/", "http://x.net/\n?q"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(table)], "page_id long, url string, verdict string")
     got = {r.page_id: r for r in urls.judged(pages).collect()}
-    assert [got[i].rule for i in range(len(table))] == ["example.net/en/", None, "net/", None, "org/fr/", "example.com/de/", None, None, None, None, None, None, "net/"]
+    assert [got[i].rule for i in range(len(table))] == ["example.net/en/", "net/", "net/", None, "org/fr/", "example.com/de/", None, None, None, None, None, None, "net/"]
     assert (got[4].host, got[4].path, got[7].host, got[8].path, got[12].path) == ("a.org", "/fr/x", "", "", "/\n")
     assert {r.verdict for r in got.values()} <= {"allow", "block"} and got[2].verdict == "block" and got[4].verdict == "allow"
     assert urls.judged(pages.limit(0)).collect() == []
