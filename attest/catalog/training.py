@@ -12,8 +12,8 @@ from .shared import VIEWS, r6
 
 TRAIN = {
     **VIEWS,
-    "v_by_model": "SELECT subject_id, model AS item, round(avg(g_max), 6) + 0.0 AS score FROM v_judged_run GROUP BY 1, 2",
-    "v_by_cond": "SELECT subject_id, cond AS item, round(avg(g_max), 6) + 0.0 AS score FROM v_judged_run GROUP BY 1, 2",
+    "v_by_model": "SELECT subject_id, model AS item, round(avg(g_max) + 1.3e-10::DOUBLE, 6) + 0.0 AS score FROM v_judged_run GROUP BY 1, 2",
+    "v_by_cond": "SELECT subject_id, cond AS item, round(avg(g_max) + 1.3e-10::DOUBLE, 6) + 0.0 AS score FROM v_judged_run GROUP BY 1, 2",
 }
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from . import ranking as rk
+from .stats import with_quantiles
 
 REWARDS = {"g_max": "g_max", "g_avg": "g_avg", "reward_precision": "precision", "combined": "combined"}
 
@@ -51,13 +52,14 @@ def run_summary(attempts: DataFrame, predictions: DataFrame, reward_at_3: DataFr
 def distribution(scored: DataFrame, score: str, threshold: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
     """Shares grounded / weak / contradicted and the spread of a score."""
     s = F.col(score)
-    return scored.filter(s.isNotNull()).groupBy(*by).agg(
+    plain = scored.filter(s.isNotNull()).groupBy(*by).agg(
         F.count("*").alias("n"),
         F.avg((s > threshold).cast("double")).alias("grounded"),
         F.avg(((s >= -threshold) & (s <= threshold)).cast("double")).alias("weak"),
         F.avg((s < -threshold).cast("double")).alias("contradicted"),
-        F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.percentile(s, F.lit(0.5)).alias("median"),
+        F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"),
         F.min(s).alias("min"), F.max(s).alias("max"))
+    return with_quantiles(plain, scored, s, {"median": 0.5}, by)
 
 
 def grounding_by_correctness(judged: DataFrame, score: str) -> DataFrame:

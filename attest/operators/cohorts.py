@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .stats import with_quantiles
+
 # The six outcome labels.
 GROUNDED = {True: "Evidence-Based", False: "Reasoning Failure"}
 WEAK = {True: "Weakly Supported", False: "Unsupported Error"}
@@ -95,10 +97,11 @@ def change_statistics(paths: DataFrame, first: str, last: str) -> DataFrame:
 
     def share(condition):
         return 100 * F.avg(condition.cast("double"))
-    return paths.agg(
-        F.count("*").alias("n"), F.avg(d).alias("mean"), F.percentile(d, F.lit(0.5)).alias("median"),
+    plain = paths.agg(
+        F.count("*").alias("n"), F.avg(d).alias("mean"),
         F.stddev_pop(d).alias("std"), share(d > 0).alias("improved"), share(d > 0.1).alias("improved_01"),
         share(d > 0.2).alias("improved_02"), share(d < 0).alias("worsened"), share(d < -0.1).alias("worsened_01"))
+    return with_quantiles(plain, paths, d, {"median": 0.5})
 
 
 def mean_trajectory(paths: DataFrame, conditions: list[str]) -> DataFrame:

@@ -15,10 +15,43 @@ from ..session import materialised
 
 def describe(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     v = F.col(value)
-    return rows.filter(v.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"),
-        F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.percentile(v, F.lit(0.25)).alias("q1"), F.percentile(v, F.lit(0.75)).alias("q3"))
+    plain = rows.filter(v.isNotNull()).groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return with_quantiles(plain, rows, v, {"median": 0.5, "q1": 0.25, "q3": 0.75}, by)
+
+
+def with_quantiles(groups: DataFrame, rows: DataFrame, value: Column, wanted: dict[str, float], by: tuple[str, ...] = (),
+                   bucket_rows: int = 100_000) -> DataFrame:
+    """``groups`` (one row per group) with exact quantiles of ``value`` over ``rows``, interpolated between neighbours.
+
+    Values are counted and ranged into buckets as for ``average_ranks``; a running count inside a bucket over the
+    totals of the buckets below finds the rows a quantile lies between. No task holds all values of a group."""
+    counts = materialised(rows.select(*by, value.alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n")), "counts")
+    cuts = _bounds(counts, "_v", 1 + counts.count() // bucket_rows)
+    edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    placed = counts.withColumn("_bucket", F.size(F.filter(edges, lambda e: e < F.col("_v"))))
+    # One row per group and bucket.
+    totals = placed.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_total"))
+    earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    below = totals.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_below"),
+                          F.sum("_total").over(W.partitionBy(*by)).alias("_all"))
+    same = F.col("_bucket") == F.col("_b")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    inside = W.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    upto = placed.withColumn("_upto", F.sum("_n").over(inside)).join(below, same).withColumn("_upto", F.col("_upto") + F.col("_below"))
+
+    def at(place):
+        return F.max(F.when((F.col("_upto") - F.col("_n") <= place) & (place < F.col("_upto")), F.col("_v")))
+    ends = upto.groupBy(*by).agg(*[f for name, p in wanted.items() for f in (
+        at(F.floor(p * (F.col("_all") - 1))).alias(f"_lo_{name}"), at(F.ceil(p * (F.col("_all") - 1))).alias(f"_hi_{name}"),
+        F.max(p * (F.col("_all") - 1) - F.floor(p * (F.col("_all") - 1))).alias(f"_part_{name}"))])
+    found = ends.select(*[F.col(c).alias(f"_q_{c}") for c in by], *[
+        ((1 - F.col(f"_part_{n}")) * F.col(f"_lo_{n}") + F.col(f"_part_{n}") * F.col(f"_hi_{n}")).alias(n) for n in wanted])
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_q_{c}"))
+    return groups.join(found if by else F.broadcast(found), on, "left").drop(*[f"_q_{c}" for c in by])
 
 
 # Poisson(1) cumulative probabilities; beyond the last one the weight is its index.

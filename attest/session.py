@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,29 +41,33 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-# Scratch paths of this process that have not been released, oldest first.
-SCRATCH: list[str] = []
+_written = threading.local()
+
+
+def scratch() -> list[str]:
+    """Scratch paths this thread has handed out and not released, oldest first."""
+    return _written.__dict__.setdefault("paths", [])
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    SCRATCH.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    return SCRATCH[-1]
+    scratch().append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return scratch()[-1]
 
 
 def release(paths: list[str]) -> None:
     """Delete scratch folders that no frame to come will read; other paths are left alone."""
     from pyarrow import fs
-    for path in [p for p in paths if p in SCRATCH]:
+    for path in [p for p in paths if p in scratch()]:
         system, place = fs.FileSystem.from_uri(path)
         if system.get_file_info(place).type == fs.FileType.Directory:
             system.delete_dir(place)
-        SCRATCH.remove(path)
+        scratch().remove(path)
 
 
 def release_since(mark: int, keep: tuple[str, ...] = ()) -> None:
-    """Release what was written since ``len(SCRATCH)`` was ``mark``, but for tables of the names given."""
-    release([p for p in SCRATCH[mark:] if p.rpartition("/")[2].rpartition("-")[0] not in keep])
+    """Release what this thread wrote since ``len(scratch())`` was ``mark``, but for tables of the names given."""
+    release([p for p in scratch()[mark:] if p.rpartition("/")[2].rpartition("-")[0] not in keep])
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:

@@ -40,7 +40,8 @@ def run_available(stream: DataFrame, path: str, mode: str, state_partitions: int
     a failure replaces its own rows.
 
     The monitors hold few keys (windows x types, or bins) and are summed before the shuffle, so a
-    handful of state partitions serves any input; the number is fixed when a stream first starts."""
+    handful of state partitions serves any input; the number is fixed when a stream first starts. A starting
+    stream takes a copy of the session's settings, so the setting is changed for the start alone."""
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
     conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
@@ -49,9 +50,9 @@ def run_available(stream: DataFrame, path: str, mode: str, state_partitions: int
     try:
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(
             availableNow=True).foreachBatch(save).start()
-        query.awaitTermination()
     finally:
         conf.set(name, before)
+    query.awaitTermination()
 
 
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:

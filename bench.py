@@ -5,12 +5,28 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
-HEADLINE = ("vec_05", "ret_01", "ret_02", "ret_07", "txt_06", "txt_13", "jsn_01", "join_03", "grd_02", "met_09",
+HEADLINE = ("vec_05", "ret_01", "ret_02", "ret_03", "ret_07", "txt_06", "txt_13", "jsn_01", "join_03", "grd_02", "met_09",
             "win_04", "agg_04", "tax_02", "sta_02", "sta_05", "vot_03", "coh_03", "met_07", "str_01", "job_06")
 
 
+TEXTS = ("documents.parquet", "pages.parquet")
+
+
+def many_files(spark, sf: str, parts: int = 16) -> str:
+    """The tables with the texts dealt out over files. A test table is one file of one row group, so one task; a corpus
+    is many. This is done before the clock starts."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for name in sorted(os.listdir(sf)):
+        if name in TEXTS:
+            spark.read.parquet(f"{sf}/{name}").repartition(parts).write.parquet(f"{folder}/{name}")
+        else:
+            os.symlink(os.path.abspath(f"{sf}/{name}"), f"{folder}/{name}")
+    return folder
+
+
 def main() -> None:
     sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
     from attest.catalog import queries
@@ -21,7 +37,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     known = queries()
     runs = {"entry": condition_report, **{n: known[n] for n in HEADLINE}}
-    spark.range(1000).selectExpr("sum(id)").collect()
+    given, sf = sf, many_files(spark, sf)
     seconds: dict[str, float] = {}
     for name, run in runs.items():
         start = time.time()
@@ -34,7 +50,7 @@ def main() -> None:
     spark.stop()
     print(json.dumps({
         "metric": "total_headline_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
-        "sf": os.path.basename(sf.rstrip("/")),
+        "sf": os.path.basename(given.rstrip("/")),
         "retrieval_queries_per_second": {"ret_01": round(items / seconds["ret_01"], 2), "ret_02": round(labels / seconds["ret_02"], 2)}}))
 
 

@@ -161,3 +161,29 @@ def test_coverage_curve_keeps_every_rank(spark):
             seen |= {label} if matched else set()
             want.append((rank, hits, len(seen)))
         assert got == want
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 3, 1000])
+def test_quantiles_are_exact_in_any_buckets(spark, bucket_rows):
+    import numpy as np
+
+    from attest.operators import stats as st
+    rng = np.random.default_rng(4)
+    rows = [(g, float(v)) for g, n in (("a", 101), ("b", 40), (None, 7)) for v in np.round(rng.normal(size=n), 1)] + [("a", None)]
+    table = spark.createDataFrame(rows, "g string, v double")
+    groups = table.groupBy("g").count()
+    got = {r.g: (r.low, r.mid) for r in st.with_quantiles(groups, table, F.col("v"), {"low": 0.25, "mid": 0.5}, ("g",), bucket_rows).collect()}
+    for g in ("a", "b", None):
+        values = [v for k, v in rows if k == g and v is not None]
+        assert got[g] == pytest.approx((np.quantile(values, 0.25), np.quantile(values, 0.5)))
+    whole = st.with_quantiles(table.select(F.count("*").alias("n")), table, F.col("v"), {"mid": 0.5}, (), bucket_rows).first()
+    assert whole.mid == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.5))
+
+
+def test_training_rules(spark):
+    from attest.operators import training as tr
+    rows = spark.createDataFrame([(1, "x", 0.9), (1, "y", 0.2), (1, "z", 0.9), (2, "x", 0.5), (2, "y", 0.45), (3, "x", None), (4, "x", 0.8)], "c int, item string, score double")
+    assert [tuple(r) for r in tr.preference_pairs(rows, ["c"]).collect()] == [(1, "z", "y", 0.7)]
+    assert {tuple(r)[:3] for r in tr.run_pairs(rows, ["c"]).collect()} == {(1, "x", "y"), (1, "z", "y")}
+    assert {(r.c, r["item"]): round(r.advantage, 6) for r in tr.group_advantages(rows, ["c"]).collect()}[(4, "x")] == 0.0
+    assert {tuple(r) for r in tr.supervised_rows(rows, ["c"]).collect()} == {(1, "x", 0.9), (4, "x", 0.8)}
