@@ -66,7 +66,7 @@ FROM judged JOIN verdicts ON source IS NOT DISTINCT FROM host"""
 @query("op6_quality_rules", RULES_SQL)
 def op6_quality_rules(spark, sf):
     judged = quality.measured(table(spark, sf, "documents").select("doc_id", "source", "text")).drop("text")
-    return quality.rules(judged).select(
+    return quality.with_verdicts(judged).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import SCRATCH, release_since
+from ..session import release_since, scratch
 from .common import let, lower_ascii, materialised, words
 from .components import components
 
@@ -158,7 +158,7 @@ def links(docs: DataFrame, sets: DataFrame, text: str = "text", short: int = SHO
 
 def deduped(docs: DataFrame, text: str = "text", short: int = SHORT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``. ``short`` decides how lists are compared, not what is found."""
-    mark = len(SCRATCH)
+    mark = len(scratch())
     sketches = materialised(sketched(docs, text), "sketches")
     sets = materialised(classes(sketches), "classes")
     keyed = sketches.drop("sketch").join(sets.select("hi", "lo", F.col("n").alias("n_shingles"), "class_id"), ["hi", "lo", "n_shingles"], "left")

@@ -108,16 +108,18 @@ def judged_with_hosts(judged: DataFrame, rates: DataFrame, host: str = "source")
     return joined.withColumn("kept", ~F.col("base_failed") & ~(F.coalesce("host_failed", F.lit(False)) & F.col("soft_failed")))
 
 
-def rules(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """``docs`` with counts and verdicts.
+def with_verdicts(judged: DataFrame, host: str = "source") -> DataFrame:
+    """Measured documents with host_failed and kept. The counts are the dear part, so they are written once to the
+    shared folder, with the other columns of ``judged``."""
+    written = materialised(judged, "rules")
+    return judged_with_hosts(written, host_rates(written.select(host, "base_failed", "soft_failed"), host), host)
+
 
-    The counts are the dear part, so they are written once to the shared folder, with the columns of ``docs``
-    (pass ``docs`` through ``measured`` and drop the text first where the result doesn't need it)."""
-    judged = materialised(docs if "base_failed" in docs.columns else measured(docs, text), "rules")
-    return judged_with_hosts(judged, host_rates(judged.select(host, "base_failed", "soft_failed"), host), host)
+def rules(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """``docs`` with counts and verdicts."""
+    return with_verdicts(measured(docs, text), host)
 
 
 def kept(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The kept documents with their own columns."""
-    return rules(measured(docs, text).select(*docs.columns, *[c for c in ("base_failed", "soft_failed") if c not in docs.columns]),
-                 text, host).filter("kept").select(*docs.columns)
+    return rules(docs, text, host).filter("kept").select(*docs.columns)

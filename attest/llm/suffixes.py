@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from ..session import SCRATCH, release_since, scratch_path
+from ..session import release_since, scratch, scratch_path
 from .anchors import LENGTH, SLICE, STEP, anchored, half_ranks, joined, part_ranks, window_ranks
 from .archives import opened
 from .common import dealt, materialised
@@ -249,7 +249,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_te
     """``docs`` with n_bytes, n_removed, n_spans and kept_sha256; with the kept bytes as text if asked (characters
     that a removal cuts in two go whole), else without the text."""
     docs = docs.drop(*RESULT).withColumn(doc_id, F.col(doc_id).cast("bigint"))
-    mark = len(SCRATCH)
+    mark = len(scratch())
     folder = scratch_path(docs.sparkSession, "chunks")
     chunks = materialised(stored(docs, folder, text, chunk_bytes), "chunk-names")
 

@@ -74,7 +74,7 @@ def test_quality_counts(spark):
     assert [got[i].n_repeat_words for i in range(len(texts))] == [brute_repeat_words(t or "") for t in texts]
     assert got[6].n_dup_lines == 1 and got[7].n_symbols == 7 and got[8].word_chars == 9 and got[1].base_failed
     assert quality.kept(docs).columns == docs.columns
-    assert quality.rules(quality.measured(docs.limit(0))).collect() == []
+    assert quality.rules(docs.limit(0)).collect() == []
 
 
 def test_hosts(spark):
