@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attest.llm import bpe, mixing, neardup, quality, suffixes
-from attest.session import SCRATCH, materialised, release
+from attest.session import materialised, release, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +44,9 @@ def _stage(number: int, work):
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for earlier in [n for n in _kept if n < number]:
             release(_kept.pop(earlier))
-        mark = len(SCRATCH)
+        mark = len(scratch())
         out = work(spark, docs, sf_dir)
-        _kept[number] = SCRATCH[mark:]
+        _kept[number] = scratch()[mark:]
         return out
     return stage
 
