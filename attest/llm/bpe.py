@@ -14,8 +14,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -24,13 +25,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-# Cut pieces kept per Python worker; the store starts anew when it is full. Longer ones aren't kept.
-KEPT_PIECES, KEPT_LENGTH = 200_000, 64
+# Cut pieces kept per Python worker: when there are more after a group of texts, the store starts anew.
+KEPT_PIECES = 300_000
+# Texts are cut in groups of about so many code points, and what is new in a group goes to the model at once.
+GROUP = 1 << 20
 
 
 def letters(data: bytes) -> str:
-    """One letter per byte, none of them white space."""
-    return "".join(chr(0x100 + b) for b in data)
+    """One letter per byte, U+0100 to U+01FF, none of them white space."""
+    wide = bytearray(b"\x01" * (2 * len(data)))
+    wide[1::2] = data
+    return wide.decode("utf-16-be")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,16 +59,16 @@ def field(number: int, value: int | bytes | float) -> bytes:
 
 
 def model_bytes(ranks: dict[bytes, int]) -> bytes:
-    """A serialised model whose piece number is rank + 1; piece 0 is the unknown, which no byte can reach."""
+    """A serialised model whose piece number is the rank; the last piece is the unknown, which no byte can reach."""
     # Field numbers and enum values of the public model format: pieces (1: piece, 2: score, 3: type), trainer
     # (3: model type, 4: vocabulary size, 40: unknown, 41-43: none), normaliser (1: name, 3-5: white space).
     none = (1 << 64) - 1
     ordered = sorted(ranks, key=ranks.get)
     if [ranks[x] for x in ordered] != list(range(len(ordered))):
         raise ValueError("ranks must run from 0 without a gap")
-    pieces = [field(1, field(1, b"<unk>") + field(2, 0.0) + field(3, 2))]
-    pieces += [field(1, field(1, letters(x).encode()) + field(2, float(-rank)) + field(3, 1)) for rank, x in enumerate(ordered)]
-    trainer = field(3, 2) + field(4, len(ordered) + 1) + field(40, 0) + field(41, none) + field(42, none) + field(43, none)
+    pieces = [field(1, field(1, letters(x).encode()) + field(2, float(-rank)) + field(3, 1)) for rank, x in enumerate(ordered)]
+    pieces.append(field(1, field(1, b"<unk>") + field(2, 0.0) + field(3, 2)))
+    trainer = field(3, 2) + field(4, len(ordered) + 1) + field(40, len(ordered)) + field(41, none) + field(42, none) + field(43, none)
     normaliser = field(1, b"identity") + field(3, 0) + field(4, 0) + field(5, 0)
     return b"".join(pieces) + field(2, trainer) + field(3, normaliser)
 
@@ -76,27 +81,50 @@ class Coder:
         self.find = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
         self.bytes_of = sorted(self.ranks, key=self.ranks.get)
-        self.kept: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, cut: str) -> tuple[int, ...]:
-        data = cut.encode()
-        whole = self.ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(i - 1 for i in self.model.encode(letters(data)))
-        if len(cut) <= KEPT_LENGTH:
-            if len(self.kept) >= KEPT_PIECES:
-                self.kept.clear()
-            self.kept[cut] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        known, piece, ids = self.kept.get, self.piece, []
-        for cut in self.find(text):
-            ids += known(cut) or piece(cut)
-        return ids
-
-    def decode(self, ids: list[int]) -> bytes:
+        self.decimals = [str(i) for i in range(len(self.ranks))]
+        # Cut piece: its ids, and the same in decimals with a space between.
+        self.kept: dict[str, tuple[list[int], str]] = {}
+
+    def grouped(self, texts: Iterable[str]) -> Iterator[list[list[tuple[list[int], str]]]]:
+        """For each group of texts, for each text, its cut pieces as ids and as decimals."""
+        group, size = [], 0
+        for text in texts:
+            group.append(self.find(text))
+            size += len(text)
+            if size >= GROUP:
+                yield self.looked_up(group)
+                group, size = [], 0
+        yield self.looked_up(group)
+
+    def looked_up(self, group: list[list[str]]) -> list[list[tuple[list[int], str]]]:
+        if len(self.kept) > KEPT_PIECES:
+            self.kept = {}
+        new = [cut for cut in set().union(*group) if cut not in self.kept]
+        data = [cut.encode() for cut in new]
+        whole = [self.ranks.get(d) for d in data]
+        rest = [letters(d) for d, rank in zip(data, whole) if rank is None]
+        merged, decimal = iter(self.model.encode(rest, num_threads=1) if rest else []), self.decimals.__getitem__
+        for cut, rank in zip(new, whole):
+            ids = [rank] if rank is not None else next(merged)
+            self.kept[cut] = ids, " ".join(map(decimal, ids))
+        return [[*map(self.kept.__getitem__, cuts)] for cuts in group]
+
+    def encode(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        for group in self.grouped(texts):
+            for found in group:
+                yield list(itertools.chain.from_iterable([ids for ids, _ in found]))
+
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def summaries(self, texts: Iterable[str]) -> Iterator[tuple[int, str, str]]:
+        """Number of ids, and SHA-256 of their decimals joined by one space and of the bytes they decode to."""
+        for group in self.grouped(texts):
+            for found in group:
+                ids = list(itertools.chain.from_iterable([x for x, _ in found]))
+                decimals = " ".join([x for _, x in found])
+                yield len(ids), hashlib.sha256(decimals.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+
 
 @functools.cache
 def coder(path: str, pattern: str) -> Coder:
@@ -114,8 +142,8 @@ def ids(text: Column, path: str = RANKS, pattern: str = PATTERN) -> Column:
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            one = coder(path, pattern).encode
-            yield lists([np.array(one(x.as_py() or ""), dtype=np.int32) for x in batch])
+            texts = (x.as_py() or "" for x in batch)
+            yield lists([np.array(ids, dtype=np.int32) for ids in coder(path, pattern).encode(texts)])
     return encode(text)
 
 
@@ -129,18 +157,14 @@ def decoded(ids: Column, path: str = RANKS, pattern: str = PATTERN) -> Column:
     return decode(ids)
 
 
-def ids_digest(ids: Column) -> Column:
-    """SHA-256 of the decimal ids joined by one space."""
-    @F.arrow_udf("string")
+def digests(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row of ``docs``: texts are encoded and their ids decoded in one
+    pass, so that the ids of a text, which take more room than the text, stay where they are made."""
+    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([hashlib.sha256(" ".join(map(str, x.as_py() or [])).encode()).hexdigest() for x in batch], pa.string())
-    return digest(ids)
-
-
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row of ``docs``."""
-    encoded = docs.select("doc_id", ids(F.col("text")).alias("ids"))
-    return encoded.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids")), 256).alias("decoded_sha256"))
+            texts = (x.as_py() or "" for x in batch)
+            columns = list(zip(*coder(path, pattern).summaries(texts))) or [[], [], []]
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))],
+                                             names=["n_tokens", "ids_sha256", "decoded_sha256"])
+    return docs.select("doc_id", digest(F.col("text")).alias("s")).select("doc_id", "s.*")

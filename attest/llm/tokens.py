@@ -38,9 +38,9 @@ def written(docs: DataFrame, folder: str, path: str = RANKS, pattern: str = PATT
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, last, ordinal, kind = Writer(folder, ".tokens", limit), None, 0, id_type(end_id)
         for batch in batches:
-            one, rows = coder(path, pattern).encode, []
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                name, _ = out.append(np.array([*one(text.as_py() or ""), end_id], dtype=kind).tobytes())
+            rows, texts = [], (x.as_py() or "" for x in batch.column(1))
+            for doc_id, ids in zip(batch.column(0), coder(path, pattern).encode(texts)):
+                name, _ = out.append(np.array([*ids, end_id], dtype=kind).tobytes())
                 ordinal, last = (ordinal + 1 if name == last else 0), name
                 rows.append((doc_id.as_py(), name, ordinal, out.size))
             columns = list(zip(*rows)) or [[], [], [], []]
