@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import WORD, unit_hash
+from .common import WORD, materialised, unit_hash
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CEILING = 3
@@ -58,6 +58,7 @@ def with_copies(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFram
 
 def mix(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, seed: str = SEED) -> DataFrame:
     """The mixed documents, with the columns of ``docs``; a row appears as often as it is emitted."""
-    rates = source_rates(docs.select("source", n_words(F.col("text")).alias("size")), weights, ceiling)
+    # Written, so that Spark knows the size of the list of sources before it plans the join with the texts.
+    rates = materialised(source_rates(docs.select("source", n_words(F.col("text")).alias("size")), weights, ceiling), "rates")
     copied = with_copies(docs, rates, seed)
     return copied.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)

@@ -112,7 +112,9 @@ def with_verdicts(judged: DataFrame, host: str = "source") -> DataFrame:
     """Measured documents with host_failed and kept. The counts are the dear part, so they are written once to the
     shared folder, with the other columns of ``judged``."""
     written = materialised(judged, "rules")
-    return judged_with_hosts(written, host_rates(written.select(host, "base_failed", "soft_failed"), host), host)
+    # The short list of hosts is written, so that Spark knows its size before it plans the join with the texts.
+    rates = materialised(host_rates(written.select(host, "base_failed", "soft_failed"), host), "host-rates")
+    return judged_with_hosts(written, rates, host)
 
 
 def rules(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
