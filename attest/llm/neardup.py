@@ -4,10 +4,11 @@ A document's set is its distinct five-word shingles, as 64-bit hashes; its sketc
 of equal sets are one class from the start. Inverted lists of the retained values give candidates, the union of
 two sketches estimates their similarity, and pairs that may reach the threshold are confirmed on full sets.
 
-A pair at the threshold shares at least SHARED of the values in the union's sketch (by the binomial law one such pair in
-280,000 shares fewer; sets of up to 27 are exact). So, with a document's values ordered by the
-length of their lists, two such documents meet in the lists of their len - SHARED + 1 rarest values: passages that
-many documents share fall outside, and most documents have no candidate at all.
+The threshold is ``percent``, 85 unless the caller names another. A pair at the threshold shares at least shared(percent)
+of the values in the union's sketch (by the binomial law at most MISSED of such pairs share fewer: one in 280,000 at 85,
+one in 840,000 at 80; sets of up to exact(percent), 27 and 25, are exact). So, with a document's values ordered by the
+length of their lists, two such documents meet in the lists of their len - shared(percent) + 1 rarest values: passages
+that many documents share fall outside, and most documents have no candidate at all.
 
 Lists up to SHORT give their pairs. In a longer one, every member is first compared with the member that shares most
 of its values (the copied text rather than a copy), and what that links counts as one component. Members of
@@ -21,6 +22,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import release_since, scratch
@@ -29,12 +32,27 @@ from .components import components
 
 WORDS = 5
 PERCENT = 85
-SKETCH, SHARED = 32, 17
-# Up to this size a set and every set that is similar enough fit their sketches.
-EXACT = SKETCH * PERCENT // 100
+SKETCH = 32
+# Share of the pairs at the threshold that may fall below ``shared``.
+MISSED = 4e-6
 SHORT = 64
 
 
+def exact(percent: int) -> int:
+    """Up to this size a set and every set that is similar enough fit their sketches."""
+    return SKETCH * percent // 100
+
+
+def shared(percent: int) -> int:
+    """The most values of a union's sketch that all but MISSED of the pairs at the threshold share."""
+    p, fewer = percent / 100, 0.0
+    for n in range(SKETCH + 1):
+        fewer += comb(SKETCH, n) * p ** n * (1 - p) ** (SKETCH - n)
+        if fewer > MISSED:
+            return n
+    return SKETCH
+
+
 def shingles(text: Column) -> Column:
     """Distinct hashes of the five-word shingles; of the whole sequence if it is shorter."""
     return let(words(lower_ascii(text)), lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(
@@ -42,12 +60,12 @@ def shingles(text: Column) -> Column:
                                      lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)])))))
 
 
-def least_shared(n: Column) -> Column:
-    return F.when(n <= EXACT, F.ceil(n * PERCENT / 100)).otherwise(F.lit(SHARED)).cast("int")
+def least_shared(n: Column, percent: int) -> Column:
+    return F.when(n <= exact(percent), F.ceil(n * percent / 100)).otherwise(F.lit(shared(percent))).cast("int")
 
 
-def similar_sizes(a: str, b: str) -> Column:
-    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
+def similar_sizes(a: str, b: str, percent: int) -> Column:
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
 def sketched(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -63,43 +81,43 @@ def classes(sketches: DataFrame) -> DataFrame:
         F.min("doc_id").alias("class_id"), F.first("sketch").alias("sketch")).withColumnRenamed("n_shingles", "n")
 
 
-def rare_postings(sets: DataFrame) -> DataFrame:
+def rare_postings(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(v, class_id, n, m, size): the rarest retained values of each class, with the number ``m`` of its values that other
     classes retain too and the size of the value's list among these postings."""
     postings = sets.select("class_id", "n", F.explode("sketch").alias("v"))
     lists = materialised(postings.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "lists")
-    shared = postings.join(lists, "v").groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    room = F.size("vs") - least_shared(F.col("n")) + 1
+    common = postings.join(lists, "v").groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    room = F.size("vs") - least_shared(F.col("n"), percent) + 1
     rare = materialised(
-        shared.filter(room > 0).select("class_id", "n", F.size("vs").alias("m"), F.explode(F.slice("vs", F.lit(1), room)).alias("x"))
+        common.filter(room > 0).select("class_id", "n", F.size("vs").alias("m"), F.explode(F.slice("vs", F.lit(1), room)).alias("x"))
         .select("class_id", "n", "m", F.col("x.v").alias("v")), "postings")
     sizes = rare.groupBy("v").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     return rare.join(materialised(sizes, "list-sizes"), "v")
 
 
-def short_pairs(postings: DataFrame, limit: int = SHORT) -> DataFrame:
+def short_pairs(postings: DataFrame, limit: int = SHORT, percent: int = PERCENT) -> DataFrame:
     """(a, b): all pairs of lists that hold at most ``limit`` members."""
     short = postings.filter(F.col("size") <= limit)
     left = short.select("v", F.col("class_id").alias("a"), F.col("n").alias("na"))
     right = short.select("v", F.col("class_id").alias("b"), F.col("n").alias("nb"))
-    return left.join(right, "v").filter("a < b").filter(similar_sizes("na", "nb")).select("a", "b").distinct()
+    return left.join(right, "v").filter("a < b").filter(similar_sizes("na", "nb", percent)).select("a", "b").distinct()
 
 
-def star_pairs(postings: DataFrame, limit: int = SHORT) -> DataFrame:
+def star_pairs(postings: DataFrame, limit: int = SHORT, percent: int = PERCENT) -> DataFrame:
     """(a, b): in every longer list the member with most shared values beside each other one."""
     long = postings.filter(F.col("size") > limit)
     middle = long.groupBy("v").agg(F.max_by(F.struct(F.col("class_id").alias("c"), F.col("n").alias("nc")), F.struct("m", -F.col("class_id"))).alias("p")).select("v", "p.*")
-    return long.join(middle, "v").filter("class_id <> c").filter(similar_sizes("n", "nc")).select(
+    return long.join(middle, "v").filter("class_id <> c").filter(similar_sizes("n", "nc", percent)).select(
         F.least("class_id", "c").alias("a"), F.greatest("class_id", "c").alias("b")).distinct()
 
 
-def estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose union sketch leaves the threshold possible."""
     side = lambda name: sets.select(F.col("class_id").alias(name), F.col("sketch").alias(f"s{name}"), F.col("n").alias(f"n{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, SKETCH)
     common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    return both.filter(common >= least_shared(F.greatest("na", "nb"))).select("a", "b")
+    return both.filter(common >= least_shared(F.greatest("na", "nb"), percent)).select("a", "b")
 
 
 def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
@@ -114,14 +132,14 @@ def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, text: str = "
     return built.filter("s.hi = hi and s.lo = lo").select("class_id", "s.sh")
 
 
-def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int = PERCENT) -> DataFrame:
     side = lambda name: full.select(F.col("class_id").alias(name), F.col("sh").alias(f"s{name}"))
     common = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(
-        100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+        100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
-def across_pairs(full: DataFrame, comps: DataFrame) -> DataFrame:
+def across_pairs(full: DataFrame, comps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): pairs of different components among the documents of long lists that full sets leave possible."""
     named = full.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "class_id", F.coalesce("component", "class_id").alias("comp"), F.size("sh").alias("n"), "sh")
@@ -129,7 +147,7 @@ def across_pairs(full: DataFrame, comps: DataFrame) -> DataFrame:
     tokens = rows.select("class_id", F.explode("sh").alias("t"))
     df = materialised(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "dense-lists")
     held = tokens.join(df, "t").groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts"))
-    spare = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int")
+    spare = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int")
     alone = F.col("n") - F.size("ts")
     placed = rows.select("class_id", "comp", "n").join(held, "class_id").filter(alone <= spare).select(
         "class_id", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("ts", F.lit(1), spare - alone + 1)).alias("i", "x"))
@@ -138,25 +156,25 @@ def across_pairs(full: DataFrame, comps: DataFrame) -> DataFrame:
     live = short.join(mixed, "t")
     left, right = (live.select("t", *[F.col(c).alias(c + s) for c in ("class_id", "comp", "n", "place")]) for s in "ab")
     rest = F.least(F.expr("na - placea"), F.expr("nb - placeb"))
-    return left.join(right, "t").filter("class_ida < class_idb and compa <> compb").filter(similar_sizes("na", "nb")).filter(
-        rest * (100 + PERCENT) >= PERCENT * F.expr("na + nb")).select(F.col("class_ida").alias("a"), F.col("class_idb").alias("b")).distinct()
+    return left.join(right, "t").filter("class_ida < class_idb and compa <> compb").filter(similar_sizes("na", "nb", percent)).filter(
+        rest * (100 + percent) >= percent * F.expr("na + nb")).select(F.col("class_ida").alias("a"), F.col("class_idb").alias("b")).distinct()
 
 
-def links(docs: DataFrame, sets: DataFrame, text: str = "text", short: int = SHORT) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, text: str = "text", short: int = SHORT, percent: int = PERCENT) -> DataFrame:
     """(a, b): confirmed links between classes, enough of them to join whatever is linked."""
-    postings = rare_postings(sets)
-    near = materialised(estimated(short_pairs(postings, short).unionByName(star_pairs(postings, short)).distinct(), sets), "pairs")
+    postings = rare_postings(sets, percent)
+    near = materialised(estimated(short_pairs(postings, short, percent).unionByName(star_pairs(postings, short, percent)).distinct(), sets, percent), "pairs")
     dense = materialised(postings.filter(F.col("size") > short).select("class_id").distinct(), "dense-ids")
     ends = near.select(F.explode(F.array("a", "b")).alias("class_id"))
     full = full_sets(docs, sets, ends.unionByName(dense), text)
-    first = materialised(confirmed(near, full), "confirmed")
+    first = materialised(confirmed(near, full, percent), "confirmed")
     if dense.isEmpty():
         return first
     comps = components(first)
-    return first.unionByName(confirmed(across_pairs(full.join(dense, "class_id", "leftsemi"), comps), full))
+    return first.unionByName(confirmed(across_pairs(full.join(dense, "class_id", "leftsemi"), comps, percent), full, percent))
 
 
-def deduped(docs: DataFrame, text: str = "text", short: int = SHORT) -> DataFrame:
+def deduped(docs: DataFrame, text: str = "text", short: int = SHORT, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``. ``short`` decides how lists are compared, not what is found."""
     mark = len(scratch())
     sketches = materialised(sketched(docs, text), "sketches")
@@ -166,14 +184,14 @@ def deduped(docs: DataFrame, text: str = "text", short: int = SHORT) -> DataFram
     # Rows that share an id are one node: their classes are linked.
     shared = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low < high")
     same = rows.join(shared, "doc_id").select(F.col("class_id").alias("a"), F.col("low").alias("b"))
-    comps = materialised(components(links(docs, sets, text, short).unionByName(same)), "components")
+    comps = materialised(components(links(docs, sets, text, short, percent).unionByName(same)), "components")
     release_since(mark, ("members", "components"))
     found = rows.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
     component = F.coalesce("component", "class_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def kept(docs: DataFrame, text: str = "text") -> DataFrame:
+def kept(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One document of each group: the rows of the smallest id, and the rows without an id."""
-    gone = deduped(docs, text).filter("not kept").select("doc_id").distinct()
+    gone = deduped(docs, text, percent=percent).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "leftanti").select(*docs.columns)
