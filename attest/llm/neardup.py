@@ -139,6 +139,22 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int = PERCENT) -> Data
         100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
+def mixed_lists(postings: DataFrame) -> DataFrame:
+    """(t, most): the tokens that several components hold, with the component that has most of the list's members."""
+    held = postings.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("c"))
+    return held.groupBy("t").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("most"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("t", "most")
+
+
+def meetings(postings: DataFrame) -> DataFrame:
+    """(class_id, comp, n, place of a and b): per mixed list, every member outside its largest component beside every member.
+
+    Of two members that are not of one component at least one is outside the largest, so members of that component never
+    meet each other."""
+    live = postings.join(materialised(mixed_lists(postings), "mixed"), "t")
+    side = lambda rows, s: rows.select("t", *[F.col(c).alias(c + s) for c in ("class_id", "comp", "n", "place")])
+    return side(live.filter("comp <> most"), "a").join(side(live, "b"), "t")
+
+
 def across_pairs(full: DataFrame, comps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): pairs of different components among the documents of long lists that full sets leave possible."""
     named = full.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left").select(
@@ -152,12 +168,10 @@ def across_pairs(full: DataFrame, comps: DataFrame, percent: int = PERCENT) -> D
     placed = rows.select("class_id", "comp", "n").join(held, "class_id").filter(alone <= spare).select(
         "class_id", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("ts", F.lit(1), spare - alone + 1)).alias("i", "x"))
     short = materialised(placed.select("class_id", "comp", "n", (F.col("alone") + F.col("i")).alias("place"), F.col("x.t").alias("t")), "dense-postings")
-    mixed = short.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("t")
-    live = short.join(mixed, "t")
-    left, right = (live.select("t", *[F.col(c).alias(c + s) for c in ("class_id", "comp", "n", "place")]) for s in "ab")
     rest = F.least(F.expr("na - placea"), F.expr("nb - placeb"))
-    return left.join(right, "t").filter("class_ida < class_idb and compa <> compb").filter(similar_sizes("na", "nb", percent)).filter(
-        rest * (100 + percent) >= percent * F.expr("na + nb")).select(F.col("class_ida").alias("a"), F.col("class_idb").alias("b")).distinct()
+    return meetings(short).filter("compa <> compb").filter(similar_sizes("na", "nb", percent)).filter(
+        rest * (100 + percent) >= percent * F.expr("na + nb")).select(
+        F.least("class_ida", "class_idb").alias("a"), F.greatest("class_ida", "class_idb").alias("b")).distinct()
 
 
 def links(docs: DataFrame, sets: DataFrame, text: str = "text", short: int = SHORT, percent: int = PERCENT) -> DataFrame:
