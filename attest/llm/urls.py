@@ -2,7 +2,8 @@
 
 Features: lengths, depth, digit ratio, entropy of the letters, parameter and label counts, and for the last label
 and the last two labels of the host the smoothed share of blocked urls among the labelled ones. The trees are fitted
-on at most TRAIN_ROWS labelled urls, those of smallest hash; the suffix shares count all of them.
+on at most TRAIN_ROWS distinct labelled urls, half of them per label, those of smallest hash; they weigh as much as they
+have copies, scaled so that a label weighs what all its rows do. The suffix shares count all labelled rows.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by its
 features; repeated rows are judged alike; without labelled urls every other url is allowed; if all labels agree,
@@ -65,28 +66,42 @@ def features(parsed: DataFrame) -> DataFrame:
 
 
 def suffix_shares(labelled: DataFrame, key: str) -> DataFrame:
-    """(key, share): the blocked share of a suffix's labelled urls, drawn towards one half."""
-    blocked = F.sum((F.col("rule_verdict") == "block").cast("double"))
-    return labelled.groupBy(key).agg(((blocked + SMOOTHING / 2) / (F.count(F.lit(1)) + SMOOTHING)).alias(f"f_{key}"))
+    """(key, share): the blocked share of the rows of a suffix's labelled urls, drawn towards one half."""
+    blocked = F.sum(F.when(F.col("rule_verdict") == "block", F.col("copies")).otherwise(0.0))
+    return labelled.groupBy(key).agg(((blocked + SMOOTHING / 2) / (F.sum("copies") + SMOOTHING)).alias(f"f_{key}"))
+
+
+def with_shares(frame: DataFrame, shares: dict[str, DataFrame]) -> DataFrame:
+    for key, share in shares.items():
+        frame = frame.join(share, key, "left").withColumn(f"f_{key}", F.coalesce(f"f_{key}", F.lit(0.5)))
+    return frame
+
+
+def weights_of(rows: DataFrame) -> dict[float, float]:
+    """{label: copies} of a table of labelled urls."""
+    return {r.label: r.n for r in rows.groupBy("label").agg(F.sum("copies").alias("n")).collect()}
 
 
 def judged(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``pages`` with host, path, rule and verdict."""
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "rule_verdict", "verdict", *FEATURES, *SUFFIXES)]
-    frame = features(ruled(pages.select(*own), rules))
-    shares = {key: materialised(suffix_shares(frame.filter("rule is not null"), key), "suffixes") for key in SUFFIXES}
-    for key, share in shares.items():
-        frame = frame.join(share, key, "left").withColumn(f"f_{key}", F.coalesce(f"f_{key}", F.lit(0.5)))
-    # At most ``train_rows`` rows, in one order in one file, so that the fit doesn't depend on the partitioning.
-    label = (F.col("rule_verdict") == "block").cast("double").alias("label")
-    sample = materialised(
-        frame.filter("rule is not null").select(label, *FEATURES, F.xxhash64("url").alias("_h"))
-        .orderBy("_h", *FEATURES).limit(train_rows).drop("_h").coalesce(1), "url-sample")
-    labels = sorted(r.label for r in sample.select("label").distinct().collect())
+    parsed = ruled(pages.select(*own), rules)
+    distinct = materialised(parsed.filter("rule is not null").groupBy("url", "host", "path", "rule_verdict").agg(
+        F.count(F.lit(1)).cast("double").alias("copies")), "labelled-urls")
+    labelled = features(distinct).withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
+    shares = {key: materialised(suffix_shares(labelled, key), "suffixes") for key in SUFFIXES}
+    frame, labelled = with_shares(features(parsed), shares), with_shares(labelled, shares)
+    # At most ``train_rows`` urls, in one order in one file, so that the fit doesn't depend on the partitioning.
+    half = lambda label: labelled.filter(F.col("label") == label).select("label", "copies", *FEATURES, F.xxhash64("url").alias("_h")).orderBy(
+        "_h", *FEATURES).limit(max(1, train_rows // 2)).drop("_h")
+    sample = materialised(half(0.0).unionByName(half(1.0)).coalesce(1), "url-sample")
+    whole, part = weights_of(labelled), weights_of(sample)
+    labels = sorted(whole)
     if len(labels) == 2:
         vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
-        trees = GBTClassifier(featuresCol="_features", labelCol="label", maxDepth=3, maxIter=10, stepSize=0.3, seed=7, predictionCol="_blocked")
-        model = trees.fit(vectors.transform(sample)).setRawPredictionCol("").setProbabilityCol("")
+        trees = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", maxDepth=3, maxIter=10, stepSize=0.3, seed=7, predictionCol="_blocked")
+        scale = F.when(F.col("label") == 1, whole[1.0] / part[1.0]).otherwise(whole[0.0] / part[0.0])
+        model = trees.fit(vectors.transform(sample.withColumn("_weight", F.col("copies") * scale))).setRawPredictionCol("").setProbabilityCol("")
         frame = model.transform(vectors.transform(frame))
     else:
         frame = frame.withColumn("_blocked", F.lit(labels[0] if labels else 0.0))

@@ -25,3 +25,17 @@ def test_query_on_all_pages(spark):
             host, path, rule, verdict = parsed(pages[r.page_id])
             assert (r.host, r.path, r.rule) == (host, path, rule)
             assert r.verdict == verdict if rule else r.verdict in ("allow", "block")
+
+
+def test_copies_of_one_url_leave_room_for_both_labels(spark):
+    """The labelled url of smallest hash, repeated, would fill a sample of rows alone."""
+    made = [(f"http://b{i}.net/x", f"http://a{i}.org/fr/x") for i in range(30)]
+    order = {r.u: r.h for r in spark.createDataFrame([(u,) for pair in made for u in pair], "u string").selectExpr("u", "xxhash64(u) as h").collect()}
+    blocked, allowed = [b for b, _ in made], [a for _, a in made]
+    hot = min(blocked, key=order.get)
+    allowed = [a for a in allowed if order[a] > order[hot]]
+    assert allowed
+    rows = [hot] * 500 + allowed + ["http://new.org/de/1"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r.url: r.verdict for r in urls.judged(pages, train_rows=20).select("url", "verdict").collect()}
+    assert got["http://new.org/de/1"] == "allow" and got[hot] == "block"
