@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, neardup, neighbours, quality, suffixes, tokens, urls, warc
+from . import alignment, bpe, chat, codes, mixing, neardup, neighbours, quality, suffixes, tokens, urls, warc
 from .common import materialised, table
 
 QUERIES: dict = {}
@@ -138,6 +138,17 @@ def op7_suffix_dedup(spark, sf):
     return suffixes.removed(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+@query("op11_alignment")
+def op11_alignment(spark, sf):
+    return alignment.summaries(table(spark, sf, "documents"))
+
+
+@query("op12_vector_codes")
+def op12_vector_codes(spark, sf):
+    coded, books = codes.compressed(table(spark, sf, "embeddings"))
+    return codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
