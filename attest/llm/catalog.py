@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, codes, mixing, neardup, neighbours, quality, suffixes, tokens, urls, warc
+from . import alignment, bpe, chat, classifier, codes, mixing, neardup, neighbours, quality, suffixes, tokens, urls, warc
 from .common import materialised, table
 
 QUERIES: dict = {}
@@ -149,6 +149,11 @@ def op12_vector_codes(spark, sf):
     return codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
 
 
+@query("op13_quality_classifier")
+def op13_quality_classifier(spark, sf):
+    return classifier.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
