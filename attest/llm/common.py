@@ -35,11 +35,23 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """A written table of few rows that each stand for much work (a file, a block of one), dealt out to as many
-    tasks as there are rows. A number of partitions is named so that adaptive execution, which sees only
-    the bytes of the rows, doesn't join them into one task."""
-    return rows.repartition(max(1, rows.count()))
+# Tasks that one stage is cut into at most.
+MOST_TASKS = 4096
+
+
+def fresh(name: str, *columns: str) -> str:
+    """A column name that none of the given columns bears."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def dealt(rows: DataFrame, most: int = MOST_TASKS) -> DataFrame:
+    """A written table of rows that each stand for much work (a file, a block of one), dealt out to as many
+    tasks as there are rows, but no more than ``most``. A number of partitions is named so that adaptive execution, which sees
+    only the bytes of the rows, doesn't join them into one task."""
+    return rows.repartition(min(most, max(1, rows.count())))
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import let, materialised, words
+from .common import fresh, let, materialised, words
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -78,8 +78,9 @@ def soft_failed() -> Column:
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts, base_failed and soft_failed."""
-    counted = docs.drop(*ADDED, "base_failed", "soft_failed", "_counts").withColumn("_counts", base_columns(F.col(text)))
-    spread = counted.select("*", *[F.col("_counts")[c].alias(c) for c in ADDED]).drop("_counts")
+    counts = fresh("counts", *docs.columns)
+    counted = docs.drop(*ADDED, "base_failed", "soft_failed").withColumn(counts, base_columns(F.col(text)))
+    spread = counted.select("*", *[F.col(counts)[c].alias(c) for c in ADDED]).drop(counts)
     return spread.withColumn("base_failed", base_failed()).withColumn("soft_failed", soft_failed())
 
 
@@ -103,8 +104,9 @@ def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
 
 def judged_with_hosts(judged: DataFrame, rates: DataFrame, host: str = "source") -> DataFrame:
     """``judged`` with host_failed and kept."""
-    verdicts = rates.select(F.col("host").alias("_host"), (F.col("rate") > HOST_RATE).alias("host_failed"))
-    joined = judged.drop("host_failed", "kept").join(verdicts, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
+    of = fresh("of_host", *judged.columns)
+    verdicts = rates.select(F.col("host").alias(of), (F.col("rate") > HOST_RATE).alias("host_failed"))
+    joined = judged.drop("host_failed", "kept").join(verdicts, F.col(host).eqNullSafe(F.col(of)), "left").drop(of)
     return joined.withColumn("kept", ~F.col("base_failed") & ~(F.coalesce("host_failed", F.lit(False)) & F.col("soft_failed")))
 
 
