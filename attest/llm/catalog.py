@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 # Words as the operators take them.
 SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-MIX_SQL = rf"""WITH sizes AS (SELECT doc_id, source, len({SQL_WORDS})::BIGINT AS size FROM documents),
+MIX_SQL = rf"""WITH sizes AS (SELECT doc_id, source, len({SQL_WORDS})::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
 per_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
 ranked AS (SELECT *, source_size * 3 AS cap, ([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER] AS weight FROM per_source),
 filled AS (SELECT *, cap::DOUBLE / weight AS fill FROM ranked),
@@ -33,14 +33,14 @@ levels AS (SELECT *, ((SELECT sum(source_size) FROM per_source) - coalesce(sum(c
 targets AS (SELECT source, source_size, CASE WHEN source_size > 0 THEN least(cap::DOUBLE, (SELECT arg_min(level, fill) FROM levels WHERE level <= fill) * weight) ELSE 0.0::DOUBLE END AS target FROM levels),
 rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM targets)
 SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT
-    + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+    + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || digest), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
 FROM sizes JOIN rates ON sizes.source IS NOT DISTINCT FROM rates.source"""
 
 
 @query("op1_mixing", MIX_SQL)
 def op1_mixing(spark, sf):
-    sizes = materialised(table(spark, sf, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "sizes")
-    mixed = mixing.with_copies(sizes, mixing.source_rates(sizes))
+    sizes = materialised(table(spark, sf, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")), "sizes")
+    mixed = mixing.with_copies(sizes, mixing.source_rates(sizes), digest=F.col("digest"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -4,7 +4,7 @@ Sizes are summed per source, targets are filled like water under a ceiling, and
 floor(rate) times plus one seeded Bernoulli copy whose probability is the fraction.
 
 Defined results: a null or empty text has size 0 and is emitted like any other row of its source; a null
-source is a source of its own, ordered last; repeated rows and rows that share an id share their decision;
+source is a source of its own, ordered last; repeated rows, alike in id and text, share their decision;
 an empty table gives an empty mix; a source whose texts are all empty has target 0 and rate 0. Columns
 of other names pass through; a column that bears a name the operator adds is replaced.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import WORD, materialised, unit_hash
+from .common import WORD, fresh, materialised, unit_hash
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CEILING = 3
@@ -47,12 +47,15 @@ def source_rates(sizes: DataFrame, weights=WEIGHTS, ceiling: int = CEILING) -> D
                 F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate")))
 
 
-def with_copies(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
-    """Rows of ``docs`` with source_size, target, rate and ``copies``, the times the mix emits the row."""
+def with_copies(docs: DataFrame, rates: DataFrame, seed: str = SEED, digest: Column | None = None) -> DataFrame:
+    """Rows of ``docs`` with source_size, target, rate and ``copies``, the times the mix emits the row. The draw depends on the id
+    and on ``digest``, by default one of the text."""
     docs = docs.drop("source_size", "target", "rate", "copies")
-    joined = docs.join(rates.withColumnRenamed("source", "rate_source"), F.col("source").eqNullSafe(F.col("rate_source"))).drop("rate_source")
+    of = fresh("rate_source", *docs.columns)
+    joined = docs.join(rates.withColumnRenamed("source", of), F.col("source").eqNullSafe(F.col(of))).drop(of)
     whole = F.floor("rate")
-    extra = (unit_hash(F.lit(seed), F.col("doc_id")) < F.col("rate") - whole).cast("bigint")
+    digest = F.md5(F.coalesce("text", F.lit(""))) if digest is None else digest
+    extra = (unit_hash(F.lit(seed), F.col("doc_id"), digest) < F.col("rate") - whole).cast("bigint")
     return joined.withColumn("copies", whole + extra)
 
 
@@ -60,5 +63,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, seed: str = SE
     """The mixed documents, with the columns of ``docs``; a row appears as often as it is emitted."""
     # Written, so that Spark knows the size of the list of sources before it plans the join with the texts.
     rates = materialised(source_rates(docs.select("source", n_words(F.col("text")).alias("size")), weights, ceiling), "rates")
-    copied = with_copies(docs, rates, seed)
-    return copied.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    # The operator's columns stand beside those of ``docs``, whatever these are called.
+    own = {c: fresh(f"own_{c}", *docs.columns) for c in ("source_size", "target", "rate", "copies") if c in docs.columns}
+    copied = with_copies(docs.withColumnsRenamed(own), rates, seed)
+    copy = fresh("copy", *copied.columns)
+    emitted = copied.filter("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return emitted.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
