@@ -2,8 +2,9 @@
 
 A unit vector is rotated and stored as the signs of its components, with one correction scalar, the inner product
 of the rotated vector and its signs' unit vector. Packed bits and scalar estimate the inner product with a rotated
-query, and a bound on the error follows from the scalar. In each block of the index a query's k-th largest lower
-bound sets the mark; vectors whose upper bound reaches it are reranked with the original components in doubles.
+query, and a bound on the error follows from the scalar. In each block of the index the vectors with a query's highest
+estimates are compared exactly first, and the k-th best of them sets the mark; all whose upper bound reaches it are then reranked
+with the original components in doubles.
 
 Every row is indexed. Queries are streamed in blocks from a written table, so a task holds one block of vectors
 and one of queries. Results leave a task as k rows per query and block, then meet in a top-k per query.
@@ -30,7 +31,9 @@ from .archives import opened
 SEED = 17
 # Standard deviations of the estimate that the error bound spans.
 SPAN = 2.5
-ROWS, QUERIES, PAIRS = 4096, 1024, 1 << 18
+ROWS, QUERIES, PAIRS = 16384, 1024, 1 << 18
+# Vectors per query, in multiples of k, that set the mark.
+FIRST = 4
 INDEX = "vec_id bigint, dim int, norm double, code binary, align double, embedding array<double>"
 
 
@@ -74,21 +77,37 @@ def index(vectors: DataFrame, seed: int = SEED) -> DataFrame:
     return rows.mapInArrow(code, INDEX)
 
 
+def cosines(x: dict, q: dict, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Exact cosines of pairs of vector and query, in doubles."""
+    score = np.empty(len(rows))
+    for at in range(0, len(rows), PAIRS):
+        i, j = rows[at:at + PAIRS], columns[at:at + PAIRS]
+        score[at:at + PAIRS] = (x["vectors"][i] * q["vectors"][j]).sum(axis=1) / (x["norm"][i] * q["norm"][j])
+    return score
+
+
+def marks(x: dict, q: dict, estimate: np.ndarray, k: int) -> np.ndarray:
+    """Per query a cosine that k vectors of the block reach: the k-th best of those with the highest estimates."""
+    few = min(FIRST * k, len(estimate))
+    if few < k:
+        return np.full(estimate.shape[1], -np.inf)
+    first = np.argpartition(estimate, len(estimate) - few, axis=0)[-few:]
+    columns = np.broadcast_to(np.arange(estimate.shape[1]), first.shape)
+    exact = cosines(x, q, first.ravel(), columns.ravel()).reshape(first.shape)
+    exact[np.isneginf(np.take_along_axis(estimate, first, 0))] = -np.inf
+    return np.partition(exact, few - k, axis=0)[few - k]
+
+
 def searched(x: dict, q: dict, k: int, span: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one block of vectors the best ``k`` for each of a block of queries: query place, vector place, cosine."""
     dim = x["vectors"].shape[1]
-    estimate = (x["signs"] @ q["turned"].T) / (np.sqrt(dim) * x["align"][:, None])
-    spread = span * np.sqrt(np.maximum(1 - x["align"] ** 2, 0)) / (x["align"] * np.sqrt(max(dim - 1, 1e-9)))
+    estimate = (x["signs"] @ q["turned"].T) / (np.sqrt(dim) * x["align"].astype(np.float32)[:, None])
+    spread = (span * np.sqrt(np.maximum(1 - x["align"] ** 2, 0)) / (x["align"] * np.sqrt(max(dim - 1, 1e-9)))).astype(np.float32)
     estimate[x["ids"][:, None] == q["ids"][None, :]] = -np.inf
-    if len(x["ids"]) > k:
-        mark = np.partition(estimate - spread[:, None], -k, axis=0)[-k]
-    else:
-        mark = np.full(len(q["ids"]), -np.inf)
+    # The mark is rounded down, so that a vector that ties with it in doubles stays.
+    mark = np.nextafter((marks(x, q, estimate, k) - 1e-6).astype(np.float32), np.float32(-np.inf))
     rows, columns = np.nonzero((estimate + spread[:, None] >= mark) & (estimate > -np.inf))
-    score = np.empty(len(rows))
-    for at in range(0, len(rows), PAIRS):
-        i, j = rows[at:at + PAIRS], columns[at:at + PAIRS]
-        score[at:at + PAIRS] = (x["vectors"][i] * q["vectors"][j]).sum(axis=1) / (x["norm"][i] * q["norm"][j])
+    score = cosines(x, q, rows, columns)
     order = np.lexsort((x["ids"][rows], -score, columns))
     rows, columns, score = rows[order], columns[order], score[order]
     place = np.arange(len(columns)) - np.searchsorted(columns, columns)
