@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import scratch_path
 from .archives import Reader, Writer
-from .common import dealt, materialised
+from .common import MOST_TASKS, dealt, materialised
 
 MAGIC = b"WARC/1.1\r\n"
 LEAST_SHARED = 100
@@ -110,21 +110,22 @@ def reachable(found: DataFrame) -> DataFrame:
     """The candidates on the chain from place 0 of their file.
 
     After k rounds ``jump`` leads 2^k records on and ``reach`` holds the records nearer than that, so what a
-    round adds is new; it ends when nothing is."""
+    round adds is new; it ends when nothing is. Both tables hold a row per record, so they are merged, not broadcast."""
     jump = found
     reach = found.select("file").distinct().withColumn("at", F.lit(0).cast("bigint"))
     while True:
-        new = materialised(reach.join(jump, ["file", "at"]).select("file", F.col("next").alias("at")), "reach")
+        new = materialised(reach.join(jump.hint("merge"), ["file", "at"]).select("file", F.col("next").alias("at")), "reach")
         if new.isEmpty():
             break
         reach = reach.unionByName(new)
         ahead = jump.select("file", F.col("at").alias("next"), F.col("next").alias("further"))
-        jump = materialised(jump.join(ahead, ["file", "next"]).select("file", "at", F.col("further").alias("next")), "jump")
-    return found.join(reach, ["file", "at"], "leftsemi")
+        jump = materialised(jump.join(ahead.hint("merge"), ["file", "next"]).select("file", "at", F.col("further").alias("next")), "jump")
+    return found.join(reach.hint("merge"), ["file", "at"], "leftsemi")
 
 
-def read_records(places: DataFrame, folder: str, block: int = BLOCK_BYTES) -> DataFrame:
-    """The records at (file, at, next); fails if a payload doesn't have the digest its header states."""
+def read_records(places: DataFrame, folder: str, block: int = BLOCK_BYTES, tasks: int = MOST_TASKS) -> DataFrame:
+    """The records at (file, at, next), read by ``tasks`` tasks, each from its own blocks in order; fails if a payload doesn't have
+    the digest its header states."""
     def number(urn: str) -> int | None:
         text = urn.removeprefix("<urn:page:").removesuffix(">")
         return None if text in ("None", "") else int(text)
@@ -144,7 +145,8 @@ def read_records(places: DataFrame, folder: str, block: int = BLOCK_BYTES) -> Da
             columns = list(zip(*rows)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in RESULT.split(", ")])
-    near = places.repartition("file", (F.col("at") / block).cast("bigint")).sortWithinPartitions("file", "at")
+    # Named, as adaptive execution sees only the few bytes of the places.
+    near = places.repartition(tasks, "file", (F.col("at") / block).cast("bigint")).sortWithinPartitions("file", "at")
     return near.select("file", "at", "next").mapInArrow(read, RESULT)
 
 
@@ -153,4 +155,5 @@ def round_trip(pages: DataFrame, limit: int = FILE_BYTES, block: int = BLOCK_BYT
     folder = scratch_path(pages.sparkSession, "warc")
     files = materialised(written(payloads(pages), folder, limit), "warc-files")
     found = materialised(candidates(files, folder, block), "boundaries")
-    return read_records(reachable(found), folder, block)
+    n_bytes = files.agg(F.coalesce(F.sum("file_bytes"), F.lit(0))).first()[0]
+    return read_records(reachable(found), folder, block, min(MOST_TASKS, 1 + n_bytes // block))
