@@ -20,7 +20,7 @@ def shingle_set(text):
     return frozenset(" ".join(w[j:j + 5]) for j in range(max(len(w) - 4, 1))) if w else frozenset()
 
 
-def brute_components(texts):
+def brute_components(texts, percent=85):
     """{doc_id: component} of {doc_id: text}."""
     sets, parent = {i: shingle_set(t) for i, t in texts.items()}, {i: i for i in texts}
 
@@ -34,7 +34,7 @@ def brute_components(texts):
         for s in sets[i]:
             seen[s].append(i)
         for j, n in common.items():
-            if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return {i: find(i) for i in texts}, {i: len(s) for i, s in sets.items()}
