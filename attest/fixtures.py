@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-# Shorter sentences of an item are found in any text.
-SENTENCE_LENGTH = 20
+# Sentences from this length on meet a text's sentences on their last characters, shorter ones on all of theirs.
+TAIL = 20
+BROADCAST_NEEDLES = 200_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -92,17 +93,29 @@ def relevance(spark, sf):
     """Documents that contain a sentence of a benchmark item, whichever of its sentences it is.
 
     A sentence is a run of non-dot characters and its dot, so a text holds it exactly where one of the text's
-    own runs ends with it: an equi-join on the last characters, then a test."""
+    own runs ends with it. A sentence of ``TAIL`` characters or more is an equi-join on the last of them, then a test. A shorter one
+    equals a run's ending of its own length; there are fewer than ``TAIL`` lengths, and a text's endings are made
+    distinct inside its row, so a text that repeats one sends it once."""
     items = table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.explode(F.regexp_extract_all("text", F.lit("[^.]+[.]"), F.lit(0))).alias("needle"))
+        F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[^.]+[.]"), F.lit(0)))).alias("needle"))
     # Splitting at the dots is linear; matching runs would rescan a text that has none.
-    pieces = F.transform(F.filter(F.expr("slice(split(text, '[.]'), 1, size(split(text, '[.]')) - 1)"), lambda x: F.length(x) >= SENTENCE_LENGTH - 1),
-                         lambda x: F.concat(x, F.lit(".")))
-    runs = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(pieces)).alias("run"))
-    tail = lambda c: F.right(c, F.lit(SENTENCE_LENGTH))
-    needles = items.filter(F.length("needle") >= SENTENCE_LENGTH).withColumn("tail", tail(F.col("needle")))
-    return runs.withColumn("tail", tail(F.col("run"))).join(needles, "tail").filter(
-        F.endswith("run", "needle")).select("query_id", "doc_id").distinct()
+    pieces = F.transform(F.expr("slice(split(text, '[.]'), 1, size(split(text, '[.]')) - 1)"), lambda x: F.concat(x, F.lit(".")))
+    docs = table(spark, sf, "documents").select("doc_id", F.array_distinct(pieces).alias("runs"))
+    tail = lambda c: F.right(c, F.lit(TAIL))
+    long = docs.select("doc_id", F.explode(F.filter("runs", lambda x: F.length(x) >= TAIL)).alias("run")).withColumn("tail", tail(F.col("run")))
+    found = long.join(items.filter(F.length("needle") >= TAIL).withColumn("tail", tail(F.col("needle"))), "tail").filter(F.endswith("run", "needle"))
+    short = items.filter(F.length("needle") < TAIL)
+    sizes = {r[0]: r[1] for r in short.groupBy(F.length("needle")).count().collect()}
+    lengths = sorted(sizes)
+    # Up to a counted size they go to the texts, so that endings nobody asks for are not shuffled.
+    short = F.broadcast(short) if sum(sizes.values()) <= BROADCAST_NEEDLES else short
+    found = found.select("query_id", "doc_id")
+    if lengths:
+        ends = F.flatten(F.transform("runs", lambda x: F.transform(
+            F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(x)), lambda n: F.right(x, n))))
+        endings = docs.select("doc_id", F.explode(F.array_distinct(ends)).alias("needle"))
+        found = found.unionByName(endings.join(short, "needle").select("query_id", "doc_id"))
+    return found.distinct()
 
 
 def attempts(spark, sf):
@@ -176,7 +189,7 @@ SQL = {
         FROM lineitem JOIN part ON l_partkey = p_partkey)""",
     "v_relevance": """SELECT DISTINCT item_id AS query_id, doc_id FROM
         (SELECT item_id, unnest(regexp_extract_all(text, '[^.]+[.]')) AS needle FROM benchmark) b
-        JOIN documents d ON length(needle) >= 20 AND contains(d.text, needle)""",
+        JOIN documents d ON contains(d.text, needle)""",
     "v_attempts": """SELECT event_id AS attempt_id, ts, user_id AS subject_id,
         CASE event_id % 8 WHEN 0 THEN '' WHEN 1 THEN substr(props, 1, length(props) - 1)
             WHEN 2 THEN concat('Here is the output: ', props) WHEN 3 THEN concat(props, ']')
