@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import text as tx
-from ..operators import lexical as lx, ranking as rk, retrieval as rt, topk
+from ..functions import vectors as vx
+from ..operators import cells as cs, impacts as im, lexical as lx, ranking as rk, retrieval as rt, topk
 from ..operators.pairs import mentioned_labels
+from ..session import scratch_path
 from .registry import query
 from .shared import r6
 from .vectors import VEC, embeddings, label_centroids
@@ -47,6 +49,15 @@ def ret_01(spark, sf):
     return lexical_hits(spark, sf).select("query_id", "rnk", "doc_id", r6("score"))
 
 
+@query("ret_01_impacts", "SELECT query_id, rnk, doc_id, round(score, 6) + 0.0 AS score FROM v_hits", RET)
+def ret_01_impacts(spark, sf):
+    """The same search over impact-ordered postings on disk, which skips the blocks that can't matter."""
+    path = scratch_path(spark, "impacts")
+    im.write_impacts(corpus(spark, sf), path)
+    hits, _ = im.search(im.open_impacts(spark, path), items(spark, sf), K)
+    return hits.select("query_id", "rnk", "doc_id", r6("score"))
+
+
 @query("top_01", "SELECT query_id, rnk, doc_id FROM v_hits WHERE rnk <= 3", RET)
 def top_01(spark, sf):
     hits = lexical_hits(spark, sf).drop("rnk")
@@ -58,15 +69,37 @@ def ret_02(spark, sf):
     return rt.dense_search(embeddings(spark, sf), dense_queries(spark, sf), K).select("query_id", "rnk", "doc_id", r6("score"))
 
 
+def cell_index(spark, sf, n_cells=16):
+    """Every vector by cell, written below the shared folder."""
+    path = scratch_path(spark, "cells")
+    cs.write_cells(embeddings(spark, sf), path, n_cells)
+    return cs.open_cells(spark, path)
+
+
+def held_out_queries(spark, sf):
+    """Queries like the label centroids, which calibrate the search: centroids of an eighth of a label's vectors."""
+    eighths = embeddings(spark, sf).withColumn("eighth", F.concat_ws("/", "label", F.pmod(F.xxhash64("doc_id"), F.lit(8))))
+    return vx.centroids(eighths, "eighth", "vector").select(F.col("eighth").alias("query_id"), F.col("centroid").alias("vector"))
+
+
 @query("ret_03")
 def ret_03(spark, sf):
-    """Cell-pruned search beside exact search: the share of the exact hits each query keeps."""
+    """Search of the cells that held-out queries need for a recall of 0.95, beside exact search: the share of the exact hits each
+    query keeps, and the share of the rows it reads."""
     docs, asked = embeddings(spark, sf), dense_queries(spark, sf)
-    cells, centres = rt.build_cells(docs, 16)
-    pruned = rt.cell_search(cells, centres, asked, K, 4)
+    index = cell_index(spark, sf)
+    n_probe = cs.calibrated(index, held_out_queries(spark, sf), K)
+    pruned = cs.search(index, asked, K, n_probe)
     exact = rt.dense_search(docs, asked, K).select("query_id", "doc_id", F.lit(1).alias("exact"))
     return pruned.join(exact, ["query_id", "doc_id"], "left").groupBy("query_id").agg(
-        F.count("*").alias("n"), F.count("exact").alias("kept"), r6(F.count("exact") / K, "recall"))
+        F.count("*").alias("n"), F.count("exact").alias("kept"), r6(F.count("exact") / K, "recall"), F.lit(n_probe).alias("n_probe"))
+
+
+@query("ret_03_exact", "SELECT query_id, rnk, doc_id, round(score, 6) + 0.0 AS score FROM v_dense_rank WHERE rnk <= 10", RET)
+def ret_03_exact(spark, sf):
+    """The same index, read until no unread cell can hold one of the k best."""
+    hits, _ = cs.exact_search(cell_index(spark, sf), dense_queries(spark, sf), K, 4)
+    return hits.select("query_id", "rnk", "doc_id", r6("score"))
 
 
 @query("ret_04", """SELECT query_id, rnk, doc_id, round(score, 6) + 0.0 AS score FROM (

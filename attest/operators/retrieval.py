@@ -1,9 +1,7 @@
-"""Dense retrieval, cell-pruned search, fusion, alignment and lookup."""
+"""Dense retrieval, fusion, alignment and lookup. Search by cells is in ``cells``."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import labelled_sections
@@ -31,44 +29,6 @@ def overfetch_search(docs: DataFrame, queries: DataFrame, k: int, factor: int =
     return top_k(kept.drop("rnk"), k, ["query_id"], [F.desc("score"), F.asc("doc_id")]).select(*HIT)
 
 
-def build_cells(docs: DataFrame, n_cells: int = 100, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """Documents with the cell of their nearest centre, and the n_cells centres."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    from ..functions.vectors import normalise
-    rows = docs.withColumn("features", array_to_vector(normalise(F.col("vector"))))
-    model = KMeans(k=n_cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell_id").fit(rows)
-    return model.transform(rows).drop("features"), np.array(model.clusterCenters())
-
-
-def cell_search(cells: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, n_probe: int = 10,
-                shard: int = 20_000) -> DataFrame:
-    """Search the n_probe cells nearest to each query. A cell is cut into shards of bounded size."""
-    lengths = np.linalg.norm(centres, axis=1, keepdims=True)
-    unit = centres / np.where(lengths == 0, 1.0, lengths)
-
-    @F.pandas_udf("array<int>")
-    def probe(vectors: pd.Series) -> pd.Series:
-        empty = np.zeros(unit.shape[1])
-        q = np.stack([empty if v is None or len(v) != len(empty) else np.asarray(v, dtype=np.float64) for v in vectors])
-        return pd.Series(list(np.argsort(-(q @ unit.T), axis=1, kind="stable")[:, :n_probe].astype(np.int32)))
-    sizes = cells.groupBy("cell_id").agg(F.ceil(F.count("*") / shard).cast("int").alias("n_shards"))
-    # One row per cell, of which there are as many as centres.
-    docs = cells.join(F.broadcast(sizes), "cell_id").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.col("n_shards")).cast("int"))
-    asked = queries.withColumn("cell_id", F.explode(probe("vector"))).join(F.broadcast(sizes), "cell_id").withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1)))
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, " \
-             f"doc_id {cells.schema['doc_id'].dataType.simpleString()}, score double"
-
-    def meet(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(d) or not len(q):
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        return dense_block(d[["doc_id", "vector"]], q, k)
-    hits = docs.select("cell_id", "shard", "doc_id", "vector").groupBy("cell_id", "shard").cogroup(
-        asked.select("cell_id", "shard", "query_id", "vector").groupBy("cell_id", "shard")).applyInPandas(meet, schema)
-    return top_k(hits, k, ["query_id"], [F.desc("score"), F.asc("doc_id")]).select(*HIT)
-
-
 def fuse(hits: DataFrame, k: int, group: str = "case_id") -> DataFrame:
     """Hits of several queries per case: best score per document, then the top k."""
     best = hits.groupBy(group, "doc_id").agg(F.max("score").alias("score"))

@@ -88,17 +88,6 @@ def test_grid_equals_broadcast_and_brute_force(spark):
         assert got == [rows[j].doc_id for j in best]
 
 
-def test_cell_search(spark):
-    e = fx.table(spark, SF, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
-    asked = vx.centroids(e, "label", "vector").select(F.col("label").alias("query_id"), F.col("centroid").alias("vector"))
-    cells, centres = rt.build_cells(e, 8)
-    exact = rows_of(rt.dense_search(e, asked, 5))
-    assert rows_of(rt.cell_search(cells, centres, asked, 5, 8, shard=40)) == exact  # all cells probed
-    few = {(r[0], r[2]) for r in rows_of(rt.cell_search(cells, centres, asked, 5, 2))}
-    kept = len(few & {(r[0], r[2]) for r in exact}) / len(exact)
-    assert kept > 0.5
-
-
 def test_zero_vectors(spark):
     rows = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([], [1.0]), ([2.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     assert [r[0] for r in rows.select(vx.cosine(F.col("a"), F.col("b"))).collect()] == [0.0, 0.0, 1.0]
