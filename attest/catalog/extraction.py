@@ -44,20 +44,28 @@ def jsn_01(spark, sf):
     return ex.prediction_rows(parsed, ["case_id", "parse_success"]).select("case_id", "rnk", "label", "reasoning", "parse_success")
 
 
-@query("jsn_02", """SELECT case_id, 'diagnoses|' || repeat('name|reasoning|', count(*)) AS keys FROM v_items WHERE case_id % 8 IN (2, 3, 4, 5, 7) GROUP BY 1""", OUTS)
+@query("jsn_02", """SELECT case_id, case_id % 8 > 1 AS repaired, 'diagnoses|' || repeat('name|reasoning|', count(*)) AS keys FROM v_items GROUP BY 1""", OUTS)
 def jsn_02(spark, sf):
-    """Keys of the texts that need repair, after it; the text must be valid JSON by then."""
-    spoilt = outputs(spark, sf).filter((F.col("case_id") % 8).isin(2, 3, 4, 5, 7))
-    fixed = rp.repair_tail(rp.repair_head(F.col("raw_output")))
+    """Keys of every output as it is read: those without a list to be read are repaired, the others stay."""
+    rows = outputs(spark, sf).withColumn("fixed", rp.list_object(F.col("raw_output"))).withColumn(
+        "repaired", F.coalesce(F.size(rp.listed_items(F.col("fixed"))), F.lit(-1)) <= 0)
+    fixed = rp.repair_tail(rp.escape_inner_quotes(rp.repair_head(F.col("fixed"))))
     keys = F.regexp_extract_all(F.col("fixed"), F.lit(r'"(\w+)":'), F.lit(1))
-    return spoilt.withColumn("fixed", fixed).filter(rp.is_json(F.col("fixed"))).select(
-        "case_id", F.concat(F.array_join(keys, "|"), F.lit("|")).alias("keys"))
+    return rows.withColumn("fixed", F.when(F.col("repaired"), fixed).otherwise(F.col("fixed"))).select(
+        "case_id", "repaired", F.when(rp.is_json(F.col("fixed")), F.concat(F.array_join(keys, "|"), F.lit("|"))).alias("keys"))
 
 
-@query("jsn_03", """SELECT case_id, '{"diagnoses": [' || string_agg('{"name": "' || label || '", "reasoning": "seen at ' || rnk || ' in ' ||
-    '\\"the\\" review"}', ', ' ORDER BY rnk) || ']}' AS fixed FROM v_items WHERE case_id % 8 = 6 GROUP BY 1""", OUTS)
+RAW = {**OUTS, "v_raw_output": """SELECT case_id, '{"diagnoses": [' || string_agg('{"name": "' || label || '", "reasoning": "seen at ' || rnk || ' in review"}', ', ' ORDER BY rnk) || ']}' AS raw
+    FROM v_predictions GROUP BY 1"""}
+
+
+@query("jsn_03", r"""SELECT case_id, CASE case_id % 8 WHEN 1 THEN 'Here it is:' || chr(10) || '```json' || chr(10) || raw || chr(10) || '```' || chr(10) || 'Done.'
+    WHEN 2 THEN replace(raw, '"', '”') WHEN 3 THEN regexp_replace(raw, '"(\w+)":', '''\1'':', 'g') WHEN 4 THEN replace(raw, ']}', ', ]}')
+    WHEN 6 THEN replace(raw, ' in review', ' in \"the\" review') ELSE replace(raw, 'review"}]', 'review}]') END AS fixed
+    FROM v_raw_output WHERE case_id % 8 NOT IN (0, 5)""", RAW)
 def jsn_03(spark, sf):
-    spoilt = outputs(spark, sf).filter(~rp.is_json(F.col("raw_output")) & (F.col("case_id") % 8 == 6))
+    """Every output that is not JSON with its inner quotes escaped; quotes that delimit stay as they are."""
+    spoilt = outputs(spark, sf).filter(~rp.is_json(F.col("raw_output")))
     return spoilt.select("case_id", rp.escape_inner_quotes(F.col("raw_output")).alias("fixed"))
 
 

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import let, strip, strip_thinking
 
@@ -16,12 +13,9 @@ NAME_KEYS = ("name", "title", "diagnosis")
 REASONING_KEYS = ("reasoning", "reason", "rationale", "explanation", "description")
 REASONING_ALIASES = ("description", "explanation", "rationale", "justification")
 CRITIQUE_KEYS = ("critiques", "critique", "evaluations", "assessments", "results")
-LIST_OBJECT = (r"""(?is)\{[^{}]*["'](?:diagnos\w*|diagnosis|estimates|diseases|conditions|findings|results)["']"""
-               r"""[^{}]*\[.*?\]\s*\}""")
-OBJECT_PAIR = (r"""(?is)\{[^}]*["']?(?:name|Name)["']?\s*:\s*["']([^"']+)["'][^}]*"""
-               r"""["']?(?:reasoning|Reasoning|reason)["']?\s*:\s*["']([^"']+)["']""")
-KEY_VALUE = (r"""(?is)["']?(?:name|Name)["']?\s*:\s*["']([^"']+)["'][^{}\n]*"""
-             r"""["']?(?:reasoning|Reasoning|reason)["']?\s*:\s*["']([^"']+)["']""")
+LIST_OBJECT = r"""(?is)\{[^{}]*["'](?:diagnos\w*|diagnosis|estimates|diseases|conditions|findings|results)["'][^{}]*\[.*?\]\s*\}"""
+OBJECT_PAIR = r"""(?is)\{[^}]*["']?(?:name|Name)["']?\s*:\s*["']([^"']+)["'][^}]*["']?(?:reasoning|Reasoning|reason)["']?\s*:\s*["']([^"']+)["']"""
+KEY_VALUE = r"""(?is)["']?(?:name|Name)["']?\s*:\s*["']([^"']+)["'][^{}\n]*["']?(?:reasoning|Reasoning|reason)["']?\s*:\s*["']([^"']+)["']"""
 NUMBERED = r"(?smd)(?:^|\n)\s*(\d+)[.):\s]+([^\n]+?)(?:\n|$)(.*?)(?=(?:\n\s*\d+[.):\s])|$)"
 
 ITEM = "struct<label:string,reasoning:string>"
@@ -71,6 +65,7 @@ def canonical_keys(c: Column) -> Column:
     return let(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), joined)
 
 
+# The patterns and characters of the two functions below are fixed values.
 def repair_head(c: Column) -> Column:
     """Repairs before the inner-quote step: quotes, punctuation, escapes, single-quoted keys."""
     t = F.translate(c, "“”‘’，：", "\"\"'',:")
@@ -88,31 +83,37 @@ def repair_tail(c: Column) -> Column:
     return F.regexp_replace(t, "\n\n+", "\n")
 
 
-def _escape_inner(text: str) -> str:
-    """Escape quotes inside a value: a quote closes only before a delimiter or before the next key."""
-    inside = False
-
-    def mark(found: re.Match) -> str:
-        nonlocal inside
-        if found.group() != '"':
-            return found.group()
-        if not inside:
-            inside = True
-            return '"'
-        ahead = text[found.end():found.end() + 19].lstrip()
-        next_key = len(ahead) > 1 and ahead[0] == '"' and (ahead[1:].lstrip() or ":")[0] == ":"
-        if next_key or ahead[:1] in tuple(":,}]"):
-            inside = False
-            return '"'
-        return '\\"'
-    return re.sub(r'\\.|"', mark, text, flags=re.DOTALL)
-
-
-@F.arrow_udf(T.StringType())
-def escape_inner_quotes(texts: pa.Array) -> pa.Array:
-    """Escape inner quotes. It needs a left-to-right pass in Python, so give it a null for rows that need none; only
-    this column travels."""
-    return pa.array([None if t is None else _escape_inner(t) for t in texts.to_pylist()], pa.string())
+# A quote inside a value closes it only before a delimiter or before the next key, looked for in so many characters.
+AHEAD = 19
+BLANK = r"[\s\x1c-\x1f]"
+
+
+def _closing_ahead() -> str:
+    """What follows a quote that closes: a delimiter; or a quote with a colon, or with nothing but white space up to
+    the end of the window, behind it. A regular expression can't bound a sum, so there is one branch per place of the quote."""
+    delimiter = BLANK + r"{0,%d}[:,}\]]" % (AHEAD - 1)
+    keys = [BLANK + r'{%d}"(?:%s{0,%d}:|%s{%d}|%s{1,%d}\z)' % (a, BLANK, AHEAD - 2 - a, BLANK, AHEAD - 1 - a, BLANK, AHEAD - 1 - a) for a in range(AHEAD - 1)]
+    return "(?=" + "|".join([delimiter, *keys]) + ")"
+
+
+# A piece runs up to the next quote that can't close: escape pairs, other characters, and quotes that can.
+PIECE = r'(?sU)((?:[^"\\]++|\\.|\\\z|"' + _closing_ahead() + r')*+)("|\z)'
+
+
+def escape_inner_quotes(c: Column) -> Column:
+    """Escape quotes inside a value, as a transducer of two states, outside and inside a value.
+
+    A quote that can close swaps the states; any other leads inside, and is escaped if the state was inside before. So
+    the state at a quote that can't close follows from the number of closing ones since the last such quote: inside
+    when it is even, or odd for the first, which starts outside. The text is cut at the quotes that can't close and
+    each piece is counted by itself."""
+    def joined(pieces, ends):
+        closing = lambda piece: F.length(F.regexp_replace(piece, r'(?s)[^"\\]+|\\.|\\$', "")) % 2
+        quote = lambda piece, i: F.when(closing(piece) == F.when(i == 0, 1).otherwise(0), '\\"').otherwise('"')
+        marked = F.transform(F.arrays_zip(pieces.alias("piece"), ends.alias("end")), lambda x, i: F.concat(
+            x["piece"], F.when(x["end"] == "", "").otherwise(quote(x["piece"], i))))
+        return F.array_join(marked, "")
+    return let(F.regexp_extract_all(c, F.lit(PIECE), F.lit(1)), lambda pieces: joined(pieces, F.regexp_extract_all(c, F.lit(PIECE), F.lit(2))))
 
 
 def repaired(rows: DataFrame, column: str) -> DataFrame:

@@ -5,12 +5,9 @@ Patterns carry ``(?U)`` because the rules they state are Unicode-aware.
 
 from __future__ import annotations
 
-import html
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 from ..operators.filters import SECTION_LABELS
 
@@ -130,16 +127,9 @@ def clean_note(c: Column) -> Column:
     return strip(F.regexp_replace(t, " {2,}", " "))
 
 
-@F.pandas_udf(StringType())
-def decode_entities(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """HTML entities; the one step of evidence cleaning without a native function."""
-    for batch in texts:
-        yield batch.map(html.unescape, na_action="ignore")
-
-
 def clean_evidence(c: Column) -> Column:
-    t = F.regexp_replace(c, "<[^>]+>", " ")
-    t = decode_entities(t)
+    from .entities import decode_entities
+    t = let(F.regexp_replace(c, "<[^>]+>", " "), decode_entities)
     t = F.regexp_replace(t, "&#x?[0-9a-fA-F]+;", " ")
     return strip(F.regexp_replace(t, SPACES, " "))
 

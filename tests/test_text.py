@@ -167,3 +167,53 @@ def test_error_patterns_end_with_the_deciding_mark(spark):
 def test_report_lines_are_cleaned_one_by_one(spark):
     note = "x\nECG machine report: a; a; b\ny ECG machine report: b; b\nECG machine report: "
     assert spark.range(1).select(tx.dedupe_report(F.lit(note))).first()[0] == "x\nECG machine report: a; b.\ny ECG machine report: b.\nECG machine report: ."
+
+
+def _escaped(text):
+    """The state machine, mark by mark."""
+    out, inside, i = [], False, 0
+    while i < len(text):
+        if text[i] == "\\" and i + 1 < len(text):
+            out.append(text[i:i + 2])
+            i += 2
+            continue
+        if text[i] == '"':
+            ahead = text[i + 1:i + 20].lstrip()
+            key = len(ahead) > 1 and ahead[0] == '"' and (ahead[1:].lstrip() or ":")[0] == ":"
+            if not inside:
+                inside = True
+            elif key or ahead[:1] in (":", ",", "}", "]"):
+                inside = False
+            else:
+                out.append("\\")
+        out.append(text[i])
+        i += 1
+    return "".join(out)
+
+
+def test_inner_quotes_as_the_state_machine(spark):
+    import random
+    draw = random.Random(8)
+    texts = ["", '"', '\\', '"a"', '{"a": "b "c" d", "e": "f"}', 'x \\" "y\\\\" z', '"' + " " * 17 + ",", '"' + " " * 18 + ",", '"' + " " * 19 + ","]
+    texts += ["".join(draw.choice('"""\\:,}] a\n\xa0') for _ in range(draw.randint(1, 60))) for _ in range(3000)]
+    texts += ["".join(draw.choice(['"', " ", " ", " ", " ", " ", ":"]) for _ in range(60)) for _ in range(1000)]
+    texts += ['{"k": "v ' + 'say "hi" ' * 20_000 + '"}', '"a", ' * 50_000, "\\\\" * 50_000 + '"' * 1000]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string").select("i", rp.escape_inner_quotes(F.col("t")).alias("e")).collect()
+    assert {r.i: r.e for r in found} == {-1: None, **{i: _escaped(t) for i, t in enumerate(texts)}}
+
+
+def test_entities_as_the_standard_library(spark):
+    import html
+    import random
+    from html.entities import html5
+
+    from attest.functions.entities import decode_entities
+    draw = random.Random(5)
+    texts = ["", "no reference", "&", "&&amp;&", "&amp", "&ampx", "&notit;", "&notin;", "&#65;", "&#65", "&#x41;B", "&#X41", "&#0;&#13;&#128;&#x81;&#159;", "&#xD800;&#x110000;&#99999999999999;",
+             "&#1;&#11;&#127;&#xFDD0;&#xFFFE;&#x1FFFF;", "&#x1F600;&#128512", "&#0000000000065;", "&nosuchthing;", "&lt;b&gt;", "&quot", "&a b&;", "&\n&#;", "&#x;", "&NotEqualTilde;", "&" + "x" * 40, "&é;"]
+    texts += [f"&{name}" for name in draw.sample(sorted(html5), 400)] + [f"a&{name.rstrip(';')}z;b" for name in draw.sample(sorted(html5), 200)]
+    texts += ["".join(draw.choice(["&", "#", "x", "1", "a", "amp", "lt", ";", " ", "not", "in", "F6"]) for _ in range(draw.randint(1, 12))) for _ in range(500)]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string").select("i", decode_entities(F.col("t")).alias("d")).collect()
+    got = {r.i: r.d for r in found}
+    assert got.pop(-1) is None
+    assert {t: got[i] for i, t in enumerate(texts)} == {t: html.unescape(t) for t in texts}
