@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..functions import distributions as ds
 from ..operators import stats as st
 from . import shared as sh
 from .registry import query
@@ -79,11 +80,41 @@ def sta_05(spark, sf):
     return out.select("n1", "n2", r6("u"), r6("z"))
 
 
-@query("sta_06", """SELECT model, n, round(jb, 4) + 0.0 AS jb, exp(-jb / 2) > 0.05 AS normal FROM (SELECT model, n, n / 6.0::DOUBLE * (m3 * m3 / (m2 * m2 * m2) + pow(m4 / (m2 * m2) - 3, 2) / 4) AS jb FROM (
-    SELECT model, count(*) AS n, avg(pow(g_avg - m, 2)) AS m2, avg(pow(g_avg - m, 3)) AS m3, avg(pow(g_avg - m, 4)) AS m4 FROM v_run JOIN
-    (SELECT model, avg(g_avg) AS m FROM v_run GROUP BY 1) USING (model) GROUP BY 1))""", STA)
+def sql_polynomial(coefficients, x):
+    """Lowest power first."""
+    out = f"{coefficients[-1]!r}::DOUBLE"
+    for c in coefficients[-2::-1]:
+        out = f"({out} * {x} + ({c!r}::DOUBLE))"
+    return out
+
+
+def sql_ratio(pair, x):
+    return f"{sql_polynomial(pair[0], x)} / {sql_polynomial(pair[1], x)}"
+
+
+# Shapiro-Wilk row by row: normal scores of the ranks, weights, statistic and the scale of its p value.
+SHAPIRO = {
+    **STA,
+    "v_order": """SELECT model, g_avg AS x, row_number() OVER (PARTITION BY model ORDER BY g_avg) AS i, count(*) OVER (PARTITION BY model) AS n,
+        avg(g_avg) OVER (PARTITION BY model) AS mean FROM v_run""",
+    "v_prob": "SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) - 0.5::DOUBLE AS q FROM v_order",
+    "v_tail": "SELECT *, 0.180625::DOUBLE - q * q AS mid, sqrt(-ln(least(p, 1 - p))) AS r FROM v_prob",
+    "v_score": f"""SELECT *, CASE WHEN abs(q) <= 0.425::DOUBLE THEN q * {sql_ratio(ds.QUANTILE_MIDDLE, 'mid')}
+        WHEN r <= 5 THEN sign(q) * {sql_ratio(ds.QUANTILE_NEAR, '(r - 1.6::DOUBLE)')} ELSE sign(q) * {sql_ratio(ds.QUANTILE_FAR, '(r - 5)')} END AS m FROM v_tail""",
+    "v_outer": f"""SELECT model, any_value(n)::DOUBLE AS n, sum(m * m) AS squares, max(m) AS m1, max(CASE WHEN i = n - 1 THEN m END) AS m2,
+        max(m) / sqrt(sum(m * m)) + {sql_polynomial((0.0, *st.OUTER_WEIGHT), '(1 / sqrt(any_value(n)))')} AS a1,
+        max(CASE WHEN i = n - 1 THEN m END) / sqrt(sum(m * m)) + {sql_polynomial((0.0, *st.SECOND_WEIGHT), '(1 / sqrt(any_value(n)))')} AS a2 FROM v_score GROUP BY 1""",
+    "v_weighed": """SELECT s.model, s.n, x, mean, CASE WHEN i = 1 THEN -a1 WHEN i = s.n THEN a1 WHEN i = 2 THEN -a2 WHEN i = s.n - 1 THEN a2
+        ELSE m / sqrt((squares - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END AS a FROM v_score s JOIN v_outer o ON s.model = o.model""",
+    "v_w": "SELECT model, any_value(n) AS n, pow(sum(a * x), 2) / sum((x - mean) * (x - mean)) AS w FROM v_weighed GROUP BY 1",
+}
+
+
+@query("sta_06", f"""SELECT model, n, round(w, 6) + 0.0 AS w, (ln(1 - w) - {sql_polynomial(st.MANY_MEAN, 'ln(n)')}) / exp({sql_polynomial(st.MANY_SPREAD, 'ln(n)')}) < 1.6448536269514722::DOUBLE AS normal
+    FROM v_w""", SHAPIRO)
 def sta_06(spark, sf):
-    return st.normality(scored(spark, sf), "g_avg", "model").select("model", "n", (F.round("jb", 4) + 0.0).alias("jb"), "normal")
+    """Groups of 12 rows or more, as all of these are."""
+    return st.normality(scored(spark, sf), "g_avg", "model").select("model", "n", r6("w"), "normal")
 
 
 @query("sta_07", """SELECT (k - 1)::DOUBLE AS df1, (n - k)::DOUBLE AS df2, round((b / (k - 1)) / (w / (n - k)), 6) + 0.0 AS f FROM (

@@ -20,14 +20,17 @@ def describe(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame
     return with_quantiles(plain, rows, v, {"median": 0.5, "q1": 0.25, "q3": 0.75}, by)
 
 
-def with_quantiles(groups: DataFrame, rows: DataFrame, value: Column, wanted: dict[str, float], by: tuple[str, ...] = (),
-                   bucket_rows: int = 100_000) -> DataFrame:
-    """``groups`` (one row per group) with exact quantiles of ``value`` over ``rows``, interpolated between neighbours.
+def value_places(rows: DataFrame, value: Column, by: tuple[str, ...] = (), bucket_rows: int = 100_000) -> DataFrame:
+    """(by, _v, _n, _upto, _all) per group and distinct value: its rows, those up to it, and the group's.
 
-    Values are counted and ranged into buckets as for ``average_ranks``; a running count inside a bucket over the
-    totals of the buckets below finds the rows a quantile lies between. No task holds all values of a group."""
+    Values are counted first, and their number says what follows. If they fit one bucket a running count per group does; else
+    they are ranged into buckets of some ``bucket_rows`` values and counts run inside a bucket over the totals of those below."""
     counts = materialised(rows.select(*by, value.alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n")), "counts")
-    cuts = _bounds(counts, "_v", 1 + counts.count() // bucket_rows)
+    buckets = 1 + counts.count() // bucket_rows
+    if buckets == 1:
+        running = W.partitionBy(*by).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+        return counts.withColumn("_upto", F.sum("_n").over(running)).withColumn("_all", F.sum("_n").over(W.partitionBy(*by)))
+    cuts = _bounds(counts, "_v", buckets)
     edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
     placed = counts.withColumn("_bucket", F.size(F.filter(edges, lambda e: e < F.col("_v"))))
     # One row per group and bucket.
@@ -39,7 +42,16 @@ def with_quantiles(groups: DataFrame, rows: DataFrame, value: Column, wanted: di
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
     inside = W.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    upto = placed.withColumn("_upto", F.sum("_n").over(inside)).join(below, same).withColumn("_upto", F.col("_upto") + F.col("_below"))
+    return placed.withColumn("_upto", F.sum("_n").over(inside)).join(below, same).withColumn(
+        "_upto", F.col("_upto") + F.col("_below")).select(*by, "_v", "_n", "_upto", "_all")
+
+
+def with_quantiles(groups: DataFrame, rows: DataFrame, value: Column, wanted: dict[str, float], by: tuple[str, ...] = (),
+                   bucket_rows: int = 100_000) -> DataFrame:
+    """``groups`` (one row per group) with exact quantiles of ``value`` over ``rows``, interpolated between neighbours.
+
+    The places come from ``value_places``; no task holds all values of a group."""
+    upto = value_places(rows, value, by, bucket_rows)
 
     def at(place):
         return F.max(F.when((F.col("_upto") - F.col("_n") <= place) & (place < F.col("_upto")), F.col("_v")))
@@ -147,12 +159,77 @@ def pooled(pairs: DataFrame) -> DataFrame:
     return out.withColumn("p", ds.t_p(F.col("t"), F.col("df").cast("double")))
 
 
+# Corrections of the two outer weights by powers of 1 / sqrt(n), from the first power on.
+OUTER_WEIGHT = (0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
+SECOND_WEIGHT = (0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+# Mean and log deviation of the transformed statistic, by powers of n up to 11 rows and of ln n beyond.
+FEW_MEAN, FEW_SPREAD = (0.5440, -0.39978, 0.025054, -0.0006714), (1.3822, -0.77857, 0.062767, -0.0020322)
+MANY_MEAN, MANY_SPREAD = (-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302)
+FEW_SHIFT = (-2.273, 0.459)
+# Ranks a row works through.
+RANK_CHUNK = 4096
+
+
 def normality(rows: DataFrame, value: str, group: str, alpha: float = 0.05) -> DataFrame:
-    """Jarque-Bera per group, standing in for the per-sample normality test."""
-    m = moments(rows, value, group)
-    jb = F.col("n") / 6 * (F.col("skew") ** 2 + F.col("kurt") ** 2 / 4)
-    out = m.withColumn("jb", jb)
-    return out.withColumn("p", F.exp(-F.col("jb") / 2)).withColumn("normal", F.col("p") > alpha)
+    """Shapiro-Wilk per group: (group, n, w, p, normal), by the published approximation of weights and p value.
+
+    The ordered values meet the normal scores of their ranks: a distinct value takes the sum of the scores of its ranks, in chunks of
+    ranks, so neither a group nor a value of many rows is gathered. What is left per group are sums and the two
+    outermost values on each side. A group of fewer than three rows counts as normal with null w; equal values have w 1."""
+    places = value_places(rows, F.col(value).cast("double"), (group,))
+    chunks = places.withColumn("first", F.explode(F.sequence(F.col("_upto") - F.col("_n") + 1, F.col("_upto"), F.lit(RANK_CHUNK).cast("bigint"))))
+    score = lambda i: ds.normal_quantile((i - 0.375) / (F.col("_all") + 0.25))
+    scores = F.transform(F.sequence("first", F.least(F.col("first") + RANK_CHUNK - 1, F.col("_upto"))), score)
+    summed = chunks.withColumn("scores", scores).select(
+        group, "_v", "_n", "_upto", "_all", F.aggregate("scores", F.lit(0.0), lambda a, x: a + x).alias("s1"), F.aggregate("scores", F.lit(0.0), lambda a, x: a + x * x).alias("s2"))
+    at = lambda place: F.max(F.when((F.col("_upto") - F.col("_n") < place) & (place <= F.col("_upto")), F.col("_v")))
+    n_rows = F.col("_all")
+    whole = summed.groupBy(group).agg(
+        F.max("_all").alias("n"), F.sum(F.col("_v") * F.col("s1")).alias("met"), F.sum("s2").alias("squares"),
+        at(F.lit(1)).alias("x1"), at(F.lit(2)).alias("x2"), at(n_rows - 1).alias("y2"), at(n_rows).alias("y1"))
+    spread = rows.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("of_group")).agg((F.var_pop(value) * F.count(F.lit(1))).alias("deviations"))
+    # One row per group on either side.
+    joined = whole.join(spread, F.col(group).eqNullSafe(F.col("of_group"))).drop("of_group")
+    n, u = F.col("n").cast("double"), 1 / F.sqrt("n")
+    outer_score = lambda k: ds.normal_quantile((n - k - 0.375) / (n + 0.25))
+    m1, m2 = F.col("m1"), F.col("m2")
+    joined = joined.withColumn("m1", outer_score(0)).withColumn("m2", outer_score(1))
+    a1 = F.when(F.col("n") == 3, F.sqrt(F.lit(0.5))).otherwise(m1 / F.sqrt("squares") + u * ds.polynomial(OUTER_WEIGHT, u))
+    a2 = m2 / F.sqrt("squares") + u * ds.polynomial(SECOND_WEIGHT, u)
+    joined = joined.withColumn("a1", a1).withColumn("a2", F.when(F.col("n") > 5, a2))
+    inner = F.when(F.col("n") > 5, (F.col("squares") - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * F.col("a1") ** 2 - 2 * F.col("a2") ** 2)).otherwise(
+        (F.col("squares") - 2 * m1 * m1) / (1 - 2 * F.col("a1") ** 2))
+    wide, next_wide = F.col("y1") - F.col("x1"), F.col("y2") - F.col("x2")
+    rest = F.col("met") - m1 * wide - F.when(F.col("n") > 5, m2 * next_wide).otherwise(0.0)
+    line = F.when(F.col("n") == 3, 0.0).otherwise(rest / F.sqrt(inner)) + F.col("a1") * wide + F.when(F.col("n") > 5, F.col("a2") * next_wide).otherwise(0.0)
+    w = F.when(F.col("n") < 3, None).when(wide <= 0, 1.0).otherwise(F.least(F.lit(1.0), line * line / F.col("deviations")))
+    out = joined.withColumn("w", w).withColumn("z", normality_z(F.col("w"), n))
+    tail = ds.normal_p(F.col("z"))
+    p = F.when(F.col("w") == 1.0, 1.0).when(F.col("n") == 3, F.greatest(F.lit(0.0), 6 / np.pi * (F.asin(F.sqrt("w")) - F.asin(F.sqrt(F.lit(0.75)))))).when(
+        F.col("z").isNull() & F.col("w").isNotNull(), 0.0).when(F.col("z") >= 0, tail / 2).otherwise(1 - tail / 2)
+    return out.withColumn("p", p).select(group, "n", "w", "p", F.coalesce(F.col("p") > alpha, F.lit(True)).alias("normal"))
+
+
+def normality_z(w: Column, n: Column) -> Column:
+    """The statistic on the scale of a standard normal; null where it lies beyond what the transform reaches."""
+    log = F.log(1 - w)
+    shift = ds.polynomial(FEW_SHIFT, n)
+    few = F.when(log < shift, (-F.log(shift - log) - ds.polynomial(FEW_MEAN, n)) / F.exp(ds.polynomial(FEW_SPREAD, n)))
+    many = (log - ds.polynomial(MANY_MEAN, F.log(n))) / F.exp(ds.polynomial(MANY_SPREAD, F.log(n)))
+    return F.when(w < 1, F.when(n < 12, few).otherwise(many))
+
+
+def choose_test(rows: DataFrame, value: str, group: str, first: str, second: str, alpha: float = 0.05) -> DataFrame:
+    """(test, statistic, p): the pooled t test if both groups pass as normal, else the rank test."""
+    two = rows.filter(F.col(group).isin(first, second))
+    both = normality(two, value, group, alpha).agg(F.min("normal").alias("normal"))
+    # One row each.
+    side = lambda name: moments(two, value, group).filter(F.col(group) == name)
+    pair = side(first).select(*[F.col(c).alias(f"a_{c}") for c in ("n", "mean", "var")]).join(
+        side(second).select(*[F.col(c).alias(f"b_{c}") for c in ("n", "mean", "var")]), F.lit(True))
+    t = pooled(pair).select(F.lit("t").alias("test"), F.col("t").alias("statistic"), "p", F.lit(True).alias("when_normal"))
+    u = mann_whitney(rows, value, group, first, second).select(F.lit("mann_whitney").alias("test"), F.col("u").alias("statistic"), "p", F.lit(False).alias("when_normal"))
+    return t.unionByName(u).join(F.broadcast(both), F.col("when_normal") == F.coalesce("normal", F.lit(True))).select("test", "statistic", "p")
 
 
 def _bounds(values: DataFrame, value: str, buckets: int) -> list[float]:
@@ -191,20 +268,31 @@ def rank_sums(rows: DataFrame, value: str, group: str) -> DataFrame:
     return sums.join(F.broadcast(whole), F.lit(True))
 
 
+# The exact form is taken up to so many rows in the smaller group, without ties, while its table has so many cells.
+EXACT_ROWS = 8
+EXACT_CELLS = 100_000
+
+
 def mann_whitney(rows: DataFrame, value: str, group: str, first: str, second: str) -> DataFrame:
-    """U of ``first`` against ``second``, two-sided, normal approximation with tie correction."""
+    """U of ``first`` against ``second``, two-sided: ``p`` is exact if a group has at most ``EXACT_ROWS`` rows and no
+    values tie, else the normal approximation with tie correction. ``exact`` says which; a group without rows leaves no p."""
     two = rows.filter(F.col(group).isin(first, second))
     sums = rank_sums(two, value, group)
     wide = sums.agg(
-        F.max(F.when(F.col(group) == first, F.col("n"))).cast("double").alias("n1"),
-        F.max(F.when(F.col(group) == second, F.col("n"))).cast("double").alias("n2"),
-        F.max(F.when(F.col(group) == first, F.col("rank_sum"))).alias("r1"), F.max("ties").alias("ties"))
+        F.coalesce(F.max(F.when(F.col(group) == first, F.col("n"))), F.lit(0)).cast("double").alias("n1"),
+        F.coalesce(F.max(F.when(F.col(group) == second, F.col("n"))), F.lit(0)).cast("double").alias("n2"),
+        F.coalesce(F.max(F.when(F.col(group) == first, F.col("rank_sum"))), F.lit(0.0)).alias("r1"), F.max("ties").alias("ties"))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    sigma = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    out = wide.select(n1.alias("n1"), n2.alias("n2"), u.alias("u"), ((F.abs(u - n1 * n2 / 2) - 0.5) / sigma).alias("z"))
-    return out.withColumn("p", F.least(F.lit(1.0), ds.normal_p(F.greatest(F.col("z"), F.lit(0.0)))))
+    sigma = F.sqrt(n1 * n2 / 12 * (n + 1 - F.try_divide("ties", n * (n - 1))))
+    out = wide.select(n1.alias("n1"), n2.alias("n2"), u.alias("u"), F.try_divide(F.abs(u - n1 * n2 / 2) - 0.5, sigma).alias("z"), "ties")
+    both = (n1 > 0) & (n2 > 0)
+    exact = both & (F.least(n1, n2) <= EXACT_ROWS) & (F.col("ties") == 0) & (n1 * n2 <= EXACT_CELLS)
+    out = out.withColumn("exact", F.coalesce(exact, F.lit(False)))
+    counted = ds.rank_sum_p(*[F.when(F.col("exact"), F.col(c)) for c in ("n1", "n2", "u")])
+    approximate = F.when(both, F.least(F.lit(1.0), ds.normal_p(F.greatest(F.col("z"), F.lit(0.0)))))
+    return out.withColumn("p", F.coalesce(counted, approximate)).drop("ties")
 
 
 def anova(rows: DataFrame, value: str, group: str) -> DataFrame:
