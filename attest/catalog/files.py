@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 from .. import fixtures as fx
 from ..operators import prompts as pm
 from ..session import scratch_path
-from ..sources import readers as rd, writers as wr
+from ..sources import exports as ep, readers as rd, writers as wr
 from . import shared as sh
 from .registry import query
 from .shared import VIEWS, r6
@@ -148,7 +148,7 @@ def snk_02(spark, sf):
     path = scratch_path(spark, "results")
     results = nested_results(spark, sf)
     wr.write_results(results, fx.cases(spark, sf).groupBy("cond").count(), {"mode": "ranked"}, path)
-    back = spark.read.schema(results.schema).json(f"{path}/results")
+    back = ep.read_export(spark, path, "results")
     return back.select("case_id", F.size("predictions").cast("bigint").alias("n_predictions"), F.array_join(F.transform("predictions", lambda p: p["label"]), "|").alias("labels"))
 
 
@@ -167,8 +167,8 @@ def snk_04(spark, sf):
     path = scratch_path(spark, "metrics")
     rows = metric_table(spark, sf)
     wr.write_metrics(mean_metrics(rows), rows, path)
-    whole = spark.read.schema("metric string, k int, value double, n bigint").json(f"{path}/aggregate")
-    cases = spark.read.parquet(f"{path}/per_case").groupBy("metric", "k").agg(F.count("*").cast("double").alias("value"))
+    whole = ep.read_export(spark, path, "aggregate")
+    cases = ep.read_export(spark, path, "per_case").groupBy("metric", "k").agg(F.count("*").cast("double").alias("value"))
     return whole.select(F.lit("aggregate").alias("part"), "metric", "k", r6("value")).unionByName(
         cases.select(F.lit("cases").alias("part"), "metric", "k", "value"))
 

@@ -8,7 +8,7 @@ from .. import fixtures as fx
 from ..functions import text as tx
 from ..plans import jobs
 from ..session import scratch_path
-from ..streaming import monitors as mo
+from ..streaming import monitors as mo, tracker as tk
 from . import shared as sh
 from .grounding import NLI
 from .judging import BIN_VIEWS
@@ -120,6 +120,18 @@ def str_01(spark, sf):
         F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "error_type", "n")
 
 
+@query("str_01_tracker", """SELECT error_type, count(*) AS n, CASE WHEN error_type = 'success' THEN '' ELSE string_agg(attempt_id || '=' || substr(raw_output, 1, 500), '|' ORDER BY attempt_id)
+        FILTER (i <= 3) END AS examples FROM (SELECT *, row_number() OVER (PARTITION BY error_type ORDER BY attempt_id) AS i FROM (SELECT *, CASE WHEN success THEN 'success' ELSE
+        CASE attempt_id % 8 WHEN 0 THEN 'empty_output' WHEN 2 THEN 'extra_text' ELSE 'incomplete_json' END END AS error_type FROM v_attempts)) GROUP BY 1""")
+def str_01_tracker(spark, sf):
+    """Attempts as they arrive: how many of each outcome so far, and the first examples of each error."""
+    path = scratch_path(spark, "tracker")
+    mo.replay(fx.attempts(spark, sf), f"{path}/in", lambda s: mo.run_available(tk.track(s), path, "update"))
+    out = tk.tracked(mo.latest(spark, path, ["error_type", "spread"]))
+    shown = F.transform("examples", lambda x: F.concat(x["attempt_id"].cast("string"), F.lit("="), x["preview"]))
+    return out.select("error_type", "n", F.array_join(shown, "|").alias("examples"))
+
+
 @query("str_02", """SELECT bin, count(*) AS n, sum(gold::INT)::BIGINT AS n_right, round(sum(confidence), 6) + 0.0 AS sum_confidence,
     (SELECT count(*) FROM v_judgements WHERE confidence < 0.6::DOUBLE) AS n_queued FROM v_binned GROUP BY 1""", BIN_VIEWS)
 def str_02(spark, sf):

@@ -7,6 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+# Training rows with texts: what was asked, and what was said.
+PREFERENCE = ["prompt", "chosen", "rejected"]
+SUPERVISED = ["prompt", "response"]
+
 MARGIN = 0.1
 HIGH_REWARD = 0.7
 
@@ -40,3 +44,19 @@ def supervised_rows(rows: DataFrame, keys: list[str], least: float = HIGH_REWARD
     """(keys, item, score): the best item of each group whose score is ``least`` or more; of equal scores the smallest."""
     best = rows.filter(F.col("score") >= least).groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("loss"), "item")).alias("b"))
     return best.select(*keys, F.col("b.item").alias("item"), (-F.col("b.loss")).alias("score"))
+
+
+def with_texts(rows: DataFrame, prompts: DataFrame, responses: DataFrame, keys: list[str], prompt_keys: list[str], items: tuple[str, ...]) -> DataFrame:
+    """``rows`` with the prompt of their group and, in place of each named item, the text that was said.
+
+    ``prompts`` holds prompt_keys and ``prompt``, ``responses`` keys, ``item`` and ``response``. The texts of the chosen items alone are
+    shuffled: responses nobody chose are left out by a semi-join on keys first. A row whose texts are missing is dropped, as there is
+    nothing to learn from it."""
+    wanted = rows.select(*keys, F.explode(F.array(*items)).alias("item")).distinct()
+    said = responses.join(wanted, [*keys, "item"], "left_semi").filter(F.col("response").isNotNull())
+    out = rows
+    for item in items:
+        out = out.join(said.select(*keys, F.col("item").alias(item), F.col("response").alias(f"{item}_text")), [*keys, item])
+    asked = prompts.filter(F.col("prompt").isNotNull())
+    named = [F.col(f"{i}_text").alias(i if len(items) > 1 else "response") for i in items]
+    return out.join(asked.select(*prompt_keys, "prompt"), prompt_keys).select(*keys, "prompt", *named, *[c for c in rows.columns if c not in (*keys, *items)])

@@ -1,4 +1,4 @@
-"""Writers: every export is one distributed write."""
+"""Writers: every table is one distributed write; exports of several tables are whole or not there."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import warnings
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .exports import write_export
+
 
 def write_corpus(docs: DataFrame, path: str) -> None:
     """JSON lines of doc_id, text, metadata."""
@@ -13,13 +15,11 @@ def write_corpus(docs: DataFrame, path: str) -> None:
 
 
 def write_results(results: DataFrame, summary: DataFrame, config: dict[str, str], path: str) -> None:
-    """Nested results, a one-row summary and the configuration, side by side."""
-    spark = results.sparkSession
-    results.write.json(f"{path}/results")
-    summary.write.json(f"{path}/summary")
+    """Nested results, a one-row summary and the configuration as one export (see ``exports``)."""
     pairs = ", ".join("(?, ?)" for _ in config) or "(null, null)"
     args = [x for pair in config.items() for x in pair]
-    spark.sql(f"SELECT * FROM VALUES {pairs} AS t(key, value)", args=args).write.json(f"{path}/config")
+    settings = results.sparkSession.sql(f"SELECT * FROM VALUES {pairs} AS t(key, value)", args=args)
+    write_export({"results": (results, "json"), "summary": (summary, "json"), "config": (settings, "json")}, path)
 
 
 def write_per_case(results: DataFrame, path: str, key: str = "case_id", limit: int = 10_000) -> None:
@@ -30,8 +30,8 @@ def write_per_case(results: DataFrame, path: str, key: str = "case_id", limit: i
 
 
 def write_metrics(aggregate: DataFrame, per_case: DataFrame, path: str) -> None:
-    aggregate.write.json(f"{path}/aggregate")
-    per_case.write.parquet(f"{path}/per_case")
+    """Aggregate and rows per case as one export."""
+    write_export({"aggregate": (aggregate, "json"), "per_case": (per_case, "parquet")}, path)
 
 
 def annotation_queue(judgements: DataFrame) -> DataFrame:
