@@ -14,7 +14,7 @@ from pyspark.sql import Column, functions as F
 
 from .text import let
 
-# The references that a browser accepts: decimal, hexadecimal, named.
+# Fixed value: the references that a browser accepts, decimal, hexadecimal and named.
 REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 REPLACEMENT = "�"
 LAST = 0x10FFFF

@@ -11,6 +11,12 @@ from pyspark.sql import Column, functions as F
 
 from ..operators.filters import SECTION_LABELS
 
+# Patterns of note cleaning; the list artefacts are removed in this order.
+NOTE_PLACEHOLDER = r"(?U)\b_+\b"
+NOTE_ARTEFACTS = ("[': ___", "': ___", '": ___', "['", "']", '["', '"]')
+NOTE_DASHED_PLACEHOLDER = r"(?U)_+\s*-\s*"
+NOTE_ID_LINE = r"(?Uim)^.*\b(note_id|subject_id|hadm_id)\s*:.*\n?"
+NOTE_CONCLUSION = r"(?Uims)^\s*(impression|final\s+diagnosis)\s*:.*?(?=\n\s*\n|^\S|\z)"
 # Patterns of the text rules.
 TOKEN = r"(?U)\b\w+\b"
 SPACES = r"(?U)\s+"
@@ -114,13 +120,12 @@ def clean_note(c: Column) -> Column:
     sections, machine report, spaces."""
     t = F.replace(c, F.lit("\\n"), F.lit("\n"))
     t = F.regexp_replace(t, "\r\n?", "\n")
-    t = F.regexp_replace(t, r"(?U)\b_+\b", " ")
-    # List artefacts, removed in this order.
-    for artefact in ("[': ___", "': ___", '": ___', "['", "']", '["', '"]'):
+    t = F.regexp_replace(t, NOTE_PLACEHOLDER, " ")
+    for artefact in NOTE_ARTEFACTS:
         t = F.replace(t, F.lit(artefact), F.lit(""))
-    t = F.regexp_replace(t, r"(?U)_+\s*-\s*", "")
-    t = F.regexp_replace(t, r"(?Uim)^.*\b(note_id|subject_id|hadm_id)\s*:.*\n?", "")
-    t = F.regexp_replace(t, r"(?Uims)^\s*(impression|final\s+diagnosis)\s*:.*?(?=\n\s*\n|^\S|\z)", "")
+    t = F.regexp_replace(t, NOTE_DASHED_PLACEHOLDER, "")
+    t = F.regexp_replace(t, NOTE_ID_LINE, "")
+    t = F.regexp_replace(t, NOTE_CONCLUSION, "")
     t = dedupe_report(t)
     t = F.regexp_replace(t, r"(?m)[ \t]+$", "")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
