@@ -57,8 +57,11 @@ def vec_02(spark, sf):
     items = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     frequency, n = lx.frequency_table(docs), docs.count()
     a = lx.weights(items, frequency, n, "query_id").withColumnRenamed("query_id", "id")
-    b = lx.weights(docs, frequency, n).withColumnRenamed("doc_id", "id")
-    pairs = fx.relevance(spark, sf).select(F.col("query_id").alias("a_id"), F.col("doc_id").alias("b_id"))
+    relevant = fx.relevance(spark, sf)
+    # Only documents of a pair are weighed.
+    wanted = docs.join(relevant.select("doc_id").distinct(), "doc_id", "left_semi")
+    b = lx.weights(wanted, frequency, n).withColumnRenamed("doc_id", "id")
+    pairs = relevant.select(F.col("query_id").alias("a_id"), F.col("doc_id").alias("b_id"))
     return vx.sparse_cosine(a, b, pairs).select(
         F.col("a_id").alias("query_id"), F.col("b_id").alias("doc_id"), r6("score"))
 
