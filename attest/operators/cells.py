@@ -144,14 +144,18 @@ def probes(index: CellIndex, queries: DataFrame, n_probe: int) -> DataFrame:
 def probed(index: CellIndex, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score): the k best of each query's probed cells, from ``asked`` (query_id, vector, cell_id).
 
-    The probed cells are known before the scan is planned, so the others' folders are not read. Queries of a counted
-    size go to the tasks that scan; more of them meet the cells' files in a task per cell and shard."""
+    The probed cells are known before the scan is planned, so the others' folders are not read. Probes of a bounded
+    number go to the tasks that scan; more of them meet the cells' files in a task per cell and shard."""
     ids = "query_id {}, doc_id {}, score double".format(asked.schema["query_id"].dataType.simpleString(), index.rows.schema["doc_id"].dataType.simpleString())
-    wanted = [r["cell_id"] for r in asked.select("cell_id").distinct().collect()]
+    limit = max(1, min(BROADCAST_QUERIES, BROADCAST_CELLS // index.width))
+    # One job says whether the probes are few and, if so, what they are.
+    few = asked.limit(limit + 1).toPandas()
+    small = len(few) <= limit
+    wanted = few["cell_id"].unique().tolist() if small else [r["cell_id"] for r in asked.select("cell_id").distinct().collect()]
     rows = index.rows.filter(F.col("cell_id").isin(wanted)).select("cell_id", "doc_id", "vector")
-    n = asked.select("query_id").distinct().count() if wanted else 0
-    if n <= BROADCAST_QUERIES and n * index.width <= BROADCAST_CELLS:
-        shared = index.rows.sparkSession.sparkContext.broadcast(dict(list(asked.toPandas().groupby("cell_id"))))
+    if small:
+        n = few["query_id"].nunique()
+        shared = index.rows.sparkSession.sparkContext.broadcast(dict(list(few.groupby("cell_id"))))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = None
