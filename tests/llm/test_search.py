@@ -56,6 +56,28 @@ def test_many_equal_vectors(spark):
     assert [(r.query_id, r.vec_id) for r in got] == [(0, i) for i in range(1, 6)] + [(250, i) for i in range(5)]
 
 
+def test_chains_of_a_block_lead_to_its_end_or_break_off():
+    # 0 -> 40 -> 70 -> 130; 10 -> 20, where no find is; 50 -> 200; 90 -> 100, the block's end.
+    assert warc.exits([0, 10, 40, 50, 70, 90], [40, 20, 70, 200, 130, 100], 100) == [130, None, 130, 200, 130, 100]
+    assert warc.exits([], [], 100) == []
+
+
+def test_a_file_has_one_entry_per_block_on_its_chain(spark, tmp_path):
+    """The chain enters each block at the first record that begins in it; finds inside payloads are no entries."""
+    forged = warc.record(9, "u", b"y" * 30, "0" * 64, None)
+    records = [warc.record(i, "u", forged * (i % 4) + b"z" * (37 * i % 211), "0" * 64, None) for i in range(60)]
+    (tmp_path / "one.warc").write_bytes(b"".join(records))
+    places = [sum(map(len, records[:i])) for i in range(61)]
+    files = spark.createDataFrame([("one.warc", places[-1])], "file string, file_bytes long")
+    for block in (300, 1024, 1 << 20):
+        found = warc.candidates(files, tmp_path.as_uri(), block)
+        got = {r.block: r.entry for r in warc.reachable(found, block).collect()}
+        want = {}
+        for at in places[:-1]:
+            want.setdefault(at // block, at)
+        assert got == want
+
+
 def test_forged_records_and_small_blocks(spark):
     forged = warc.record(99, "http://forged", b"y" * 40, "0" * 64, None).decode()
     half = "WARC/1.1\r\nContent-Length: 3\r\n"
