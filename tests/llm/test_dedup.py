@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attest.llm import anchors, catalog, neardup, suffixes
+from attest.llm import anchors, catalog, doubling, neardup, suffixes
 from attest.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -168,3 +168,15 @@ def test_removal_of_nothing(spark):
     one = spark.createDataFrame([(1, "x" * 200, None)], "doc_id long, text string, source string")
     assert suffixes.cleaned(one).first().text == "x" * 200
     assert one.select(F.length("text")).first()[0] == 200
+
+
+def test_doubling_over_every_position_gives_the_same_rows(spark):
+    rng = random.Random(8)
+    passages = ["".join(rng.choice("abé ") for _ in range(rng.randint(30, 90))) for _ in range(6)]
+    texts = [(i, "".join(rng.choice(passages)[rng.randint(0, 9):] for _ in range(rng.randint(0, 4)))) for i in range(40)]
+    rows = [*texts, (3, passages[0] * 2), (None, passages[1] * 2), (50, None), (51, ""), (52, "ab" * 60), (53, "b" + "ab" * 60)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row string").repartition(3)
+    columns = ["doc_id", "row", *doubling.RESULT]
+    want = sorted(map(str, suffixes.removed(docs).select(*columns).collect()))
+    assert sorted(map(str, doubling.removed(docs).select(*columns).collect())) == want
+    assert doubling.removed(docs.limit(0)).collect() == []
