@@ -23,11 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.vectors import normalise
 from ..session import materialised
-from .blocks import BROADCAST_CELLS, BROADCAST_QUERIES, _trim, dense_block
+from .blocks import BROADCAST_CELLS, BROADCAST_QUERIES, CELLS, DIGITS, _frame, _trim, dense_block
 from .topk import top_k
 
 # Rows per centre that the fit reads, and rows of a file.
@@ -45,6 +48,16 @@ def matrix(column, width: int) -> np.ndarray:
     return m / np.where(lengths == 0, 1.0, lengths)
 
 
+def list_matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    """``matrix`` of an Arrow column, from its values as they lie, without an object per row."""
+    lengths = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    m, fit = np.zeros((len(column), width)), lengths == width
+    m[fit] = (flat if fit.all() else flat[np.repeat(fit, lengths)]).reshape(-1, width)
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norms == 0, 1.0, norms)
+
+
 def fit_centres(docs: DataFrame, n_cells: int = 100, seed: int = 42, rows_per_cell: int = FIT_ROWS) -> np.ndarray:
     """At most ``n_cells`` unit centres, fitted on the ``rows_per_cell * n_cells`` rows of the smallest hashes of doc_id."""
     from pyspark.ml.clustering import KMeans
@@ -131,44 +144,69 @@ def open_cells(spark: SparkSession, path: str) -> CellIndex:
                      np.array([r["reach"] for r in about]))
 
 
+def nearest_cells(space: Geometry, vectors, n_probe: int) -> np.ndarray:
+    """The n_probe nearest cells of each vector, a row each."""
+    return space.cells[np.argsort(-space.near(vectors), axis=1, kind="stable")[:, :n_probe]].astype(np.int32)
+
+
 def probes(index: CellIndex, queries: DataFrame, n_probe: int) -> DataFrame:
     """(query_id, vector, cell_id): the n_probe nearest cells of each query."""
     space = index.geometry
 
     @F.pandas_udf("array<int>")
     def nearest(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(space.cells[np.argsort(-space.near(vectors), axis=1, kind="stable")[:, :n_probe]].astype(np.int32)))
+        return pd.Series(list(nearest_cells(space, vectors, n_probe)))
     return queries.select("query_id", "vector", F.explode(nearest("vector")).alias("cell_id"))
 
 
+def most_probes(index: CellIndex) -> int:
+    """Probes that may go to every task."""
+    return max(1, min(BROADCAST_QUERIES, BROADCAST_CELLS // index.width))
+
+
+def hit_schema(index: CellIndex, queries: DataFrame) -> T.StructType:
+    return T.StructType([queries.schema["query_id"], index.rows.schema["doc_id"], T.StructField("score", T.DoubleType())])
+
+
+def scanned(index: CellIndex, few: pd.DataFrame, k: int, ids: T.StructType) -> DataFrame:
+    """The k best of the probes ``few`` (query_id, vector, cell_id), whose number is bounded, by one scan of their cells."""
+    n, width = few["query_id"].nunique(), index.width
+    asking = {int(c): (list(q["query_id"]), matrix(q["vector"], width)) for c, q in few.groupby("cell_id")}
+    shared, fields = index.rows.sparkSession.sparkContext.broadcast(asking), to_arrow_schema(ids)
+    rows = index.rows.filter(F.col("cell_id").isin(list(asking))).select("cell_id", "doc_id", "vector")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            cells = batch.column("cell_id").to_numpy()
+            for cell in np.unique(cells):
+                part = batch if (cells == cell).all() else batch.filter(pa.array(cells == cell))
+                queries, q = shared.value[int(cell)]
+                step = max(1, CELLS // len(queries))
+                for begin in range(0, part.num_rows, step):
+                    some = part.slice(begin, step)
+                    scores = np.round(list_matrix(some.column("vector"), width) @ q.T, DIGITS) + 0.0
+                    found = _frame(scores, some.column("doc_id").to_numpy(zero_copy_only=False), queries, k)
+                    best = found if best is None else pd.concat([best, found])
+            if best is not None and len(best) > 8 * k * n:
+                best = _trim(best, k)
+        if best is not None and len(best):
+            yield pa.RecordBatch.from_pandas(_trim(best, k), fields, preserve_index=False)
+    return rows.mapInArrow(scan, ids)
+
+
 def probed(index: CellIndex, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score): the k best of each query's probed cells, from ``asked`` (query_id, vector, cell_id).
 
     The probed cells are known before the scan is planned, so the others' folders are not read. Probes of a bounded
     number go to the tasks that scan; more of them meet the cells' files in a task per cell and shard."""
-    ids = "query_id {}, doc_id {}, score double".format(asked.schema["query_id"].dataType.simpleString(), index.rows.schema["doc_id"].dataType.simpleString())
-    limit = max(1, min(BROADCAST_QUERIES, BROADCAST_CELLS // index.width))
+    ids, limit = hit_schema(index, asked), most_probes(index)
     # One job says whether the probes are few and, if so, what they are.
     few = asked.limit(limit + 1).toPandas()
-    small = len(few) <= limit
-    wanted = few["cell_id"].unique().tolist() if small else [r["cell_id"] for r in asked.select("cell_id").distinct().collect()]
+    if len(few) <= limit:
+        return scanned(index, few, k, ids)
+    wanted = [r["cell_id"] for r in asked.select("cell_id").distinct().collect()]
     rows = index.rows.filter(F.col("cell_id").isin(wanted)).select("cell_id", "doc_id", "vector")
-    if small:
-        n = few["query_id"].nunique()
-        shared = index.rows.sparkSession.sparkContext.broadcast(dict(list(few.groupby("cell_id"))))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = None
-            for batch in batches:
-                for cell, members in batch.groupby("cell_id"):
-                    if cell in shared.value:
-                        found = dense_block(members[["doc_id", "vector"]], shared.value[cell][["query_id", "vector"]], k)
-                        best = found if best is None else pd.concat([best, found])
-                if best is not None and len(best) > 8 * k * n:
-                    best = _trim(best, k)
-            if best is not None and len(best):
-                yield _trim(best, k)
-        return rows.mapInPandas(scan, ids)
     shards = {int(c): max(1, math.ceil(r / FILE_ROWS)) for c, r in zip(index.cells, index.n_rows)}
     of_cell = F.create_map(*[F.lit(x) for pair in shards.items() for x in pair])
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), of_cell[F.col("cell_id")]).cast("int"))
@@ -186,7 +224,13 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
 
 
 def search(index: CellIndex, queries: DataFrame, k: int, n_probe: int = 10) -> DataFrame:
-    """(query_id, rnk, doc_id, score) of the n_probe nearest cells."""
+    """(query_id, rnk, doc_id, score) of the n_probe nearest cells. The probes of a bounded number of queries are found where the
+    search is planned, those of more by tasks."""
+    limit = most_probes(index) // n_probe
+    few = queries.select("query_id", "vector").limit(limit + 1).toPandas()
+    if len(few) <= limit:
+        few["cell_id"] = list(nearest_cells(index.geometry, few["vector"], n_probe))
+        return ranked(scanned(index, few.explode("cell_id"), k, hit_schema(index, queries)), k)
     return ranked(probed(index, probes(index, queries, n_probe), k), k)
 
 

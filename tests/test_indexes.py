@@ -76,6 +76,17 @@ def test_recall_of_the_registered_query(spark, sf):
     assert rows and np.mean([r.recall for r in rows]) >= 0.9
 
 
+def test_ids_of_other_kinds_and_odd_vectors(spark, tmp_path):
+    """Text and short whole-number ids, float vectors, nulls among full rows, no queries; the same rows by one scan and exhaustively."""
+    docs = spark.createDataFrame([(f"d{i}", None if i % 7 == 0 else [] if i % 11 == 0 else [float(i % 5), float(i % 3) - 1, 1.0]) for i in range(200)], "doc_id string, vector array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.5]), (2, None), (3, [0.0, 1.0, 1.0])], "query_id int, vector array<double>")
+    cs.write_cells(docs, str(tmp_path), 5)
+    index = cs.open_cells(spark, str(tmp_path))
+    got = cs.search(index, asked, 4, len(index.cells))
+    assert rows_of(got) == rows_of(rt.dense_search(docs, asked, 4)) and dict(got.dtypes)["query_id"] == "int"
+    assert cs.search(index, asked.limit(0), 4, 2).collect() == []
+
+
 def test_small_and_empty_indexes(spark, tmp_path):
     one = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "doc_id long, vector array<double>")
     asked = spark.createDataFrame([(9, [0.5, 0.5]), (8, None)], "query_id long, vector array<double>")
