@@ -16,6 +16,8 @@ from .text import let
 
 # Fixed value: the references that a browser accepts, decimal, hexadecimal and named.
 REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# The same with their semicolon.
+CLOSED = REFERENCE.replace(";?", ";")
 REPLACEMENT = "�"
 LAST = 0x10FFFF
 
@@ -48,8 +50,9 @@ def tables() -> tuple[str, str, int]:
     return json.dumps(by_letter), json.dumps(numbers), max(len(n) for n in html5 if not n.endswith(";"))
 
 
-def decode_entities(c: Column) -> Column:
-    """The text with its references decoded; null for null."""
+def decode_entities(c: Column, bare: bool = True) -> Column:
+    """The text with its references decoded; null for null. Without ``bare`` one that lacks its semicolon is text."""
+    reference = REFERENCE if bare else CLOSED
     names, numbers, longest = tables()
     by_letter = F.from_json(F.lit(names), "map<string,map<string,string>>")
     special = F.from_json(F.lit(numbers), "map<string,string>")
@@ -67,6 +70,8 @@ def decode_entities(c: Column) -> Column:
 
     def named(body):
         def from_table(table):
+            if not bare:
+                return F.coalesce(F.element_at(table, body), F.concat(F.lit("&"), body))
             starts = F.transform(F.sequence(F.least(F.length(body) - 1, F.lit(longest)), F.lit(2), F.lit(-1)), lambda k: F.substr(body, F.lit(1), k))
             shorter = F.when(F.length(body) > 2, F.get(F.filter(starts, lambda s: F.element_at(table, s).isNotNull()), F.lit(0)))
             prefix = let(shorter, lambda s: F.when(s.isNotNull(), F.concat(F.element_at(table, s), F.substr(body, F.length(s) + 1))))
@@ -78,6 +83,6 @@ def decode_entities(c: Column) -> Column:
 
     def joined(found):
         texts = F.concat(F.transform(found, one), F.array(F.lit("")))
-        return F.array_join(F.zip_with(F.split(c, REFERENCE), texts, lambda a, b: F.concat(a, b)), "")
-    whole = let(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)), joined)
+        return F.array_join(F.zip_with(F.split(c, reference), texts, lambda a, b: F.concat(a, b)), "")
+    whole = let(F.regexp_extract_all(c, F.lit(reference), F.lit(0)), joined)
     return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)

@@ -132,9 +132,10 @@ def clean_note(c: Column) -> Column:
     return strip(F.regexp_replace(t, " {2,}", " "))
 
 
-def clean_evidence(c: Column) -> Column:
+def clean_evidence(c: Column, bare: bool = True) -> Column:
+    """Without ``bare`` a named reference that lacks its semicolon, as in a cut text, is left as it is."""
     from .entities import decode_entities
-    t = let(F.regexp_replace(c, "<[^>]+>", " "), decode_entities)
+    t = let(F.regexp_replace(c, "<[^>]+>", " "), lambda x: decode_entities(x, bare))
     t = F.regexp_replace(t, "&#x?[0-9a-fA-F]+;", " ")
     return strip(F.regexp_replace(t, SPACES, " "))
 

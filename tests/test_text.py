@@ -67,6 +67,19 @@ def test_clean_evidence(spark):
     assert value(spark, tx.clean_evidence, "<p>a&#xb7;b &lt;c&gt;</p>\n d&amp;e") == "a·b <c> d&e"
 
 
+def test_references_without_semicolon(spark):
+    cut = "<h1>ver&amp</h1> &copy; x&amp;y &#39 &ampz; &middot;"
+    assert value(spark, tx.clean_evidence, cut) == "ver& © x&y ' &z; ·"
+    assert value(spark, lambda c: tx.clean_evidence(c, bare=False), cut) == "ver&amp © x&y &#39 &ampz; ·"
+
+
+def test_txt_09_keeps_cut_references(spark, tmp_path):
+    from attest.catalog import queries
+    pages = [(1, "u", "<h1>ver&amp</h1>&copy; a&amp;b &middot;")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert queries()["txt_09"](spark, str(tmp_path)).collect() == [(1, "ver&amp © a&b ·")]
+
+
 def test_sentence_rules(spark):
     t = "One two. three. Four? Five"
     assert value(spark, tx.sentences, t) == ["One two. three.", "Four?", "Five"]
