@@ -3,7 +3,7 @@ probabilities are applied to the one row per comparison that is left."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,6 +70,10 @@ def with_quantiles(groups: DataFrame, rows: DataFrame, value: Column, wanted: di
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1, dtype=float)) if k else np.exp(-1.0) for k in range(12)])
 
 
+# Groups whose sums are taken at once.
+GROUPS = 64
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit counter hash, so a weight depends on (row, replicate, seed) alone."""
     with np.errstate(over="ignore"):
@@ -78,13 +82,62 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _weight(u: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_POISSON, (u >> np.uint64(11)) * 2.0 ** -53, side="right").astype(np.float64)
+
+
+# Weights by the first bits of a draw; not a number where the other bits decide.
+START_BITS = 12
+_STARTS = np.arange(1 << START_BITS, dtype=np.uint64) << np.uint64(64 - START_BITS)
+_BY_START = np.where(_weight(_STARTS) == _weight(_STARTS | np.uint64((1 << 64 - START_BITS) - 1)), _weight(_STARTS), np.nan)
+
+
 def poisson_weights(ids: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     """len(ids) x replicates weights, each Poisson(1)."""
     with np.errstate(over="ignore"):
         rows = _mix(ids.astype(np.int64).view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
         steps = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
         u = _mix(rows[:, None] + steps[None, :])
-    return np.searchsorted(_POISSON, (u >> np.uint64(11)) * 2.0 ** -53, side="right").astype(np.float64)
+    out = _BY_START[(u >> np.uint64(64 - START_BITS)).view(np.int64)]
+    open_ = np.isnan(out)
+    out[open_] = _weight(u[open_])
+    return out
+
+
+def _groups(batch: pd.DataFrame, keys: list[str]) -> tuple[list[tuple], np.ndarray]:
+    """The groups of a batch and the group of each row."""
+    if not keys:
+        return [()], np.zeros(len(batch), dtype=np.int64)
+    number = batch.groupby(keys, sort=False).ngroup().to_numpy()
+    first = batch[keys].iloc[np.unique(number, return_index=True)[1]]
+    return list(first.itertuples(index=False, name=None)), number
+
+
+def partial_sums(batches: Iterable[pd.DataFrame], keys: list[str], replicates: int, seed: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Each group's key, and its weighted sums and weights per replicate, over batches of keys, _id and _v."""
+    block, sums = max(1, 2_000_000 // replicates), {}
+    for batch in batches:
+        found, group = _groups(batch, keys)
+        ids, place = np.unique(batch["_id"].to_numpy(), return_inverse=True)
+        sums_of = [sums.setdefault(key, np.zeros((2, replicates))) for key in found]
+        order = np.argsort(place, kind="stable")
+        place, group, v = place[order], group[order], batch["_v"].to_numpy()[order]
+        for start in range(0, len(ids), block):
+            w = poisson_weights(ids[start:start + block], replicates, seed)
+            first, last = np.searchsorted(place, [start, start + len(w)])
+            for low in range(0, len(found), GROUPS):
+                # Sums and counts by group and id; few groups at a time.
+                here = np.flatnonzero((group[first:last] >= low) & (group[first:last] < low + GROUPS)) + first
+                size = min(GROUPS, len(found) - low)
+                used, at = np.unique(place[here] - start, return_inverse=True)
+                drawn = w if len(used) == len(w) else w[used]
+                cell = (group[here] - low) * len(used) + at
+                s = np.bincount(cell, v[here], size * len(used)).reshape(size, -1) @ drawn
+                n = np.bincount(cell, minlength=size * len(used)).reshape(size, -1).astype(np.float64) @ drawn
+                for j in range(size):
+                    sums_of[low + j][0] += s[j]
+                    sums_of[low + j][1] += n[j]
+    yield from sums.items()
 
 
 def bootstrap_means(rows: DataFrame, value: str, row_id: Column, by: tuple[str, ...] = (), replicates: int = 1000,
@@ -92,24 +145,14 @@ def bootstrap_means(rows: DataFrame, value: str, row_id: Column, by: tuple[str,
     """(group, replicate, mean): each row enters replicate b with a Poisson(1) weight.
 
     A task returns one partial sum per group and replicate, whatever its rows; the weights are
-    functions of the row id, so the result does not depend on the partitioning."""
+    functions of the row id, so the result does not depend on the partitioning. Rows of a batch that share
+    an id, such as the metrics of a case, share its weights, which are drawn once."""
     keys = list(by)
     data = rows.filter(F.col(value).isNotNull()).select(*keys, row_id.cast("bigint").alias("_id"), F.col(value).cast("double").alias("_v"))
-    block = max(1, 2_000_000 // replicates)
+    data = data.dropna(subset=keys) if keys else data
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict = {}
-        for batch in batches:
-            groups = batch.groupby(keys, sort=False) if keys else [((), batch)]
-            for key, part in groups:
-                key = key if isinstance(key, tuple) else (key,)
-                acc = sums.setdefault(key, np.zeros((2, replicates)))
-                ids, v = part["_id"].to_numpy(), part["_v"].to_numpy()
-                for start in range(0, len(ids), block):
-                    w = poisson_weights(ids[start:start + block], replicates, seed)
-                    acc[0] += v[start:start + block] @ w
-                    acc[1] += w.sum(axis=0)
-        for key, acc in sums.items():
+        for key, acc in partial_sums(batches, keys, replicates, seed):
             out = pd.DataFrame({"replicate": np.arange(replicates, dtype=np.int32), "s": acc[0], "w": acc[1]})
             for name, k in zip(keys, key):
                 out[name] = k

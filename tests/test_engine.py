@@ -134,6 +134,34 @@ def test_average_ranks_with_ties(spark):
         assert got == {1.0: 1.5, 2.0: 3.0, 3.0: 5.0}
 
 
+def test_bootstrap_draws_the_weights_of_an_id_once_for_all_its_groups(spark, monkeypatch):
+    """Before, each of the 35 metrics of a case drew them again."""
+    rows = spark.range(400).select((F.col("id") % 40).alias("case_id"), (F.col("id") / 40).cast("int").alias("g"), F.sin("id").alias("v"))
+    rows = rows.unionByName(rows.filter("g = 1"))
+    got = {(r.g, r.replicate): r["mean"] for r in st.bootstrap_means(rows.repartition(3), "v", F.col("case_id"), ("g",), 20).collect()}
+    local = rows.toPandas()
+    for g, part in local.groupby("g"):
+        w = st.poisson_weights(part.case_id.to_numpy(), 20, 42)
+        want = part.v.to_numpy() @ w / w.sum(axis=0)
+        assert all(abs(got[g, i] - want[i]) < 1e-12 for i in range(20))
+    drawn = []
+    monkeypatch.setattr(st, "poisson_weights", lambda ids, n, seed, real=st.poisson_weights: drawn.append(len(ids)) or real(ids, n, seed))
+    monkeypatch.setattr(st, "GROUPS", 3)
+    batch = local.rename(columns={"case_id": "_id", "v": "_v"})[["g", "_id", "_v"]]
+    sums = {key: acc for key, acc in st.partial_sums([batch], ["g"], 20, 42)}
+    assert sum(drawn) == 40 and len(sums) == 10
+    assert all(abs(sums[g,][0][i] / sums[g,][1][i] - got[g, i]) < 1e-12 for g in range(10) for i in range(20))
+
+
+def test_weights_by_first_bits_equal_those_by_all_bits():
+    import numpy as np
+    ids = np.arange(-300, 300)
+    with np.errstate(over="ignore"):
+        rows = st._mix(ids.astype(np.int64).view(np.uint64) + np.uint64(7) * np.uint64(0x9E3779B97F4A7C15))
+        u = st._mix(rows[:, None] + (np.arange(1, 501, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))[None, :])
+    assert (st.poisson_weights(ids, 500, 7) == np.searchsorted(st._POISSON, (u >> np.uint64(11)) * 2.0 ** -53, side="right")).all()
+
+
 def test_bootstrap_ignores_partitioning_and_brackets_the_mean(spark):
     rows = spark.range(400).select(F.col("id").alias("case_id"), (F.col("id") % 7).cast("double").alias("v"), (F.col("id") % 2).alias("g"))
     one = {r.g: (round(r.lower, 9), round(r.upper, 9)) for r in st.bootstrap_ci(rows.repartition(1), "v", F.col("case_id"), ("g",), 300).collect()}
