@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import vectors as vx
 from ..operators import lexical as lx
+from ..operators.retrieval import align
 from .registry import query
 from .shared import r6
 
@@ -55,15 +56,7 @@ def vec_01(spark, sf):
 def vec_02(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "text")
     items = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    frequency, n = lx.frequency_table(docs), docs.count()
-    a = lx.weights(items, frequency, n, "query_id").withColumnRenamed("query_id", "id")
-    relevant = fx.relevance(spark, sf)
-    # Only documents of a pair are weighed.
-    wanted = docs.join(relevant.select("doc_id").distinct(), "doc_id", "left_semi")
-    b = lx.weights(wanted, frequency, n).withColumnRenamed("doc_id", "id")
-    pairs = relevant.select(F.col("query_id").alias("a_id"), F.col("doc_id").alias("b_id"))
-    return vx.sparse_cosine(a, b, pairs).select(
-        F.col("a_id").alias("query_id"), F.col("b_id").alias("doc_id"), r6("score"))
+    return align(docs, items, fx.relevance(spark, sf)).select("query_id", "doc_id", r6("score"))
 
 
 @query("vec_03", "SELECT vec_id AS doc_id, pos, round(v / n, 6) + 0.0 AS v FROM (SELECT vec_id, n, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM v_norm)", VEC)

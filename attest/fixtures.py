@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from .functions.text import let
+
 # Sentences from this length on meet a text's sentences on their last characters, shorter ones on all of theirs.
 TAIL = 20
 BROADCAST_NEEDLES = 200_000
@@ -99,7 +101,7 @@ def relevance(spark, sf):
     items = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[^.]+[.]"), F.lit(0)))).alias("needle"))
     # Splitting at the dots is linear; matching runs would rescan a text that has none.
-    pieces = F.transform(F.expr("slice(split(text, '[.]'), 1, size(split(text, '[.]')) - 1)"), lambda x: F.concat(x, F.lit(".")))
+    pieces = let(F.split("text", r"\."), lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x: F.concat(x, F.lit("."))))
     docs = table(spark, sf, "documents").select("doc_id", F.array_distinct(pieces).alias("runs"))
     tail = lambda c: F.right(c, F.lit(TAIL))
     long = docs.select("doc_id", F.explode(F.filter("runs", lambda x: F.length(x) >= TAIL)).alias("run")).withColumn("tail", tail(F.col("run")))
@@ -111,7 +113,9 @@ def relevance(spark, sf):
     short = F.broadcast(short) if sum(sizes.values()) <= BROADCAST_NEEDLES else short
     found = found.select("query_id", "doc_id")
     if lengths:
-        ends = F.flatten(F.transform("runs", lambda x: F.transform(
+        # The last characters are cut off and made distinct first: a length is counted from a string's start.
+        lasts = F.array_distinct(F.transform("runs", lambda x: F.right(x, F.lit(lengths[-1]))))
+        ends = F.flatten(F.transform(lasts, lambda x: F.transform(
             F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(x)), lambda n: F.right(x, n))))
         endings = docs.select("doc_id", F.explode(F.array_distinct(ends)).alias("needle"))
         found = found.unionByName(endings.join(short, "needle").select("query_id", "doc_id"))

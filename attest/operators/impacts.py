@@ -58,9 +58,12 @@ def write_impacts(docs: DataFrame, path: str, block: int = BLOCK_POSTINGS) -> No
     lexical.packed_vectors(docs, frequency, n_docs, "doc_id", F.lit(True)).write.parquet(f"{path}/vectors")
     postings = spark.read.parquet(f"{path}/vectors").select("doc_id", F.explode(F.arrays_zip("terms", "weights")).alias("x")).select(
         "doc_id", F.col("x.terms").alias("term"), F.col("x.weights").alias("weight"))
-    # The hash of a posting picks its block, from as many as the term's frequency needs.
-    sized = lexical.with_frequency(postings, frequency, "doc_id")
-    blocks = sized.groupBy("term", band(F.col("weight")).alias("band"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / block)).alias("block")).agg(
+    # The hash of a posting picks its block, from as many as the term's frequency needs; terms of more than one block have
+    # more than ``block`` postings each, so there are few of them.
+    large = frequency.filter(F.col("df") > block).select("term", F.ceil(F.col("df") / block).alias("n_blocks"))
+    sized = postings.join(F.broadcast(large), "term", "left")
+    number = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")), F.lit(0).cast("bigint"))
+    blocks = sized.groupBy("term", band(F.col("weight")).alias("band"), number.alias("block")).agg(
         F.count(F.lit(1)).alias("n"), F.max("weight").alias("bound"), F.collect_list(F.struct("doc_id", "weight")).alias("postings"))
     blocks.sortWithinPartitions("term", "band").write.parquet(f"{path}/blocks")
     spark.read.parquet(f"{path}/blocks").groupBy("term", "band").agg(F.sum("n").alias("n"), F.max("bound").alias("bound")).sortWithinPartitions(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import labelled_sections
 from ..functions.vectors import sparse_cosine
+from ..session import materialised
 from . import lexical
 from .blocks import dense_block, nearest
 from .topk import top_k
@@ -51,13 +52,14 @@ def section_queries(cases: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame, answers: DataFrame, candidates: DataFrame) -> DataFrame:
     """Rank each answer's candidate documents by TF-IDF cosine with the answer text."""
-    frequency = lexical.frequency_table(docs)
+    # Read by three joins, and candidates may be costly to find.
+    pairs = materialised(candidates.select(F.col("query_id").alias("a_id"), F.col("doc_id").alias("b_id")).distinct(), "pairs")
+    frequency = lexical.asked_table(docs, answers)
     n_docs = docs.count()
-    # Only candidate documents are weighted.
-    wanted = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    a = lexical.weights(answers, frequency, n_docs, "query_id").withColumnRenamed("query_id", "id")
-    b = lexical.weights(wanted, frequency, n_docs).withColumnRenamed("doc_id", "id")
-    pairs = candidates.select(F.col("query_id").alias("a_id"), F.col("doc_id").alias("b_id")).distinct()
+    # Only candidate documents are weighed, and only the answers' terms of them are kept.
+    wanted = docs.join(pairs.select(F.col("b_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    a = lexical.weights(answers, frequency.filter("asked"), n_docs, "query_id").withColumnRenamed("query_id", "id")
+    b = lexical.weights(wanted, frequency, n_docs, keep=F.col("asked")).withColumnRenamed("doc_id", "id")
     scored = sparse_cosine(a, b, pairs).select(
         F.col("a_id").alias("query_id"), F.col("b_id").alias("doc_id"), (F.round("score", 10) + 0.0).alias("score"))
     from pyspark.sql import Window as W

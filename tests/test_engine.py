@@ -88,6 +88,22 @@ def test_vectors_with_rare_terms_joined_equal_those_weighed_in_the_row(spark):
             assert vectors(limit, keep) == whole
 
 
+def test_alignment_finds_its_candidates_once(spark):
+    """Before, the candidates of an answer were found again for each join that reads them, and all terms of a document were kept."""
+    docs, asked = search(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    ids = asked.select("query_id").crossJoin(docs.select("doc_id"))
+    found = ids.mapInArrow(count, ids.schema)
+    from attest.operators.retrieval import align
+    rows = align(docs, asked, found).collect()
+    assert seen.value == len(rows) == ids.count()
+
+
 def test_only_occurrences_of_rare_terms_are_shuffled(spark):
     """Before, every occurrence went through a shuffle as soon as the vocabulary was too large to be sent to every task."""
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("the of and "), F.concat(F.lit("word"), "id")).alias("text"))
