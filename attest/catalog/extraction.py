@@ -13,11 +13,15 @@ from .registry import query
 from .shared import VIEWS, r6
 
 
+# Parsing takes its time by the row, so the stored outputs are cut into files of so many.
+FILE_ROWS = 20_000
+
+
 def outputs(spark, sf):
     """Fixture model outputs: the ranked list of every case as JSON, spoilt in eight ways."""
     row = F.concat(F.lit('{"name": "'), "label", F.lit('", "reasoning": "seen at '), F.col("rnk"), F.lit(' in review"}'))
     lists = fx.predictions(spark, sf).groupBy("case_id").agg(
-        F.array_sort(F.collect_list(F.struct("rnk", row.alias("j")))).alias("rows"))
+        F.sort_array(F.collect_list(F.struct("rnk", row.alias("j")))).alias("rows"))
     raw = F.concat(F.lit('{"diagnoses": ['), F.array_join(F.transform("rows", lambda r: r["j"]), ", "), F.lit("]}"))
     kind = F.col("case_id") % 8
     spoilt = (
@@ -30,7 +34,7 @@ def outputs(spark, sf):
         .when(kind == 6, F.replace(raw, F.lit(" in review"), F.lit(' in "the" review')))
         .when(kind == 7, F.replace(raw, F.lit('review"}]'), F.lit("review}]"))).otherwise(raw))
     # Model outputs arrive as a stored table.
-    return materialised(lists.select("case_id", F.lit(0).alias("sample_idx"), spoilt.alias("raw_output")), "outputs")
+    return materialised(lists.select("case_id", F.lit(0).alias("sample_idx"), spoilt.alias("raw_output")), "outputs", FILE_ROWS)
 
 
 OUTS = {**VIEWS, "v_items": """SELECT case_id, rnk, label, CASE case_id % 8 WHEN 6 THEN 'seen at ' || rnk || ' in "the" review'
@@ -78,7 +82,7 @@ def jsn_04(spark, sf):
         F.lit("{'name': '"), "label", F.lit("', 'reasoning': 'seen at "), F.col("rnk"), F.lit(" in review'")))
     row = row.otherwise(F.concat(F.col("rnk"), F.lit(". "), "label", F.lit("\nseen")))
     lists = fx.predictions(spark, sf).groupBy("case_id").agg(
-        F.array_sort(F.collect_list(F.struct("rnk", row.alias("j")))).alias("rows"))
+        F.sort_array(F.collect_list(F.struct("rnk", row.alias("j")))).alias("rows"))
     text = F.array_join(F.transform("rows", lambda r: r["j"]), "\n}")
     even = lists.filter("case_id % 2 = 0").select("case_id", text.alias("raw_output"))
     odd = lists.filter("case_id % 2 = 1").select("case_id", F.array_join(F.transform("rows", lambda r: r["j"]), "\n").alias("raw_output"))
@@ -112,7 +116,7 @@ def jsn_07(spark, sf):
     """Bare lists, some without their opening bracket, with text after the closing one."""
     row = F.concat(F.lit('{"diagnosis": "'), "label", F.lit('", "explanation": "seen at '), F.col("rnk"), F.lit(' in review"}'))
     lists = fx.predictions(spark, sf).groupBy("case_id").agg(
-        F.array_sort(F.collect_list(F.struct("rnk", row.alias("j")))).alias("rows"))
+        F.sort_array(F.collect_list(F.struct("rnk", row.alias("j")))).alias("rows"))
     text = F.concat(F.when(F.col("case_id") % 2 == 0, "[").otherwise(""), F.array_join(F.transform("rows", lambda r: r["j"]), ", "),
                     F.lit("] and more [x]"))
     return ex.prediction_rows(lists.withColumn("items", rp.array_items(text)), ["case_id"])
@@ -130,10 +134,10 @@ def critique_outputs(spark, sf):
     row = F.concat(F.lit('{"diagnosis": "'), "label", F.lit('", "confidence": "'),
                    F.when(F.col("g_max") > 0, "high").otherwise("unsure"), F.lit('"'), flag, F.lit("}"))
     lists = fx.predictions(spark, sf).groupBy("case_id").agg(
-        F.array_sort(F.collect_list(F.struct("rnk", row.alias("j")))).alias("rows"))
+        F.sort_array(F.collect_list(F.struct("rnk", row.alias("j")))).alias("rows"))
     end = F.when(F.col("case_id") % 2 == 0, "]} thanks").otherwise(",]}")
     return materialised(lists.select("case_id", F.concat(F.lit('Sure: {"critiques": ['), F.array_join(
-        F.transform("rows", lambda r: r["j"]), ", "), end).alias("raw_output")), "critique-outputs")
+        F.transform("rows", lambda r: r["j"]), ", "), end).alias("raw_output")), "critique-outputs", FILE_ROWS)
 
 
 def critiques(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_letters, digits
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import let, strip, strip_thinking
@@ -23,12 +25,20 @@ STRICT = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 LENGTH = 5
 
 
+# Follows the text to be tried in a list. A text that could bring it along, spelt out or in escapes, is parsed twice.
+AFTER = "endofthetriedtext"
+
+
 def is_json(c: Column) -> Column:
     """True for a text that is one JSON value and nothing more. The parser ignores what follows a
-    value, so the text is tried inside a list and inside an object, which cannot both absorb it."""
+    value, so the text is tried inside a list, before a mark that is its second item only if the text is one value. A text
+    that could hold the mark is tried inside a list and inside an object, which cannot both absorb what follows."""
+    marked = F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{AFTER}"]')))
     listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
     named = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    return (strip(c) != "") & listed.isNotNull() & named.isNotNull()
+    twice = F.contains(c, F.lit(AFTER)) | F.contains(c, F.lit("\\u"))
+    return F.when(twice, listed.isNotNull() & named.isNotNull()).otherwise(
+        F.coalesce(F.try_variant_get(marked, "$[1]", "string") == AFTER, F.lit(False)))
 
 
 def without_fence(c: Column) -> Column:
@@ -46,6 +56,10 @@ def list_object(c: Column) -> Column:
         F.regexp_extract(t, LIST_OBJECT, 0), lambda o: F.when(o != "", o).otherwise(t)))
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def _canonical_key(key: Column) -> Column:
     def mapped(k):
         return (F.when(F.contains(k, F.lit("diag")), "diagnoses")
@@ -53,30 +67,38 @@ def _canonical_key(key: Column) -> Column:
                 .when(F.contains(k, F.lit("reason")), "reasoning")
                 .when(F.contains(k, F.lit("nam")) | (k == "title"), "name")
                 .when(k.isin(*REASONING_ALIASES), "reasoning").otherwise(k))
-    return let(F.lower(F.regexp_replace(key, "[^\\x00-\\x7F]", "")), mapped)
+    plain = F.when(is_ascii(key), key).otherwise(F.regexp_replace(key, "[^\\x00-\\x7F]", ""))
+    return let(F.lower(plain), mapped)
 
 
 def canonical_keys(c: Column) -> Column:
     """Rename every key to its canonical form: cut at the keys, map them, and join again."""
-    pattern = r'"[^"]*?"\s*:'
+    pattern = r'"([^"]*+)"\s*+:'
     def joined(keys):
-        names = F.transform(keys, lambda k: F.concat(F.lit('"'), _canonical_key(F.regexp_extract(k, '"([^"]*?)"', 1)), F.lit('":')))
+        names = F.transform(keys, lambda k: F.concat(F.lit('"'), _canonical_key(k), F.lit('":')))
         return F.array_join(F.zip_with(F.split(c, pattern), F.concat(names, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    return let(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), joined)
+    return let(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), joined)
+
+
+# The patterns and characters of the two functions below are fixed values. A class that lists its characters is looked up,
+# one of ranges is tried range by range.
+ALNUM = ascii_letters + digits
 
 
-# The patterns and characters of the two functions below are fixed values.
 def repair_head(c: Column) -> Column:
     """Repairs before the inner-quote step: quotes, punctuation, escapes, single-quoted keys."""
-    t = F.translate(c, "“”‘’，：", "\"\"'',:")
+    t = F.when(is_ascii(c), c).otherwise(F.translate(c, "“”‘’，：", "\"\"'',:"))
     t = F.regexp_replace(t, r'\\([^"\\/bfnrtu])', "$1")
     return F.regexp_replace(t, r"'([a-zA-Z_][a-zA-Z0-9_]*)'(\s*):", '"$1"$2:')
 
 
 def repair_tail(c: Column) -> Column:
     """Repairs after it: missing end quote, missing comma, key names, trailing commas, blank lines."""
-    t = F.regexp_replace(c, r"([a-zA-Z0-9.!?;])\s*(\}\s*[,\]\}])", '$1"$2')
-    t = F.regexp_replace(t, r"([a-zA-Z0-9.!?;])\s*(\}\s*$)", '$1"$2')
+    last = f"[{ALNUM}.!?;]"
+    t = F.regexp_replace(c, rf"({last})\s*(\}}\s*[,\]\}}])", '$1"$2')
+    t = F.regexp_replace(t, rf"({last})\s*(\}}\s*$)", '$1"$2')
+    # Both steps change only texts with a brace after such a character.
+    t = F.when(c.rlike(last + r"\s*+\}"), t).otherwise(c)
     t = F.regexp_replace(t, r'"\s*"(name|reasoning)":', '", "$1":')
     t = let(t, canonical_keys)
     t = F.regexp_replace(t, r",(\s*[}\]])", "$1")
@@ -90,14 +112,15 @@ BLANK = r"[\s\x1c-\x1f]"
 
 def _closing_ahead() -> str:
     """What follows a quote that closes: a delimiter; or a quote with a colon, or with nothing but white space up to
-    the end of the window, behind it. A regular expression can't bound a sum, so there is one branch per place of the quote."""
+    the end of the window, behind it. A regular expression can't bound a sum, so there is one branch per place of the quote.
+    Most quotes are told by the next character: no branch starts with a letter or digit."""
     delimiter = BLANK + r"{0,%d}[:,}\]]" % (AHEAD - 1)
     keys = [BLANK + r'{%d}"(?:%s{0,%d}:|%s{%d}|%s{1,%d}\z)' % (a, BLANK, AHEAD - 2 - a, BLANK, AHEAD - 1 - a, BLANK, AHEAD - 1 - a) for a in range(AHEAD - 1)]
-    return "(?=" + "|".join([delimiter, *keys]) + ")"
+    return f"(?![{ALNUM}])(?=" + "|".join([r"[:,}\]]", delimiter, *keys]) + ")"
 
 
-# A piece runs up to the next quote that can't close: escape pairs, other characters, and quotes that can.
-PIECE = r'(?sU)((?:[^"\\]++|\\.|\\\z|"' + _closing_ahead() + r')*+)("|\z)'
+# A piece runs up to and with the next quote that can't close: escape pairs, other characters, and quotes that can.
+PIECE = r'(?sU)(?:[^"\\]++|\\.|\\\z|"' + _closing_ahead() + r')*+(?:"|\z)'
 
 
 def escape_inner_quotes(c: Column) -> Column:
@@ -105,15 +128,19 @@ def escape_inner_quotes(c: Column) -> Column:
 
     A quote that can close swaps the states; any other leads inside, and is escaped if the state was inside before. So
     the state at a quote that can't close follows from the number of closing ones since the last such quote: inside
-    when it is even, or odd for the first, which starts outside. The text is cut at the quotes that can't close and
-    each piece is counted by itself."""
-    def joined(pieces, ends):
-        closing = lambda piece: F.length(F.regexp_replace(piece, r'(?s)[^"\\]+|\\.|\\$', "")) % 2
-        quote = lambda piece, i: F.when(closing(piece) == F.when(i == 0, 1).otherwise(0), '\\"').otherwise('"')
-        marked = F.transform(F.arrays_zip(pieces.alias("piece"), ends.alias("end")), lambda x, i: F.concat(
-            x["piece"], F.when(x["end"] == "", "").otherwise(quote(x["piece"], i))))
-        return F.array_join(marked, "")
-    return let(F.regexp_extract_all(c, F.lit(PIECE), F.lit(1)), lambda pieces: joined(pieces, F.regexp_extract_all(c, F.lit(PIECE), F.lit(2))))
+    when it is even, or odd for the first, which starts outside. The text is cut after the quotes that can't close and
+    each piece is counted by itself. A quote at the end of a text can't close, so a piece that ends with a quote no
+    backslash takes ends with one that can't."""
+    def quotes(piece):
+        plain = F.length(piece) - F.length(F.replace(piece, F.lit('"'), F.lit("")))
+        paired = F.length(F.regexp_replace(piece, r'(?s)[^"\\]+|\\.|\\$', ""))
+        return F.when(F.contains(piece, F.lit("\\")), paired).otherwise(plain) % 2
+
+    def marked(piece, i):
+        ends = F.endswith(piece, F.lit('"')) & (~F.endswith(piece, F.lit('\\"')) | piece.rlike(r'(?s)(?<!\\)(?:\\\\)+"\z'))
+        inner = ends & (quotes(piece) == F.when(i == 0, 0).otherwise(1))
+        return F.when(inner, F.concat(F.substr(piece, F.lit(1), F.length(piece) - 1), F.lit('\\"'))).otherwise(piece)
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(PIECE), F.lit(0)), marked), "")
 
 
 def repaired(rows: DataFrame, column: str) -> DataFrame:
@@ -223,10 +250,8 @@ def array_items(c: Column) -> Column:
 def critique_text(c: Column) -> Column:
     """From the first opening to the last closing brace; null without both."""
     def cut(t):
-        start = F.instr(t, F.lit("{"))
-        end = F.length(t) - F.instr(F.reverse(t), F.lit("}")) + 1
-        return F.when((start > 0) & F.contains(t, F.lit("}")), F.substr(t, start, end - start + 1))
-    return let(strip_thinking(strip(c)), cut)
+        return F.when(F.contains(t, F.lit("{")) & F.contains(t, F.lit("}")), F.regexp_extract(t, r"(?s)\{.*\}", 0))
+    return let(let(strip(c), strip_thinking), cut)
 
 
 def critique_items(c: Column) -> Column:

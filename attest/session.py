@@ -70,9 +70,11 @@ def release_since(mark: int, keep: tuple[str, ...] = ()) -> None:
     release([p for p in scratch()[mark:] if p.rpartition("/")[2].rpartition("-")[0] not in keep])
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
+def materialised(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
     """Write a table to the shared folder and read it back, so later steps scan it once more
-    instead of computing it once more, and a lost executor costs a re-read."""
+    instead of computing it once more, and a lost executor costs a re-read.
+
+    A file of few bytes is read by one task, however long its rows take; ``file_rows`` bounds the rows of a file, if positive."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -114,6 +114,21 @@ def test_json_must_be_one_value(spark):
     assert got == [True, False, False, False, False, False, False, True]
 
 
+def test_json_beside_the_mark_that_follows_it(spark):
+    rows = ['1,"endofthetriedtext"] x', '1,"\\u0065ndofthetriedtext"] x', '["endofthetriedtext"]', '"\\u0065"', "1] x", '1, "a', "1,", "1 2", " \n1 ", "\xa0", '{"a": 1, "a": 2}', None]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "t string").select(rp.is_json(F.col("t"))).collect()]
+    assert got == [False, False, True, True, False, False, False, False, True, False, False, False]
+
+
+def test_stored_outputs_are_cut_by_rows(spark, monkeypatch):
+    """Few bytes of outputs take long to parse, so more than one task must be able to read them."""
+    from attest.catalog import extraction
+    monkeypatch.setattr(extraction, "FILE_ROWS", 100)
+    for stored in (extraction.critique_outputs, extraction.outputs):
+        sizes = [r["count"] for r in stored(spark, "/root/testdata/sf0.001").groupBy(F.input_file_name()).count().collect()]
+        assert len(sizes) > 8 and max(sizes) <= 100
+
+
 def items(*names, reason="r"):
     return ", ".join('{"name": "%s", "reasoning": "%s"}' % (n, reason) for n in names)
 
