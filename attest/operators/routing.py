@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialised
 from .pairs import match_critiques
 
 
 def with_fallback(predictions: DataFrame, critiques: DataFrame) -> DataFrame:
     """Critiques, and for a case without any a critique that doubts every prediction."""
+    # Read twice, and critiques may be costly to parse.
+    critiques = materialised(critiques.select("case_id", "critique_idx", "label", "confidence", "needs_evidence"), "critiques")
     missing = predictions.join(critiques.select("case_id").distinct(), "case_id", "left_anti")
     doubts = missing.select("case_id", (F.col("rnk") - 1).alias("critique_idx"), "label", F.lit("LOW").alias("confidence"),
                             F.lit(True).alias("needs_evidence"))
-    return critiques.select(*doubts.columns).unionByName(doubts)
+    return critiques.unionByName(doubts)
 
 
 def routed(critiques: DataFrame) -> DataFrame:

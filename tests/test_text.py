@@ -129,6 +129,24 @@ def test_stored_outputs_are_cut_by_rows(spark, monkeypatch):
         assert len(sizes) > 8 and max(sizes) <= 100
 
 
+def test_critiques_are_parsed_once(spark):
+    """Both readers take the critiques twice; they are computed once."""
+    from attest.operators import pairs, routing
+    seen = spark.sparkContext.accumulator(0)
+
+    def parsed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    predictions = spark.createDataFrame([(1, 1, "A"), (1, 2, "B"), (2, 1, "C")], "case_id long, rnk int, label string")
+    rows = spark.createDataFrame([(1, 0, "A", "HIGH", False), (1, 5, "b", "LOW", True)],
+                                 "case_id long, critique_idx int, label string, confidence string, needs_evidence boolean")
+    critiques = rows.mapInArrow(parsed, rows.schema)
+    matched = {(r.case_id, r.rnk): r.needs_evidence for r in pairs.match_critiques(predictions, critiques).collect()}
+    assert matched == {(1, 1): False, (1, 2): True, (2, 1): None} and seen.value == 2
+    assert routing.with_fallback(predictions, critiques).count() == 3 and seen.value == 4
+
+
 def items(*names, reason="r"):
     return ", ".join('{"name": "%s", "reasoning": "%s"}' % (n, reason) for n in names)
 
