@@ -114,6 +114,27 @@ def test_only_occurrences_of_rare_terms_are_shuffled(spark):
     assert sorted(r.term for r in freq.filter(chosen).collect()) == ["and", "of", "the"] and none_left and cut == 1
 
 
+def test_searches_leave_few_occurrences_to_the_shuffle_and_find_the_same(spark, monkeypatch):
+    """Searches of whole texts and of parts, as top_01 and ret_07 run them: before, every occurrence was open."""
+    docs = fx.table(spark, SF, "documents").select("doc_id", "text")
+    asked = fx.table(spark, SF, "benchmark").filter("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+    parts = asked.select(F.col("query_id").alias("case_id"), F.posexplode(F.split("text", "[.]")).alias("part_idx", "text"))
+    runs = (lambda: rows_of(lx.search(docs, asked, 5)), lambda: rows_of(rt.fused_search(docs, parts, 5)))
+    within = [run() for run in runs]
+    n_terms, occurrences = lx.document_frequency(docs).agg(F.count("*"), F.sum("df")).first()
+    written = {}
+
+    def kept(df, name, write=lx.materialised):
+        written[name] = write(df, name)
+        return written[name]
+    monkeypatch.setattr(lx, "materialised", kept)
+    monkeypatch.setattr(lx, "BROADCAST_TERMS", n_terms // 2)
+    for run, rows in zip(runs, within):
+        written.clear()
+        assert run() == rows
+        assert 0 < written["weighed"].agg(F.sum(F.size("rare"))).first()[0] < occurrences / 2
+
+
 def test_grid_equals_broadcast_and_brute_force(spark):
     e = fx.table(spark, SF, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     asked = e.select(F.col("doc_id").alias("query_id"), "vector")
