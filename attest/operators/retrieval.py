@@ -72,10 +72,15 @@ def lookup(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(docs.withColumn("found", F.lit(True)), "doc_id", "left").fillna(False, ["found"])
 
 
+def with_texts(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """The hits and their documents' texts. Hits are written first: Spark then knows their size and sends few to
+    every task, where it would shuffle the texts of all documents to meet them."""
+    return materialised(hits, "hits").join(docs.select("doc_id", "text"), "doc_id")
+
+
 def evidence_for_cases(cases: DataFrame, hits: DataFrame, docs: DataFrame, mode: str = "rag") -> DataFrame:
     """Evidence rows for a whole case table; the baseline mode has none. Texts join last."""
     if mode == "baseline":
         return hits.limit(0).join(docs, "doc_id").select(F.col("query_id").alias("case_id"), "rnk", "doc_id", "text", "score")
     known = hits.join(cases.select(F.col("case_id").alias("query_id")), "query_id", "left_semi")
-    return known.join(docs.select("doc_id", "text"), "doc_id").select(
-        F.col("query_id").alias("case_id"), "rnk", "doc_id", "text", "score")
+    return with_texts(known, docs).select(F.col("query_id").alias("case_id"), "rnk", "doc_id", "text", "score")

@@ -91,7 +91,7 @@ def _prompts(cases: DataFrame, evidence: DataFrame, k: int | None) -> DataFrame:
 def fused_prompts(cases: DataFrame, parts: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Prompts with the evidence found for the parts of each case. Texts join last."""
     hits = rt.fused_search(docs, parts, k)
-    return _prompts(cases, hits.join(docs.select("doc_id", "text"), "doc_id").select("case_id", "rnk", "text"), k)
+    return _prompts(cases, rt.with_texts(hits, docs).select("case_id", "rnk", "text"), k)
 
 
 def prompt_table(notes: DataFrame, evidence: DataFrame, conditions: tuple[str, ...] = ("baseline", "rag", "tuned"), k: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attest import fixtures as fx
 from attest.functions import distributions as ds, vectors as vx
 from attest.operators import blocks, lexical as lx, retrieval as rt, stats as st, voting as vo
+from attest.plans import jobs
 from attest.session import scratch_path
 from attest.streaming import monitors as mo
 
@@ -135,6 +136,27 @@ def test_searches_leave_few_occurrences_to_the_shuffle_and_find_the_same(spark,
         assert 0 < written["weighed"].agg(F.sum(F.size("rare"))).first()[0] < occurrences / 2
 
 
+def test_texts_of_few_hits_are_not_shuffled(spark):
+    """Before, hits of unknown size met the documents in a sort-merge join, as job_02 and ret_09 ran it."""
+    docs = fx.table(spark, SF, "documents").select("doc_id", "text")
+    asked = fx.table(spark, SF, "benchmark").filter("item_id < 5").select(F.col("item_id").alias("case_id"), "text")
+    hits = lx.search(docs, asked.withColumnRenamed("case_id", "query_id"), 3)
+    found = {(r.query_id, r.rnk): r.doc_id for r in hits.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50k")
+    try:
+        rows = rt.evidence_for_cases(asked, hits, docs)
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+        prompts = jobs.fused_prompts(asked.withColumnRenamed("text", "context"), asked.withColumn("part_idx", F.lit(0)), docs, 3)
+        plan = prompts._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "hashpartitioning(doc_id" in x]
+        assert {(r.case_id, r.rnk): (r.doc_id, r.text) for r in rows.collect()} == {q: (d, texts[d]) for q, d in found.items()}
+        assert {r.case_id for r in prompts.filter(F.col("prompt").contains("Evidence 3:")).collect()} == {q for q, _ in found}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_grid_equals_broadcast_and_brute_force(spark):
     e = fx.table(spark, SF, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     asked = e.select(F.col("doc_id").alias("query_id"), "vector")
