@@ -155,11 +155,11 @@ def sentences_any(c: Column) -> Column:
 
 
 def atomic_facts(c: Column) -> Column:
-    """Sentences; those longer than eight words are split further at conjunctions."""
+    """Sentences; those longer than eight words are split further at conjunctions. A blank text has none."""
     def parts(s):
         cut = F.filter(F.transform(F.split(s, FACT_BREAKS), strip), lambda p: F.length(p) > 4)
-        return F.when(F.size(words(s)) > 8, cut).otherwise(F.array(strip(s)))
-    return F.flatten(F.transform(F.split(strip(c), SENTENCE_BEFORE_CAPITAL), parts))
+        return F.when(F.size(words(s)) > 8, cut).otherwise(F.array(s))
+    return F.flatten(F.transform(sentences(c), parts))
 
 
 def labelled_sections(c: Column, labels: tuple[str, ...] = SECTION_LABELS) -> Column:

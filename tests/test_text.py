@@ -89,6 +89,23 @@ def test_sentence_rules(spark):
     assert value(spark, tx.atomic_facts, long) == ["The man had chest pain", "he also had fever", "he was cold today."]
 
 
+@pytest.mark.parametrize("text", ["", " ", "\n", " \n \n", "\t"])
+def test_blank_texts_hold_no_facts(spark, text):
+    assert value(spark, tx.atomic_facts, text) == []
+
+
+def test_txt_12_equals_its_sql_on_blank_texts(spark, tmp_path):
+    import duckdb
+    from attest.catalog import oracles, queries
+    docs = [(0, ""), (1, " \n"), (2, None), (3, "A. B! Ok. Ok."), (4, "The man had chest pain, and he also had fever; ok. \n")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in queries()["txt_12"](spark, str(tmp_path)).select("doc_id", "fact", "n").collect())
+    assert got == sorted(connection.execute(f"SELECT doc_id, fact, n FROM ({oracles()['txt_12']})").fetchall())
+    assert {r[0] for r in got} == {3, 4}
+
+
 def test_thinking_channels(spark):
     assert value(spark, tx.strip_thinking, "x<|channel|>final {1}<|end|> y") == "{1}"
     assert value(spark, tx.strip_thinking, "analysis hm assistantfinal {2}") == "{2}"
