@@ -24,7 +24,7 @@ NUMBERED_HEADING = r"(?U)^\s*\d+(\.\d+)*\.?\s+.+$"
 NUMBERING = r"(?U)^\s*\d+(\.\d+)*\.?\s*"
 SENTENCE_BEFORE_CAPITAL = r"(?U)(?<=[.!?])\s+(?=[A-Z])"
 SENTENCE_ANY = r"(?U)(?<=[.!?])\s+"
-FACT_BREAKS = r"(?i), and|;|\balongside\b|\bcompounded by\b|\bfurthermore\b"
+FACT_BREAKS = r"(?iu), and|;|\balongside\b|\bcompounded by\b|\bfurthermore\b"
 AUTHORITY = r"\[Legal Authority \d+\]:\n"
 PROMPT_STOPS = r"\n\nCRITICAL|\n\nIMPORTANT|\n\nQuestion:"
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"

@@ -94,6 +94,12 @@ def test_blank_texts_hold_no_facts(spark, text):
     assert value(spark, tx.atomic_facts, text) == []
 
 
+def test_conjunctions_in_any_letter_case(spark):
+    start = "He was seen today in the ward at noon"
+    for conjunction in (", AND", "ALONGSIDE", "along\u017fide", "Compounded By"):
+        assert value(spark, tx.atomic_facts, f"{start} {conjunction} his wife") == [start, "his wife"]
+
+
 def test_txt_12_equals_its_sql_on_blank_texts(spark, tmp_path):
     import duckdb
     from attest.catalog import oracles, queries
